@@ -63,7 +63,7 @@ def detect(path: Column, content: Column) -> Column:
 def file_index(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     """(_file, format, size): each file's format.  Only texts of files that their suffix doesn't settle are looked into by more than their head."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    text = F.decode(F.col("content"), F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     return files.select(F.col("path").alias("_file"), F.col("length").alias("size"), F.when(F.substring(text, 1, 4) == "%PDF", F.lit("pdf")).otherwise(detect(F.col("path"), text)).alias("format"))
 
 
