@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CACHE = 500_000
 _STRIP = ".,;:!?\"'()[]{}<>|*_-#`~"
@@ -37,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of least hash of ``key``.
+
+    Rows whose hash can't be among them are dropped where they are read, so
+    each partition sends the driver a few candidates and not ``most`` of them.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = min(1.0, (3 * most + 100) / max(df.count(), 1))
+    return df.where(place < int(share * (1 << 30))).orderBy(place, *df.columns).limit(most)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash of its lower-cased form without outer punctuation; 0 if nothing is left."""
 

@@ -8,10 +8,13 @@ each once, in the payload of least id that has it, and a manifest lists each
 payload's chunks in order.  Rebuilding joins manifest and store by digest,
 puts the chunks in order and compares the payload's digest.
 
-Digests travel without their bytes wherever bytes aren't needed.
+Chunks are small and alike, so they are compressed against a dictionary that
+is trained on a bounded sample of payloads, chosen by a hash of the id; it
+belongs to the store.  Digests travel without their bytes wherever bytes
+aren't needed.
 
-Defined results: a null payload has no manifest and comes back as null,
-verified null; an empty one has no chunk and comes back empty.  Rows that
+Defined results: a null payload has no manifest and doesn't come back; an
+empty one has no chunk and comes back empty.  Rows that
 repeat an id are one medium: the first payload in order counts.  Null ids are
 left out.  Only the named columns are read.
 """
@@ -27,9 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import bounded_sample, mix
 
 LEAST, MASK_BITS, MOST = 512, 11, 16384
+#: Payloads that the compression dictionary may be trained on, and its size.
+SAMPLE_PAYLOADS, DICTIONARY_BYTES = 1000, 200_000
+LEVEL = 12
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(16)).astype(np.uint32)
 
@@ -65,12 +71,34 @@ def cuts(payload: bytes, least: int = LEAST, mask_bits: int = MASK_BITS, most: i
     return out
 
 
-def chunked(media: DataFrame, id_col: str = "page_id", payload_col: str = "html", with_bytes: bool = False) -> DataFrame:
+def train_dictionary(media: DataFrame, id_col: str = "page_id", payload_col: str = "html", most: int = SAMPLE_PAYLOADS) -> bytes:
+    """A compression dictionary from the chunks of ``most`` payloads at most; b"" where they are too few to train one."""
+    rows = media.select(media[id_col].alias("id"), media[payload_col].cast("binary").alias("payload")).where("id is not null and payload is not null")
+    samples = []
+    for r in bounded_sample(rows, "id", most).collect():
+        data, at = bytes(r["payload"]), 0
+        for end in cuts(data):
+            samples.append(data[at:end])
+            at = end
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _codec(dictionary: bytes) -> tuple:
+    """(compress, decompress), with sizes but without checks: the digests tell."""
+    words = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=False, write_dict_id=False) if words else zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+    return pack.compress, (zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()).decompress
+
+
+def chunked(media: DataFrame, id_col: str = "page_id", payload_col: str = "html", with_bytes: bool = False, dictionary: bytes = b"") -> DataFrame:
     """(id, seq, digest, size, medium[, chunk]) of each chunk; ``medium`` is the whole payload's digest.  An empty payload has one row of null digest."""
     id_type = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, _ = _codec(dictionary)
         for batch in batches:
             rows: list[tuple] = []
             which: list[int] = []
@@ -105,9 +133,9 @@ def chunked(media: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     return first.mapInArrow(run, schema)
 
 
-def store(media: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+def store(media: DataFrame, id_col: str = "page_id", payload_col: str = "html", dictionary: bytes = b"") -> DataFrame:
     """(digest, size, chunk): each distinct chunk once, compressed."""
-    rows = chunked(media, id_col, payload_col, with_bytes=True).where("digest is not null")
+    rows = chunked(media, id_col, payload_col, with_bytes=True, dictionary=dictionary).where("digest is not null")
     return rows.groupBy("digest").agg(F.first("size").alias("size"), F.first("chunk").alias("chunk"))
 
 
@@ -119,14 +147,15 @@ def manifest(media: DataFrame, id_col: str = "page_id", payload_col: str = "html
     return latest.withColumn("chunks", F.filter("chunks", lambda c: c["digest"].isNotNull())).withColumnRenamed("id", id_col)
 
 
-def rebuild(manifests: DataFrame, chunks: DataFrame, id_col: str = "page_id") -> DataFrame:
+def rebuild(manifests: DataFrame, chunks: DataFrame, id_col: str = "page_id", dictionary: bytes = b"") -> DataFrame:
     """(id, payload, n_chunks, verified): the payloads again; ``verified`` if all chunks are there and the digest is right."""
     id_type = manifests.schema[id_col].dataType.simpleString()
-    wanted = manifests.select(F.col(id_col).alias("id"), "medium", F.explode_outer("chunks").alias("c")).select("id", "medium", "c.seq", "c.digest")
+    # the payload's digest travels with its first chunk alone
+    wanted = manifests.select(F.col(id_col).alias("id"), "medium", F.posexplode_outer("chunks").alias("pos", "c")).select("id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("medium")).alias("medium"), "c.seq", "c.digest")
     found = wanted.join(chunks.select("digest", "chunk"), "digest", "left").select("id", "medium", "seq", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        _, unpack = _codec(dictionary)
         key = medium = kind = None
         parts: list[bytes | None] = []
         done: list[tuple] = []

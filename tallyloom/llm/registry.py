@@ -70,7 +70,8 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages rebuilt from the store of their distinct chunks, and verified."""
     pages = table(spark, sf_dir, "pages")
-    return media.rebuild(media.manifest(pages), media.store(pages))
+    dictionary = media.train_dictionary(pages)
+    return media.rebuild(media.manifest(pages), media.store(pages, dictionary=dictionary), dictionary=dictionary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

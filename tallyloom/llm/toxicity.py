@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
+from .common import bounded_sample
 
 #: Labelled documents that training may read; scoring has no bound.
 MAX_TRAIN_DOCS = 3000
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``max_docs`` labelled documents, chosen by a hash of the id."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")).distinct()
     half = max_docs // 2
-    pick = lambda k: marked.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(half)
+    pick = lambda k: bounded_sample(marked.where(F.col("__toxic") == k), "__id", half)
     chosen = pick(1).unionByName(pick(0))
     # at most max_docs short rows, so this side can be broadcast at any size of the input
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null").join(F.broadcast(chosen), "__id").select("__id", "__toxic", "__text")

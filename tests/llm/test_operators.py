@@ -1,0 +1,496 @@
+"""The ten operators against brute force, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyloom.llm import ann, bpe, media, mixing, near_dedup, sharding, suffix_dedup, token_counts, token_output, toxicity
+from tallyloom.llm.common import WordHashes, shingles
+
+RNG = random.Random(5)
+WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(2, 9))) for _ in range(800)]
+
+#: Columns whose names operators use inside or put out.
+CLASH = "id long, text string, key string, run int, slot string, shard string, copy string, spans string, score string, a int, b int, rank int, window string, keeper int, token_ids string, n_tokens string, digest string"
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns of clashing names beside doc_id and text."""
+    base, long = prose(120, 1), prose(30_000, 2)
+    rows = [
+        (1, base), (2, base), (2, base), (3, base + " tail words"), (4, None), (5, ""), (6, "   "), (7, "one"), (8, "one"), (None, base), (None, None), (9, long), (10, long + " x"),
+        (11, "é" * 70_000), (12, prose(60, 3)), (13, prose(20, 4) + " " + prose(60, 3) + " " + prose(20, 5)), (14, "same same " * 200), (15, "\n\t x  y \n"), (16, prose(49, 3)),
+    ]
+    data = [(i, t, i if i is None else i % 2, None if i in (3, 7) else "src" + str((i or 0) % 3), *([None] * 15)) for i, t in rows]
+    names = [c.split()[0] for c in CLASH.split(", ") if not c.startswith("text ")]
+    kinds = [c for c in CLASH.split(", ") if not c.startswith("text ")]
+    schema = "doc_id long, text string, lang int, source string, " + ", ".join(kinds)
+    assert len(names) == 16
+    return spark.createDataFrame([(*d[:4], *([None] * 16)) for d in data], schema)
+
+
+@pytest.fixture(scope="module")
+def empty(awkward):
+    return awkward.where("false")
+
+
+# ---- 7, 2, 9: tokens
+
+
+def reference_encoder():
+    return token_output.encoder(bpe.DEFAULT_VOCAB)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab 's\n\t'réx1.!日 "), max_size=60))
+def test_bpe_equals_library(text):
+    ids, counts = bpe.part_cache(bpe.DEFAULT_VOCAB).encode([text])
+    assert ids.tolist() == reference_encoder().encode_ordinary(text) and counts[0] == len(ids)
+
+
+def test_bpe_long_words_and_cache_turnover(monkeypatch):
+    monkeypatch.setattr(bpe, "_CACHE", 50)
+    cache = bpe.PartCache(bpe.Vocabulary(bpe.DEFAULT_VOCAB))
+    for text in ["ab" * 4000, prose(500, 8), "é" * 3000, prose(500, 9)]:
+        ids, _ = cache.encode([text])
+        assert ids.tolist() == reference_encoder().encode_ordinary(text)
+        assert cache.vocab.decode(ids).decode() == text
+
+
+def test_bpe_operator(spark, awkward, empty):
+    rows = bpe.encode(awkward, verify=True).collect()
+    assert len(rows) == awkward.count()
+    texts = Counter((r["doc_id"], None if r["text"] is None else tuple(reference_encoder().encode_ordinary(r["text"]))) for r in awkward.collect())
+    assert Counter((r["doc_id"], None if r["token_ids"] is None else tuple(r["token_ids"])) for r in rows) == texts
+    assert {r["round_trip"] for r in rows if r["token_ids"] is not None} == {True} and all(r["round_trip"] is None and r["n_tokens"] is None for r in rows if r["token_ids"] is None)
+    back = bpe.decode(bpe.encode(awkward)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r["doc_id"], r["text"]) for r in awkward.collect())
+    assert bpe.encode(empty).count() == 0
+    with pytest.raises(ValueError, match="vocabulary"):
+        bpe.part_cache(bpe.DEFAULT_VOCAB).vocab.decode(np.array([10**6]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab 's\n'réx1.!日 "), max_size=400), st.lists(st.tuples(st.integers(-2, 420), st.integers(0, 60), st.text(alphabet=st.sampled_from("a 's\n.1r"), max_size=40)), max_size=4))
+def test_edited_counts(text, edits):
+    cache = bpe.part_cache(bpe.DEFAULT_VOCAB)
+    ((chars, ids),) = cache.words([text])
+    tree = token_counts.WordTree(chars.tolist(), ids.tolist())
+    for start, length, new in edits:
+        text, _ = token_counts.apply_edit(text, tree, start, start + length, new, cache)
+        assert tree.n_tokens == len(reference_encoder().encode_ordinary(text)) and tree.n_chars == len(text)
+
+
+def test_edited_counts_touch_little(spark, awkward, empty):
+    edits = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("zz").alias("replacement")), F.lit(None).cast("struct<start:int,end:int,replacement:string>"), F.struct(F.lit(None).cast("int").alias("start"), F.lit(5).alias("end"), F.lit("q").alias("replacement")))
+    rows = token_counts.count_edited(awkward, edits).collect()
+    want = Counter((r["doc_id"], None if r["text"] is None else len(reference_encoder().encode_ordinary(r["text"][:3] + "zz" + r["text"][5:]))) for r in awkward.collect())
+    assert Counter((r["doc_id"], r["n_tokens_edited"]) for r in rows) == want
+    long = next(r for r in rows if r["doc_id"] == 9)
+    assert long["n_words"] == 30_000 and long["n_reencoded"] < 10
+    table = spark.createDataFrame([(9, 1, 0, 0, "a "), (9, 0, 0, 10, None), (12, 0, 1, 2, "b")], "doc_id long, seq int, start int, end int, replacement string")
+    joined = token_counts.attach_edits(awkward, table)
+    assert joined.where("doc_id = 9").first()["edits"][0]["end"] == 10
+    assert token_counts.count_edited(joined, F.col("edits")).count() == awkward.count()
+    assert token_counts.count_edited(empty, edits).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=600))
+def test_elias_fano(steps):
+    values = np.cumsum(steps)
+    code = token_output.EliasFano.encode(values)
+    again = token_output.EliasFano(len(code), code.low_bits, code.low.tobytes(), code.high.tobytes())
+    assert again.all().tolist() == values.tolist() and [again[k] for k in range(len(again))] == values.tolist()
+    if len(values) > 50:
+        assert code.n_bytes * 8 <= len(values) * (3 + math.log2(max(2, values[-1] / len(values) + 1))) + 16
+
+
+def test_blocks(awkward, empty):
+    blocks = token_output.write_blocks(awkward, block_ids=1000)
+    back = token_output.read_documents(blocks).collect()
+    want = Counter((r["doc_id"], tuple(reference_encoder().encode_ordinary(r["text"]))) for r in awkward.collect() if r["text"] is not None)
+    assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in back) == want
+    row = next(b for b in blocks.collect() if 12 in b["doc_ids"]).asDict()
+    assert token_output.document(row, row["doc_ids"].index(12)).tolist() == reference_encoder().encode_ordinary(prose(60, 3))
+    assert token_output.write_blocks(empty).count() == 0
+    with pytest.raises(ValueError, match="decrease"):
+        token_output.EliasFano.encode(np.array([3, 2]))
+
+
+# ---- 1: toxicity
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 6, 9):
+        e, t, s = rng.normal(size=n) * 2, rng.normal(size=(2, 2)), 0.3
+        total, mean, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(e[k] for k in range(n) if y[k]) + s * y[0] + sum(t[y[k - 1], y[k]] for k in range(1, n)))
+            total += w
+            mean += w * np.array(y)
+            for k in range(1, n):
+                pairs[y[k - 1], y[k]] += w
+        p, x = toxicity.marginals(e, np.array([n]), t, s, pairs=True)
+        assert np.allclose(p, mean / total) and np.allclose(x, pairs / total)
+
+
+def test_marginals_over_blocks_equal_recursion():
+    rng = np.random.default_rng(1)
+    counts, t, s = np.array([300, 64, 1, 635, 128]), rng.normal(size=(2, 2)), -0.4
+    e = rng.normal(size=counts.sum())
+    got, _ = toxicity.marginals(e, counts, t, s)
+    want, at = [], 0
+    for c in counts:
+        own, at = e[at : at + c], at + c
+        alpha, beta = [np.array([1, math.exp(own[0] + s)])], [np.ones(2)]
+        for k in range(1, c):
+            v = (alpha[-1] @ np.exp(t)) * np.array([1, math.exp(own[k])])
+            alpha.append(v / v.sum())
+        for k in range(c - 1, 0, -1):
+            v = np.exp(t) @ (np.array([1, math.exp(own[k])]) * beta[-1])
+            beta.append(v / v.sum())
+        want += [x[1] * y[1] / (x @ y) for x, y in zip(alpha, beta[::-1])]
+    assert np.allclose(got, want)
+
+
+@pytest.fixture(scope="module")
+def toxic_corpus(spark):
+    r = random.Random(11)
+    bad = ["vileword", "nastyone", "foulterm"]
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(r.randrange(20, 80), 100 + i).split()
+        toxic = i % 4 == 0
+        if toxic:
+            for w in r.sample(bad, 2):
+                words.insert(r.randrange(len(words)), w.capitalize() + r.choice(["", ",", "!"]))
+        rows.append((i, " ".join(words)))
+        if i < 300:
+            labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_documents(spark, toxic_corpus, awkward, empty):
+    docs, labels = toxic_corpus
+    chain = toxicity.train(docs, labels)
+    rows = {r["doc_id"]: r for r in toxicity.tag(docs, chain).collect()}
+    held = range(300, 400)
+    found = {i for i in held if rows[i]["score"] >= toxicity.THRESHOLD}
+    assert found == {i for i in held if i % 4 == 0}
+    text = dict(docs.collect())
+    for i in found:
+        words = {text[i][s["start"] : s["end"]].strip(",!").lower() for s in rows[i]["spans"]}
+        assert words and words <= {"vileword", "nastyone", "foulterm"} | {f"{a} {b}" for a in ("vileword", "nastyone", "foulterm") for b in ("vileword", "nastyone", "foulterm")} or all(any(b in w for b in ("vile", "nasty", "foul")) for w in words)
+    kept = toxicity.reject(docs, chain)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect() if r["doc_id"] >= 300} == {i for i in held if i % 4}
+    assert toxicity.tag(awkward, chain).count() == awkward.count() and toxicity.tag(awkward, chain).where("score > 0.9").count() == 0
+    assert Counter(map(tuple, toxicity.reject(awkward, chain).collect())) == Counter(map(tuple, awkward.collect()))
+    assert toxicity.tag(empty, chain).count() == 0
+
+
+def test_toxicity_without_labels(spark, toxic_corpus):
+    docs, labels = toxic_corpus
+    odd = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
+    for none in (labels.where("false"), labels.where("toxic = 0"), odd):
+        assert toxicity.tag(docs, toxicity.train(docs, none)).where(F.col("score") >= toxicity.THRESHOLD).count() == 0
+
+
+# ---- 3: near duplicates
+
+
+def brute_groups(rows, params=near_dedup.Params()):
+    words = WordHashes()
+    sets = {}
+    for i, t in rows:
+        h = words.of((t or "").split())
+        h = h[h != 0]
+        if i is not None and len(h):
+            sets.setdefault(i, []).append(set(shingles(h, params.k).tolist()))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        for a, b in itertools.product(sets[i], sets[j]):
+            small, large = sorted((a, b), key=len)
+            if len(large) <= params.ratio * len(small) and len(small & large) >= params.t * len(small) and find(i) != find(j):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in sets if find(i) != i}
+
+
+def test_banding_reaches_its_recall():
+    p = near_dedup.Params()
+    for part in range(25):
+        for target in (part, part + 1):
+            bands, rows = p.banding(part, target)
+            assert bands * rows <= p.perms and 1 - (1 - p.jaccard(part, target) ** rows) ** bands >= p.recall - 1e-9
+    low, high = p.bounds(7)
+    assert p.partition(low) == p.partition(high) == 7 and p.partition(high + 1) == 8
+
+
+def test_near_duplicates(spark, awkward, empty):
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_dedup.duplicates(awkward).collect()}
+    assert got == brute_groups([(r["doc_id"], r["text"]) for r in awkward.collect()])
+    assert got[2] == 1 and got[3] == 1 and got[8] == 7 and got[10] == 9
+    kept = near_dedup.keep_one(awkward)
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.columns == awkward.columns and ids[None] == 2 and ids[1] == 1 and ids[2] == ids[3] == 0 and ids[4] == ids[5] == ids[6] == 1
+    assert near_dedup.duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
+
+
+def test_near_duplicates_of_many_copies(spark):
+    r = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = prose(200, 50 + g).split()
+        for c in range(40):
+            words = list(base)
+            for _ in range(r.randrange(0, 6)):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            rows.append((g * 1000 + c, " ".join(words)))
+    rows += [(10_000 + k, prose(150, 900 + k)) for k in range(200)]
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows)
+    assert sum(got.get(i) == k for i, k in want.items()) >= 0.98 * len(want) and set(got) <= set(want)
+
+
+def test_components(spark):
+    edges = [(2, 1), (3, 2), (4, 3), (9, 8), (8, 7), (20, 10), (21, 20), (21, 9)]
+    got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 8: 7, 9: 7, 10: 7, 20: 7, 21: 7}
+
+
+def test_leaders_across_batches(spark):
+    """A bucket of more rows than a batch holds is one bucket."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        bands = spark.range(50).select(F.lit(5).cast("bigint").alias("key"), "id", F.lit(1).cast("bigint").alias("low"), F.lit(2).cast("bigint").alias("high"), F.lit(100).alias("size")).coalesce(1)
+        pairs = near_dedup.led_pairs(bands.sortWithinPartitions("key", "id"), near_dedup.Params(), "bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, pairs)) == [(k, 0) for k in range(1, 50)]
+
+
+# ---- 8: repeated passages
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=40))
+def test_suffix_array(text):
+    sa = suffix_dedup.suffix_array(text)
+    assert sa == sorted(range(len(text)), key=lambda i: text[i:])
+    lcp = suffix_dedup.common_prefixes(text, sa)
+    for k in range(1, len(sa)):
+        a, b = text[sa[k - 1] :], text[sa[k] :]
+        assert lcp[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def brute_repeats(rows, n):
+    owners = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").split()
+        if i is not None:
+            for k in range(len(w) - n + 1):
+                owners[tuple(w[k : k + n])].add(i)
+    out = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").split()
+        if i is not None:
+            for k in range(len(w) - n + 1):
+                own = owners[tuple(w[k : k + n])]
+                if len(own) > 1:
+                    out[i, min(own)].update(range(k, k + n))
+    return dict(out)
+
+
+def covered(found):
+    out = defaultdict(set)
+    for i, keeper, a, b in found:
+        out[i, keeper].update(range(a, b))
+    return dict(out)
+
+
+def test_repeats(spark, awkward, empty):
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    assert covered(suffix_dedup.repeats(awkward).collect()) == brute_repeats(rows, 50)
+    out = suffix_dedup.passages(awkward).where("doc_id = 13").first()
+    assert out["first_doc_id"] == 12 and out["removed"] and [tuple(s) for s in out["spans"]] == [(20, 80)]
+    left = {(r["doc_id"], r["text"]) for r in suffix_dedup.remove(awkward).collect()}
+    assert (13, prose(20, 4) + " " + prose(20, 5)) in left and (3, "tail words") in left and not any(i == 2 for i, _ in left)
+    assert {i for i, _ in left} == {i for i, _ in rows} - {2}
+    assert suffix_dedup.passages(empty).count() == 0 and suffix_dedup.remove(empty).count() == 0
+
+
+def test_repeats_of_mixed_and_periodic_texts(spark):
+    r = random.Random(1)
+    pool = [prose(70, 300 + k) for k in range(4)]
+    rows = [(i, " ".join([prose(r.randrange(0, 30), 400 + i), r.choice(pool), prose(r.randrange(0, 9), 500 + i), r.choice(pool), "la " * r.choice([0, 40, 90])])) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    for length, run in ((50, 8), (12, 3)):
+        assert covered(suffix_dedup.repeats(docs, length=length, run=run).collect()) == brute_repeats(rows, length)
+    after = suffix_dedup.remove(docs).collect()
+    assert all(x["n_chars"] == len(x["text"]) for x in after)
+    assert not {i for (i, k) in brute_repeats([(x["doc_id"], x["text"]) for x in after], 50) if i != k and (i, k) in {}}
+
+
+# ---- 4: sharding
+
+
+def test_sharding(spark, awkward, empty):
+    sizes = {r["slot"]: (r["n_docs"], r["n_bytes"]) for r in sharding.slot_bytes(awkward, slots=64).collect()}
+    want = defaultdict(lambda: [0, 0])
+    for r in awkward.collect():
+        s = int(hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest()[:8], 16) % 64
+        want[s][0] += 1
+        want[s][1] += len((r["text"] or "").encode())
+    assert sizes == {s: tuple(v) for s, v in want.items()}
+    slot_map = sharding.balanced(awkward, 4, 6, slots=64)
+    out = sharding.assign(awkward, slot_map, versions={"v1": 1, "v3": 3})
+    assert out.count() == awkward.count() and out.where("v1 is null or v3 is null").count() == 0
+    assert all(r["v1"] == slot_map.at(1)[int(r["slot"])] and r["v3"] == slot_map.at(3)[int(r["slot"])] for r in out.collect())
+    assert sharding.assign(awkward, slot_map).schema["shard"].dataType.simpleString() == "int"
+    assert sharding.balanced(empty, 4, 6, slots=64).at() == sharding.balanced(empty, 4, 6, slots=64).at() and sharding.assign(empty, slot_map).count() == 0
+    assert slot_map.log(spark).where("version = 1").count() == 64
+
+
+def test_rebalance():
+    r = random.Random(2)
+    sizes = {s: r.randrange(1, 1000) for s in range(4096)}
+    sizes[7] = 20_000
+    m = sharding.SlotMap(4096, 64)
+    moved = m.rebalance(sizes)
+    load = Counter()
+    for s, k in enumerate(m.at(2)):
+        load[k] += sizes[s]
+    mean = sum(sizes.values()) / 64
+    assert max(load.values()) <= 1.02 * mean and len(moved) < 1000 and set(moved) == {s for s in range(4096) if m.at(1)[s] != m.at(2)[s]}
+    gone = m.rebalance(sizes, 60)
+    assert max(m.at()) == 59 and all(m.at(2)[s] == m.at(3)[s] for s in range(4096) if s not in gone)
+    with pytest.raises(ValueError, match="version"):
+        m.at(9)
+
+
+# ---- 5: mixing
+
+
+def draws(rows, weights=None, seed=42, temperature=0.7):
+    chars = Counter()
+    for _, t, s in rows:
+        chars[s] += len(t or "")
+    total = sum(chars.values())
+    w = {s: ((n / total) ** temperature if n else 0.0) for s, n in chars.items()} if weights is None else {s: weights.get(s, 0.0) for s in chars}
+    rate = {s: (w[s] / sum(w.values()) * total / n if n and sum(w.values()) else 1.0) for s, n in chars.items()}
+    out = Counter()
+    for i, t, s in rows:
+        u = int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p, c = 0, math.exp(-rate[s]), math.exp(-rate[s])
+        while c <= u and k < 500:
+            k += 1
+            p *= rate[s] / k
+            c += p
+        for j in range(k):
+            out[i, t, s, j] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"src0": 3.0, "src1": 1.0}])
+def test_mixing(awkward, empty, weights):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in awkward.collect()]
+    got = Counter((r["doc_id"], r["text"], r["source"], r["copy"]) for r in mixing.replicate(awkward, weights=weights).collect())
+    assert got == draws(rows, weights)
+    assert mixing.replicate(empty).count() == 0 and set(mixing.replicate(awkward).columns) == set(awkward.columns)
+
+
+def test_mixing_reaches_its_weights(spark):
+    rows = [(i, "x" * 100, "big" if i % 10 else "small") for i in range(20_000)]
+    out = mixing.replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"big": 0.5, "small": 0.5})
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["big"] - 10_000) < 500 and abs(n["small"] - 10_000) < 500
+    order = [r["doc_id"] for r in out.collect()]
+    assert sum(a < b for a, b in itertools.pairwise(order)) / len(order) < 0.6
+
+
+# ---- 6: nearest neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16)) * 3
+    x = (centres[rng.integers(0, 20, 900)] + rng.normal(size=(900, 16))).astype(np.float32)
+    x[10] = x[11]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(900)]
+    odd = [(900, None), (901, []), (902, [1.0]), (903, [float("nan")] * 16), (904, [None] * 16), (None, rows[0][1]), rows[5]]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    got = ann.neighbours(table.withColumn("id", F.lit(1)).withColumn("rank", F.lit("x")), shard_rows=250).collect()
+    near = defaultdict(dict)
+    for r in got:
+        near[r["vec_id"]][r["rank"]] = (r["neighbour_vec_id"], r["distance"])
+    assert set(near) == set(range(900)) and all(len(v) == 10 for v in near.values())
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    true = np.argsort(d, axis=1)[:, :10]
+    assert np.mean([len({n for n, _ in near[i].values()} & set(true[i])) / 10 for i in range(900)]) >= 0.95
+    assert near[10][1] == (11, 0.0) and near[11][1] == (10, 0.0)
+    few = ann.neighbours(table.where("vec_id < 3")).collect()
+    assert len(few) == 6
+    assert ann.neighbours(table.where("false")).count() == 0 and ann.neighbours(table.where("vec_id = 1")).count() == 0
+
+
+# ---- 10: media
+
+
+def brute_cuts(data, least, bits, most):
+    out, begin, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(media._GEAR[byte])) & 0xFFFFFFFF
+        n = i + 1 - begin
+        if (n >= least and h >> (32 - bits) == 0) or n >= most or i == len(data) - 1:
+            out.append(i + 1)
+            begin = i + 1
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000))
+def test_cuts(data):
+    assert media.cuts(data, 32, 5, 300) == brute_cuts(data, 32, 5, 300)
+
+
+def test_media(spark):
+    r = random.Random(6)
+    shared = bytes(r.randrange(256) for _ in range(60_000))
+    rows = [(1, shared), (2, shared), (3, b"head" + shared[:40_000]), (4, b""), (5, None), (6, shared[5000:]), (None, shared), (7, b"x"), (7, b"x"), (8, bytes(100_000))]
+    table = spark.createDataFrame(rows, "page_id long, html binary").withColumn("digest", F.lit("d")).withColumn("id", F.lit(0))
+    words = media.train_dictionary(table)
+    for d in (b"", words):
+        out = {r["page_id"]: r for r in media.rebuild(media.manifest(table), media.store(table, dictionary=d), dictionary=d).collect()}
+        assert {k: bytes(v["payload"]) for k, v in out.items()} == {k: v for k, v in rows if k is not None and v is not None}
+        assert all(v["verified"] for v in out.values()) and out[4]["n_chunks"] == 0
+    kept = media.store(table)
+    stored = kept.agg(F.sum("size")).first()[0]
+    assert stored < 0.45 * sum(len(v) for k, v in rows if k is not None and v)
+    lost = kept.where("size <> 16384").limit(10**6)
+    assert not all(r["verified"] for r in media.rebuild(media.manifest(table), lost.where("size > 3000")).collect())
+    assert media.rebuild(media.manifest(table.where("false")), media.store(table.where("false"))).count() == 0
