@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import amount_key, occurrence_key, primary_hash
 
@@ -15,7 +16,7 @@ WINDOW_DAYS = 3
 SIMILARITY = 0.9
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two normalized descriptions; 1 for two equal ones, '' included."""
     return pd.Series([1.0 if a == b else SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")

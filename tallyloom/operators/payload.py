@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize_description, transaction_hash
 from ..functions.amounts import MONEY_SQL, plain_amount
@@ -33,7 +34,7 @@ def parse_payload(text: str) -> dict:
     return payload
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(text: pd.Series) -> pd.Series:
     """The JSON object of each answer, null where there is none."""
 
