@@ -39,7 +39,7 @@ _NONE = np.int32(2**31 - 1)
 #: Longer words are merged with a heap: a round a merge would be quadratic.
 _LONG = 256
 #: Entries after which a worker's cache starts anew.
-_CACHE = 500_000
+_CACHE = 200_000
 #: Characters encoded at once, which bounds a worker's memory.
 _SLICE = 1_500_000
 

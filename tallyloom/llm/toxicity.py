@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,12 @@ from .bpe import text_slices
 from .common import bounded_sample
 
 #: Labelled documents that training may read; scoring has no bound.
-MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_DOCS = 2000
 #: Least probability of an offending token; at it, held-out labels show no false alarm.
 THRESHOLD = 0.9
 
 _BLOCK = 64
-_CACHE = 400_000
+_CACHE = 200_000
 _STRIP = ".,;:!?\"'()[]{}<>|*_-#`~"
 _TOKEN = re.compile(r"\S+")
 
@@ -160,21 +161,23 @@ def marginals(emission: np.ndarray, counts: np.ndarray, transitions: np.ndarray,
 def label_tokens(docs: list[tuple[list[str], int]], min_contexts: int = 4, min_log_odds: float = 2.5) -> list[np.ndarray]:
     """Token labels from document labels; see the module's docstring."""
     seen = [Counter(), Counter()]
-    contexts: dict[str, set] = defaultdict(set)
     for words, toxic in docs:
         seen[toxic].update(set(words))
-        if toxic:
-            for k, w in enumerate(words):
-                contexts[w].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
     n = [sum(t == k for _, t in docs) for k in (0, 1)]
     odds = lambda w: math.log((seen[1][w] + 0.5) / (n[1] + 1)) - math.log((seen[0][w] + 0.5) / (n[0] + 1))
-    bad = {w for w in seen[1] if w and len(contexts[w]) >= min_contexts and odds(w) >= min_log_odds}
+    contexts: dict[str, set] = {w: set() for w in seen[1] if w and odds(w) >= min_log_odds}
+    for words, toxic in docs:
+        if toxic:
+            for k, w in enumerate(words):
+                if w in contexts:
+                    contexts[w].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+    bad = {w for w, around in contexts.items() if len(around) >= min_contexts}
     return [np.fromiter((bool(t) and w in bad for w in words), dtype=bool, count=len(words)) for words, t in docs]
 
 
 def fit(docs: list[tuple[str, int]], epochs: int = 40, rate: float = 0.5, l2: float = 1e-6) -> Chain:
     """The field fitted to (text, toxic) documents by Adagrad on the whole sample's likelihood."""
-    split = [([normal(t) for t in text.split()], toxic) for text, toxic in docs]
+    split = [([intern(normal(t)) for t in text.split()], toxic) for text, toxic in docs]
     split = [(words, toxic) for words, toxic in split if words]
     bias = -6.0
     transitions, start = np.zeros((2, 2)), 0.0
@@ -182,7 +185,7 @@ def fit(docs: list[tuple[str, int]], epochs: int = 40, rate: float = 0.5, l2: fl
     if not split or not any(x.any() for x in labels):
         return Chain({"b": bias}, transitions, bias)
     number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for words, _ in split for w in words])
+    ids = np.fromiter((number.setdefault(w, len(number)) for words, _ in split for w in words), dtype=np.int32)
     counts = np.array([len(words) for words, _ in split])
     names: dict[str, int] = {"b": 0}
     width = 6
@@ -191,6 +194,7 @@ def fit(docs: list[tuple[str, int]], epochs: int = 40, rate: float = 0.5, l2: fl
     weights[0] = bias
     filled = table >= 0
     y = np.concatenate(labels)
+    del split, labels
     begin = np.cumsum(counts) - counts
     later = np.ones(len(y), dtype=bool)
     later[begin] = False
