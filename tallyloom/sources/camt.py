@@ -64,7 +64,9 @@ def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency:
     ``statement_currency`` takes the account's currency where an entry has
     none.  An amount that is there but unreadable raises.
     """
-    rows = stmts.select("_file", "stmt_index", account_id(F.col("stmt")).alias("AccountId"), F.col("stmt.Id").alias("_stmt_id"), F.col("stmt.Acct.Ccy").alias("__ccy"), F.posexplode("stmt.Ntry").alias("_entry", "e"))
+    # the statement's own fields first: exploded rows must not each carry the whole statement
+    flat = stmts.select("_file", "stmt_index", account_id(F.col("stmt")).alias("AccountId"), F.col("stmt.Id").alias("_stmt_id"), F.col("stmt.Acct.Ccy").alias("__ccy"), F.col("stmt.Ntry").alias("__entries"))
+    rows = flat.select("_file", "stmt_index", "AccountId", "_stmt_id", "__ccy", F.posexplode("__entries").alias("_entry", "e"))
     e = F.col("e")
     details = F.flatten(F.transform(F.coalesce(e["NtryDtls"], F.array()), lambda d: F.coalesce(d["TxDtls"], F.array())))
     rows = rows.withColumn("__d", details)
@@ -95,7 +97,8 @@ def balances(stmts: DataFrame) -> DataFrame:
     s = F.col("stmt")
     hollow = s["Acct"].isNull() & s["Bal"].isNull() & s["Ntry"].isNull() & (s["Id"].isNotNull() | s["CreDtTm"].isNotNull())
     whole = stmts.withColumn("__b", F.when(hollow, F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast(f"array<{_BALANCE}>")).otherwise(s["Bal"]))
-    rows = whole.select("_file", F.col("stmt_index").alias("_stmt_index"), account_id(s).alias("AccountId"), F.posexplode("__b").alias("_balance", "b"))
+    flat = whole.select("_file", F.col("stmt_index").alias("_stmt_index"), account_id(s).alias("AccountId"), "__b")
+    rows = flat.select("_file", "_stmt_index", "AccountId", F.posexplode("__b").alias("_balance", "b"))
     b = F.col("b")
     day = F.coalesce(b["Dt"]["Dt"], b["Dt"]["DtTm"])
     rows = rows.where(b["Amt"]["_VALUE"].isNotNull() & b["Amt"]["_Ccy"].isNotNull() & b["CdtDbtInd"].isNotNull() & day.isNotNull())

@@ -14,6 +14,7 @@ _PARTY = "struct<Nm:string,PstlAdr:struct<Ctry:string,AdrLine:array<string>>>"
 _ACCOUNT = "struct<Id:struct<IBAN:string,Othr:struct<Id:string>>>"
 _TRANSFER = f"struct<PmtId:struct<EndToEndId:string>,Amt:struct<InstdAmt:struct<_VALUE:string,_Ccy:string>>,CdtrAgt:{_AGENT},Cdtr:{_PARTY},CdtrAcct:{_ACCOUNT},RmtInf:struct<Ustrd:array<string>>>"
 _PAYMENT = f"struct<PmtInfId:string,PmtMtd:string,BtchBookg:string,NbOfTxs:string,CtrlSum:string,ReqdExctnDt:string,Dbtr:{_PARTY},DbtrAcct:{_ACCOUNT},DbtrAgt:{_AGENT},ChrgBr:string,CdtTrfTxInf:array<{_TRANSFER}>>"
+_OWN = ("PmtInfId", "PmtMtd", "NbOfTxs", "CtrlSum", "ReqdExctnDt", "Dbtr", "DbtrAcct", "DbtrAgt", "ChrgBr")
 DOCUMENT = f"GrpHdr struct<MsgId:string,CreDtTm:string,NbOfTxs:string,InitgPty:struct<Nm:string>>, PmtInf array<{_PAYMENT}>"
 
 
@@ -30,7 +31,9 @@ def initiations_from_text(texts: DataFrame, xml: str = "xml", name: str = "_file
 
 def _rows(docs: DataFrame) -> DataFrame:
     payments = docs.select("_file", F.col("GrpHdr").alias("h"), F.posexplode("PmtInf").alias("_payment", "p"))
-    return payments.select("_file", "h", "_payment", "p", F.posexplode("p.CdtTrfTxInf").alias("_transfer", "t"))
+    # the payment without its transfers, so that exploded rows don't each carry them all
+    flat = payments.select("_file", "h", "_payment", F.struct(*(F.col(f"p.{c}").alias(c) for c in _OWN)).alias("p"), F.col("p.CdtTrfTxInf").alias("__transfers"))
+    return flat.select("_file", "h", "_payment", "p", F.posexplode("__transfers").alias("_transfer", "t"))
 
 
 def payments(docs: DataFrame, redact_pii: bool = False) -> DataFrame:
