@@ -63,6 +63,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of op8, one a row."""
+    found = suffix_dedup.passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "first_doc_id", F.explode("spans").alias("s"), "removed").select("doc_id", "first_doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), "removed")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_blocks(table(spark, sf_dir, "documents"))
 
@@ -75,7 +81,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_token_counts, op3_near_dedup, op4_sharding, op5_mixing, op6_ann, op7_bpe, op8_suffix_dedup, op9_token_output, op10_media_chunks, slot_bytes]
+    own = [op1_toxicity, op2_token_counts, op3_near_dedup, op4_sharding, op5_mixing, op6_ann, op7_bpe, op8_suffix_dedup, op9_token_output, op10_media_chunks, slot_bytes, repeated_passages]
     return {f.__name__: f for f in own}
 
 
@@ -86,4 +92,13 @@ def oracle_sql() -> dict[str, str]:
             select (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 4096)::int as slot,
                    count(*) as n_docs, sum(coalesce(strlen(text), 0))::bigint as n_bytes
             from documents group by 1""",
+        "repeated_passages": r"""
+            with w as (select doc_id, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') as ws from documents),
+            g as (select doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) as h from w, lateral (select unnest(range(0, len(ws) - 49)) as i)),
+            c as (select h, min(doc_id) as k from g group by h having count(distinct doc_id) > 1),
+            p as (select distinct doc_id, k, i from g join c using (h)),
+            n as (select *, case when i <= lag(i) over (partition by doc_id, k order by i) + 50 then 0 else 1 end as new from p),
+            s as (select *, sum(new) over (partition by doc_id, k order by i rows unbounded preceding) as island from n)
+            select doc_id, k as first_doc_id, min(i)::int as start_word, (max(i) + 50)::int as end_word, doc_id <> k as removed
+            from s group by doc_id, k, island""",
     }
