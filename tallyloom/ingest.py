@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .exceptions import FormatError, PayloadError
 from .operators import payload, verification
+from .operators.dedup import merge_strips
 from .operators.normalize import normalize
 from .sources import pages as page_source
 from .sources.registry import FORMATS, file_index
@@ -124,8 +125,16 @@ def traced(tx: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("source_page", F.coalesce("source_page", first_page_with(F.col("description"), F.col("pages")))).drop("pages")
 
 
-def merge_answers(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of overlapping strips, each once, the first strip's first."""
-    from .operators.dedup import merge_strips
+def vision_strips(strips: DataFrame, look: Callable[[str, list[bytes]], str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, balances) of page strips (_file, page, strip, image), each shown to the model by the executors.
 
-    return merge_strips(rows, by, ["strip", "source_index"])
+    Rows that two strips show count once; the first strip that states a
+    balance supplies it.
+    """
+    prompt = extraction_prompt("")
+    ask = F.udf(lambda image: look(prompt, [bytes(image)]), "string")
+    answers = strips.select("_file", "page", "strip", ask("image").alias("answer"))
+    rows = payload.payload_rows(answers, method="vision", by=["_file", "page", "strip"]).withColumn("source_page", F.coalesce("source_page", "page"))
+    at = F.struct("page", "strip", "source_index")
+    balances = rows.groupBy("_file").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("opening_balance", "closing_balance")))
+    return merge_strips(rows, ["_file"], ["page", "strip", "source_index"]), balances

@@ -23,6 +23,14 @@ def map_accounts(description: Column, rules: list[tuple[str, str]], default: str
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+def load_rules(spark, path: str) -> tuple[DataFrame, str]:
+    """(rules in order, the default account) of a JSON file {"default": ..., "rules": [{"pattern", "account"}]}; entries that aren't rules are left out."""
+    raw = spark.read.schema("default string, rules array<struct<pattern:string,account:string>>").option("multiLine", True).json(path)
+    rules = raw.select(F.posexplode("rules").alias("ord", "r")).select("ord", "r.pattern", "r.account").where("pattern is not null and account is not null")
+    first = raw.select("default").first()
+    return rules, (first["default"] if first else None) or "Expenses:Uncategorized"
+
+
 def map_accounts_by(tx: DataFrame, rules: DataFrame, default: str, index: str = "idx", text: str = "description") -> DataFrame:
     """``tx`` with account, from rules (ord, pattern, account) in a table.
 

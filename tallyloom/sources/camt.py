@@ -144,3 +144,12 @@ def statements_with_balances(stmts: DataFrame) -> DataFrame:
     last = balances(stmts).withColumn("__n", F.row_number().over(w)).where("__n = 1")
     by_code = last.groupBy("AccountId").agg(F.map_from_entries(F.collect_list(F.struct("Code", F.struct("Amount", "Description")))).alias("balances"))
     return stats(stmts).join(by_code, "AccountId", "left")
+
+
+def read_folder(spark: SparkSession, folder: str, redact_pii: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, statements, transactions) of a folder's CAMT files; a malformed file is told of in ``files`` and leaves the others alone."""
+    stmts = statements(spark, folder, strict=False)
+    bad = F.max(F.col("_corrupt").isNotNull())
+    files = stmts.groupBy("_file").agg(F.when(bad, "Failed: malformed XML").otherwise("Success").alias("status"), F.count("stmt").alias("statements")).orderBy("_file")
+    good = stmts.where("stmt is not null")
+    return files, statements_with_balances(good), transactions(good, redact_pii)

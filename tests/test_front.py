@@ -134,3 +134,22 @@ def test_idempotent_stream(spark, tmp_path):
     assert seen.frame().count() == 4
     ingest("s1")
     assert seen.frame().count() == 4
+
+
+def test_strips_and_rules_and_folders(spark, tmp_path):
+    from tallyloom.ingest import vision_strips
+    from tallyloom.operators.enrichment import load_rules
+
+    strips = spark.createDataFrame([("f", 0, k, b"png%d" % k) for k in range(3)], "_file string, page int, strip int, image binary")
+    other = ANSWER.replace("Coffee", "Tea").replace('"opening_balance": "0"', '"opening_balance": null')
+    rows, balances = vision_strips(strips, lambda prompt, images: other if images[0] == b"png0" else ANSWER)
+    assert sorted(r["description"] for r in rows.collect()) == ["Coffee", "Tea"] and balances.first()["opening_balance"] == 0
+    (tmp_path / "rules.json").write_text(json.dumps({"default": "Other", "rules": [{"pattern": "a", "account": "A"}, {"pattern": "b"}, {"pattern": "c", "account": "C"}]}))
+    table, default = load_rules(spark, str(tmp_path / "rules.json"))
+    assert default == "Other" and [r["account"] for r in table.orderBy("ord").collect()] == ["A", "C"]
+    folder = tmp_path / "camt"
+    folder.mkdir()
+    (folder / "a.xml").write_text(ONE)
+    (folder / "b.xml").write_text(ONE[:-80])
+    files, statements, tx = camt.read_folder(spark, str(folder))
+    assert [r["status"] for r in files.collect()] == ["Success", "Failed: malformed XML"] and tx.where("_file like '%a.xml'").count() == 2 and statements.count() >= 1
