@@ -18,8 +18,8 @@ SIMILARITY = 0.9
 
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two normalized descriptions; 1 for two equal ones, '' included."""
-    return pd.Series([1.0 if a == b else SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")
+    """Ratio of matching blocks of two normalized descriptions; 0 where one is empty."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64")
 
 
 def with_primary_hash(tx: DataFrame) -> DataFrame:

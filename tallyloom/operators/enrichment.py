@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CATEGORIES = (
-    "Income", "Transfer", "Loan Payments", "Bank Fees", "Entertainment", "Food and Drink", "General Merchandise", "Home Improvement",
-    "Medical", "Personal Care", "General Services", "Government and Non-Profit", "Transportation",
-)
+CATEGORIES = tuple("Bank Fees|Cash Advance|Community|Food and Drink|Healthcare|Interest|Payment|Recreation|Service|Shops|Tax|Transfer|Travel".split("|"))
 NO_RESULT = "LLM did not return a result for this row"
 #: Rules up to which they become one CASE expression instead of a join.
 INLINE_RULES = 500

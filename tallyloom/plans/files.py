@@ -109,7 +109,7 @@ def csv_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = TX_SQL + "select idx, account_id, currency, amount::decimal(38,2) as amount, {more} from tx"
 SQL = {
     "camt_transactions": _ALL.format(more="booking_date, value_date, priority as debtor"),
-    "camt_balances": TX_SQL + "select account_id, 'OPBD' as code, 100::decimal(38,2) as amount, 'Opening booked balance' as description from tx group by 1 union all select account_id, 'CLBD', (100 + sum(amount))::decimal(38,2), 'Closing booked balance' from tx group by 1",
+    "camt_balances": TX_SQL + "select account_id, 'OPBD' as code, 100::decimal(38,2) as amount, 'Opening Booked balance' as description from tx group by 1 union all select account_id, 'CLBD', (100 + sum(amount))::decimal(38,2), 'Closing Booked balance' from tx group by 1",
     "camt_stats": TX_SQL + "select account_id, count(*) as n, sum(amount)::decimal(38,2) as net from tx group by 1",
     "camt_summary": TX_SQL + "select account_id, count(*) as n, sum(amount)::decimal(38,2) as total_amount, 100::decimal(38,2) as opening_balance, (100 + sum(amount))::decimal(38,2) as closing_balance, arg_min(currency, idx) as currency from tx group by 1",
     "camt_golden_rule": TX_SQL + "select account_id, currency, 'verified' as status, sum(amount)::decimal(38,2) as actual_delta from tx group by 1, 2",

@@ -91,7 +91,7 @@ def category_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as a model's answers for documents: some twice, some out of schema, some without confidence."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
     lab = load(spark, sf_dir, "labels")
-    name = F.element_at(F.array(F.lit(" income "), F.lit("BANK FEES"), F.lit("Nonsense")), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.element_at(F.array(F.lit(" travel "), F.lit("BANK FEES"), F.lit("Nonsense")), (F.col("doc_id") % 3 + 1).cast("int"))
     answer = lambda pos, c: lab.select(F.col("doc_id").alias("index"), F.lit(pos).alias("pos"), c.alias("category"), (F.col("toxic") == 1).alias("is_business_expense"), (F.col("quality") * 0.75 + F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)).alias("confidence"), F.lit("because").alias("rationale"))
     results = answer(0, name).unionByName(answer(1, F.lit("Transfer")).where(F.col("index") % 5 == 0))
     out = enrichment.attach_categories(docs, results)
@@ -239,7 +239,7 @@ SQL = {
     "pii_mask_filled": "select c_custkey, case c_custkey % 3 when 0 then '' when 1 then '***REDACTED***' end as debtor from customer",
     "account_map_static": "select p_partkey, case when regexp_matches(p_type, '(?i)PROMO') then 'Expenses:Promotion' when regexp_matches(p_type, '(?i)econ|small') then 'Expenses:Economy' when regexp_matches(p_type, '(?i)^st') then 'Expenses:Standard' when regexp_matches(p_type, '(?i)brass$') then 'Expenses:Brass' else 'Expenses:Other' end as account from part",
     "account_map_rules": "select doc_id, case when regexp_matches(text, '(?i)the') then 'A' when regexp_matches(text, '(?i)que') then 'B' when regexp_matches(text, '(?i)der') then 'C' else 'none' end as account from documents",
-    "category_attach": """select d.doc_id as idx, lang, case when l.doc_id is null then null when l.doc_id % 5 = 0 then 'Transfer' when l.doc_id % 3 = 0 then 'Income' when l.doc_id % 3 = 1 then 'Bank Fees' end as category,
+    "category_attach": """select d.doc_id as idx, lang, case when l.doc_id is null then null when l.doc_id % 5 = 0 then 'Transfer' when l.doc_id % 3 = 0 then 'Travel' when l.doc_id % 3 = 1 then 'Bank Fees' end as category,
         case when l.doc_id is not null then toxic = 1 end as is_business_expense, case when quality * 0.75 + case when toxic = 1 then 1 else 0 end <= 1 then (quality * 0.75 + case when toxic = 1 then 1 else 0 end)::decimal(10,4) end as enrichment_confidence,
         case when l.doc_id is null then 'LLM did not return a result for this row' else 'because' end as rationale from documents d left join labels l using (doc_id)""",
     "prompt_rows": TX_SQL + f""", n as (select *, row_number() over (partition by file order by idx) - 1 as n, {_KEY} as k from tx) select idx, (n // 25)::int as chunk, (n % 25)::int as chunk_index,

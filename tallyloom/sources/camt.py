@@ -19,13 +19,12 @@ _BALANCE = f"struct<Tp:struct<CdOrPrtry:struct<Cd:string,Prtry:string>>,Amt:{_AM
 STATEMENT = f"struct<Id:string,CreDtTm:string,Acct:struct<Id:struct<IBAN:string,Othr:struct<Id:string>>,Ccy:string>,Bal:array<{_BALANCE}>,Ntry:array<{_ENTRY}>>"
 DOCUMENT = f"GrpHdr struct<MsgId:string,CreDtTm:string>, Stmt array<{STATEMENT}>"
 
-BALANCE_CODES = {
-    "OPBD": "Opening booked balance", "CLBD": "Closing booked balance", "CLAV": "Closing available balance", "PRCD": "Previously closed booked balance", "FWAV": "Forward available balance",
-}
+#: Code -> name, but for the closing word.
+BALANCE_CODES = dict(FWAV="Forward Available", PRCD="Previously Closed Booked", CLAV="Closing Available", CLBD="Closing Booked", OPBD="Opening Booked")
 
 
 def balance_description(code: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for kv in BALANCE_CODES.items() for x in kv))
+    known = F.create_map(*(F.lit(x) for k, v in BALANCE_CODES.items() for x in (k, f"{v} balance")))
     return F.coalesce(F.try_element_at(known, code), F.lit("Unknown code"))
 
 

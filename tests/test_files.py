@@ -56,7 +56,7 @@ def test_camt(spark, folder):
     assert camt.transactions(stmts, redact_pii=True).first()["DebtorAddress"] == "***REDACTED***"
     stats = camt.stats(stmts).orderBy("_stmt_index").collect()
     assert [(r["NumTransactions"], r["num_parsed"], r["NetAmount"]) for r in stats] == [(3, 2, Decimal("757.25")), (1, 1, Decimal("-99.99"))]
-    assert camt.balances(stmts).where("Description = 'Opening booked balance'").count() == 2
+    assert camt.balances(stmts).where("Description = 'Opening Booked balance'").count() == 2
     out = verification.verify_by(normalize.normalize(camt.transactions(stmts)), camt.statement_balances(stmts), ["account_id", "currency"])
     assert {r["status"] for r in out.collect()} == {"verified"}
     summary = camt.summary(stmts).first()

@@ -114,10 +114,10 @@ def test_categorize_with_a_model(spark):
     def model(prompt):
         if "row 4" in prompt:
             return "sorry"
-        return 'Sure!\n```json\n{"results": [{"index": 0, "category": " income ", "confidence": 2, "is_business_expense": true}, {"index": 1, "category": "Nonsense", "confidence": 0.5, "rationale": "x"}]}\n```'
+        return 'Sure!\n```json\n{"results": [{"index": 0, "category": " travel ", "confidence": 2, "is_business_expense": true}, {"index": 1, "category": "Nonsense", "confidence": 0.5, "rationale": "x"}]}\n```'
 
     rows = {r["idx"]: r for r in enrichment.categorize(tx, model, ["file"], ["idx"], size=3).collect()}
-    assert rows[0]["category"] == "Income" and rows[0]["enrichment_confidence"] is None and rows[0]["is_business_expense"] is True
+    assert rows[0]["category"] == "Travel" and rows[0]["enrichment_confidence"] is None and rows[0]["is_business_expense"] is True
     assert rows[1]["category"] is None and rows[1]["enrichment_confidence"] == 0.5 and rows[2]["rationale"] == enrichment.NO_RESULT
     assert rows[4]["rationale"].startswith("categorization failed") and len(rows) == 5
 
