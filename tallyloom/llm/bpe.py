@@ -89,7 +89,7 @@ class Vocabulary:
         counts = np.zeros(len(words), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for w in np.flatnonzero(lengths > _LONG):
-            ids = self._merge_long(words[w])
+            ids = self.merge_word(words[w])
             parts.append((np.full(len(ids), w, dtype=np.int64), np.array(ids, dtype=np.int32)))
         short = [words[w] for w in np.flatnonzero(lengths <= _LONG)]
         raw = np.frombuffer(b"".join(short), dtype=np.uint8)
@@ -131,8 +131,8 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return ids[order].astype(np.int32), np.bincount(word, minlength=len(words)).astype(np.int64)
 
-    def _merge_long(self, word: bytes) -> list[int]:
-        """The same merges for one long word, in O(n log n)."""
+    def merge_word(self, word: bytes) -> list[int]:
+        """The same merges for one word, in O(n log n)."""
         ids: list[int] = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
         tokens, rank, n = self.tokens, self.rank, len(word)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -198,6 +198,7 @@ class PartCache:
 
     def clear(self) -> None:
         self.size, self.waiting = 0, []
+        self.counts: dict[str, int] = {}
         self.spaced, self.plain = _Parts(self, " "), _Parts(self, "")
         empty = np.zeros(0, dtype=np.int64)
         self.unsafe = np.zeros(0, dtype=bool)
@@ -264,9 +265,14 @@ class PartCache:
         counts = np.diff(np.concatenate([[0], upto[ends]]))
         return gather(self.ids, self.id_start[flat], per_part), counts
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that are already split, and how many each has."""
-        return self.vocab.merge_words([w.encode("utf-8", "surrogatepass") for w in words])
+    def count_word(self, word: str) -> int:
+        """How many ids one word has; for the few words of an edit, where arrays cost more than they save."""
+        known = self.counts.get(word)
+        if known is None:
+            if len(self.counts) > _CACHE:
+                self.counts.clear()
+            known = self.counts[word] = len(self.vocab.merge_word(word.encode("utf-8", "surrogatepass")))
+        return known
 
     def words(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text: characters and ids of each of its words."""

@@ -139,8 +139,7 @@ def apply_edit(text: str, tree: WordTree, start: int, end: int, replacement: str
     else:
         stop_node = len(tree.word_chars) - 1
         stop_k = len(tree.word_chars[stop_node])
-    _, counts = cache.encode_words(words)
-    tree.replace((node, k), (stop_node, stop_k), [len(w) for w in words], counts.tolist())
+    tree.replace((node, k), (stop_node, stop_k), [len(w) for w in words], [cache.count_word(w) for w in words])
     return new, len(words)
 
 
