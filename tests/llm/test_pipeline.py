@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_operators import brute_groups, brute_repeats, draws, reference_encoder
+from test_llm_operators import brute_groups, brute_repeats, draws, reference_encoder
 
 from tallyloom.llm import registry, suffix_dedup, toxicity
 from tallyloom.llm.common import table
