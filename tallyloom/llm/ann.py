@@ -1,6 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, one a shard.
 
-Vectors are hashed into shards of bounded size.  In a shard each vector is
+Equal vectors are folded before the build: a graph has one node a distinct
+vector, which carries the ids of its copies, since pruning keeps but one or two
+of several equal ones.  Answers are found for distinct vectors and expanded
+exactly, by least id, when they are merged; no list needs more than the k + 1
+least ids of a vector.
+
+Distinct vectors are hashed into shards of bounded size.  In a shard each is
 inserted by a greedy search from the medoid, whose visited vectors are pruned
 to edges that a shorter detour doesn't make needless: a candidate goes if an
 edge already kept is ``alpha`` times nearer to it than the vector itself (a
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,18 +146,26 @@ def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return given.withColumn("__row", F.row_number().over(Window.partitionBy("id").orderBy("vector"))).where("__row = 1").drop("__row")
 
 
+def folded(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors (id, vector, members), of their least id and with their k + 1 least ids in order; and (id, of) of every vector."""
+    own = Window.partitionBy("vector").orderBy("id")
+    ranked = cut(vectors.withColumns({"of": F.first("id").over(own), "place": F.row_number().over(own)}))
+    nodes = ranked.where(F.col("place") <= k + 1).groupBy("of").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("members"))
+    return cut(nodes.withColumnRenamed("of", "id")), ranked.select("id", "of")
+
+
 def graphs(vectors: DataFrame, shards: int, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """(shard, ids, vectors, graph, entry): one row a shard; matrices are bytes."""
+    """(shard, ids, members, vectors, graph, entry): one row a shard of distinct vectors; matrices are bytes."""
     id_type = vectors.schema["id"].dataType.simpleString()
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         matrix = np.stack(frame["vector"].to_numpy()).astype(np.float32)
         graph, entry = build(matrix, degree, beam, alpha)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "ids": [frame["id"].to_numpy()], "vectors": [matrix.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": [entry]})
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "ids": [frame["id"].to_numpy()], "members": [list(frame["members"])], "vectors": [matrix.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": [entry]})
 
     placed = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInPandas(one, f"shard int, ids array<{id_type}>, vectors binary, graph binary, entry int")
+    return placed.groupBy("shard").applyInPandas(one, f"shard int, ids array<{id_type}>, members array<array<{id_type}>>, vectors binary, graph binary, entry int")
 
 
 def blocks(queries: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -170,16 +185,16 @@ def blocks(queries: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 def neighbours(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """(id, neighbour_id, rank, distance): each vector's k nearest others over all shards."""
     id_type = table.schema[id_col].dataType.simpleString()
-    vectors = cut(clean(table, id_col, vector_col))
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
-    index = cut(graphs(vectors, shards, degree, beam, alpha)).repartition(shards)
-    asked = blocks(vectors)
+    nodes, copies = folded(clean(table, id_col, vector_col), k)
+    shards = max(1, math.ceil(nodes.count() / shard_rows))
+    index = cut(graphs(nodes, shards, degree, beam, alpha)).repartition(shards)
+    asked = blocks(nodes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, raw, edges, entry, query_ids, queries = (c[r] for c in batch.columns)
-                ids, query_ids = ids.values, query_ids.values
+                ids, members, raw, edges, entry, query_ids, queries = (c[r] for c in batch.columns)
+                ids, members, query_ids = ids.values, members.values, query_ids.values
                 matrix = np.frombuffer(raw.as_py(), dtype=np.float32).reshape(len(ids), -1)
                 graph = np.frombuffer(edges.as_py(), dtype=np.int32).reshape(len(ids), -1).astype(np.int64)
                 asked_ = np.frombuffer(queries.as_py(), dtype=np.float32).reshape(len(query_ids), -1)
@@ -187,9 +202,18 @@ def neighbours(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col
                     found, dist = beam_search(graph, matrix, entry.as_py(), asked_[begin : begin + 250], max(beam, k + 1))
                     found, dist = found[:, : k + 1], dist[:, : k + 1]  # one may be the query itself
                     row, column = np.nonzero(found >= 0)
-                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row + begin)), ids.take(pa.array(found[row, column])), pa.array(np.sqrt(dist[row, column].astype(np.float64)))], names=["id", "neighbour", "distance"])
-
-    pairs = index.select("ids", "vectors", "graph", "entry").crossJoin(asked).mapInArrow(search, f"id {id_type}, neighbour {id_type}, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    best = pairs.where("id <> neighbour").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("id").alias(id_col), F.col("neighbour").alias(f"neighbour_{id_col}"), "rank", "distance")
+                    other = pc.not_equal(query_ids.take(pa.array(row + begin)), ids.take(pa.array(found[row, column]))).to_numpy(zero_copy_only=False)
+                    row, column = row[other], column[other]
+                    near = members.take(pa.array(found[row, column]))
+                    each = np.repeat(np.arange(len(row)), near.value_lengths().to_numpy())
+                    row, column = row[each], column[each]
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row + begin)), near.flatten(), pa.array(np.sqrt(dist[row, column].astype(np.float64)))], names=["of", "neighbour", "distance"])
+
+    pairs = index.select("ids", "members", "vectors", "graph", "entry").crossJoin(asked).mapInArrow(search, f"of {id_type}, neighbour {id_type}, distance double")
+    pairs = pairs.unionByName(nodes.select(F.col("id").alias("of"), F.explode("members").alias("neighbour"), F.lit(0.0).alias("distance")))
+    order = Window.partitionBy("of").orderBy("distance", "neighbour")
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    lists = best.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    own = copies.join(lists, "of").select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
+    out = own.select("id", F.posexplode("near").alias("place", "x"))
+    return out.select(F.col("id").alias(id_col), F.col("x.neighbour").alias(f"neighbour_{id_col}"), (F.col("place") + 1).alias("rank"), F.col("x.distance").alias("distance"))

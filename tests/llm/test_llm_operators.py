@@ -458,6 +458,28 @@ def test_neighbours(spark):
     assert ann.neighbours(table.where("false")).count() == 0 and ann.neighbours(table.where("vec_id = 1")).count() == 0
 
 
+def test_neighbours_of_equal_vectors(spark):
+    """Groups of 1 to 100 copies in shards of several; each copy's nearest are the other copies of least id, then the next vectors."""
+    rng = np.random.default_rng(9)
+    sizes = [3, 4, 5, 8, 10, 11, 12, 40, 100] + [1] * 300
+    of = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+    x = rng.normal(size=(len(sizes), 64)).astype(np.float32)[of]
+    x[of == 0, 0] = 0.0
+    x[np.flatnonzero(of == 0)[0], 0] = -0.0
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>")
+    near = defaultdict(list)
+    for r in sorted(ann.neighbours(table, shard_rows=150).collect(), key=lambda r: (r["vec_id"], r["rank"])):
+        near[r["vec_id"]].append((r["neighbour_vec_id"], r["distance"]))
+    hits = 0
+    for i in range(len(x)):
+        equal = [j for j in np.flatnonzero(of == of[i]).tolist() if j != i][:10]
+        assert near[i][: len(equal)] == [(j, 0.0) for j in equal] and len(near[i]) == len({j for j, _ in near[i]}) == 10
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1, dtype=np.float64))
+        d[i] = np.inf
+        hits += len({j for j, _ in near[i]} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 10 * len(x)
+
+
 # ---- 10: media
 
 
