@@ -23,6 +23,12 @@ def test_query(spark, duck, sf_dir, name):
     assert sorted((tuple(r[c] for c in columns) for r in rows), key=repr) == sorted((tuple(r[k] for k in order) for r in want.fetchall()), key=repr)
 
 
+def test_eval_scores_judges_every_order(spark, duck, sf_dir):
+    got = {r["case_name"]: (r["expected_count"], r["actual_count"]) for r in QUERIES["eval_scores"](spark, sf_dir).collect()}
+    want = duck.sql("select 'ACCT-' || (o_custkey % 40)::varchar, count(*) from orders group by 1").fetchall()
+    assert got == {name: (n, n - (n + 4) // 5) for name, n in want}
+
+
 def test_entry(spark, monkeypatch):
     import __spark_entry__ as e
 
