@@ -4,7 +4,8 @@ A record's slot is a hash of its id, so it never changes; slots, not records,
 belong to shards.  Bytes are summed per slot, and a rebalancing edits single
 slots of the slot-to-shard map under a new version.  The map has one row a slot
 and a few edits, at any size of the data, so it is built on the driver and
-broadcast.
+broadcast.  It is kept as tables in a shared folder, where each version adds its
+edits, and a later rebalancing reads it from there and goes on.
 
 Defined results: records of null id share the slot of the empty string; a null
 or empty payload counts 0 bytes; repeated rows have the same slot and count
@@ -15,10 +16,13 @@ replaces input columns that have the names of its own.
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 SLOTS = 4096
 
 
@@ -42,6 +46,7 @@ class SlotMap:
 
     def __init__(self, slots: int = SLOTS, shards: int = 64):
         self.slots, self.shards = slots, shards
+        self.widths = [shards]  # each version's number of shards
         self.edits: list[dict[int, int]] = [{s: s * shards // slots for s in range(slots)}]
 
     @property
@@ -110,6 +115,7 @@ class SlotMap:
             put(s, to)
         before = self.at()
         self.shards = shards
+        self.widths.append(shards)
         self.edits.append({s: k for s, k in moved.items() if before[s] != k})
         return self.edits[-1]
 
@@ -121,6 +127,43 @@ class SlotMap:
         return spark.createDataFrame([(v + 1, s, k) for v, edit in enumerate(self.edits) for s, k in edit.items()], "version int, slot int, shard int")
 
 
+def store(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
+    """Write the versions that ``path`` doesn't have: the edits first, then the row that makes them count; who finds a version written meanwhile fails."""
+    log, known = slot_map.log(spark), _versions(spark, path)
+    for v in range(len(known) + 1, slot_map.version + 1):
+        log.where(F.col("version") == v).coalesce(1).write.mode("overwrite").parquet(f"{path}/edits/v{v}")
+        spark.createDataFrame([(v, slot_map.slots, slot_map.widths[v - 1])], "version int, slots int, shards int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/versions/v{v}")
+
+
+def stored(spark: SparkSession, path: str) -> SlotMap:
+    """The map that ``path`` has, with all its versions."""
+    known = _versions(spark, path)
+    if not known:
+        raise ValueError(f"no slot map in {path}")
+    slot_map = SlotMap(known[0]["slots"], known[0]["shards"])
+    slot_map.widths = [r["shards"] for r in known]
+    slot_map.shards = slot_map.widths[-1]
+    slot_map.edits = [{} for _ in known]
+    for r in spark.read.parquet(*(f"{path}/edits/v{r['version']}" for r in known)).collect():
+        slot_map.edits[r["version"] - 1][r["slot"]] = r["shard"]
+    return slot_map
+
+
+def _versions(spark: SparkSession, path: str) -> list[Row]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.parquet(f"{path}/versions/*").orderBy("version").collect()
+
+
+def rebalance_stored(spark: SparkSession, path: str, sizes: dict[int, int], shards: int | None = None) -> dict[int, int]:
+    """Edit the map that ``path`` has under a new version; the slots it moves."""
+    slot_map = stored(spark, path)
+    moved = slot_map.rebalance(sizes, shards)
+    store(spark, slot_map, path)
+    return moved
+
+
 def assign(docs: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", versions: dict[str, int] | None = None) -> DataFrame:
     """``docs`` with its slot and a shard column for each of ``versions`` (name -> version; the latest as ``shard`` by default).  No shuffle."""
     names = {"shard": slot_map.version} if versions is None else versions
@@ -132,10 +175,14 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", versions:
     return given.join(F.broadcast(table), given["slot"] == table["__slot"], "left").drop("__slot")
 
 
-def balanced(docs: DataFrame, shards: int = 64, grown_to: int = 72, id_col: str = "doc_id", payload_col: str = "text", slots: int = SLOTS) -> SlotMap:
-    """A map over ``shards``, rebalanced by bytes (version 2) and again for more shards (version 3)."""
+def balanced(docs: DataFrame, shards: int = 64, grown_to: int = 72, id_col: str = "doc_id", payload_col: str = "text", slots: int = SLOTS, path: str | None = None) -> SlotMap:
+    """A map over ``shards``, rebalanced by bytes (version 2) and again for more shards (version 3); kept in ``path``, or in a new shared folder."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    if _versions(spark, path):
+        raise ValueError(f"{path} has a slot map; rebalance_stored edits it")
     sizes = {r["slot"]: r["n_bytes"] for r in slot_bytes(docs, id_col, payload_col, slots).collect()}  # one row a slot
-    slot_map = SlotMap(slots, shards)
-    slot_map.rebalance(sizes)
-    slot_map.rebalance(sizes, grown_to)
-    return slot_map
+    store(spark, SlotMap(slots, shards), path)
+    rebalance_stored(spark, path, sizes)
+    rebalance_stored(spark, path, sizes, grown_to)
+    return stored(spark, path)

@@ -392,6 +392,25 @@ def test_rebalance():
         m.at(9)
 
 
+def test_slot_map_is_kept(spark, awkward, tmp_path):
+    """The map is read again from its tables, version by version, and a later rebalancing edits it."""
+    path = str(tmp_path / "map")
+    made = sharding.balanced(awkward, 4, 6, slots=64, path=path)
+    again = sharding.stored(spark, path)
+    assert again.edits == made.edits and again.widths == [4, 4, 6] and again.shards == 6
+    moved = sharding.rebalance_stored(spark, path, {5: 100, 6: 100}, 3)
+    last = sharding.stored(spark, path)
+    assert last.version == 4 and [last.at(v) for v in (1, 2, 3)] == [made.at(v) for v in (1, 2, 3)] and max(last.at()) == 2
+    assert set(moved) == {s for s in range(64) if last.at(3)[s] != last.at(4)[s]}
+    assert sharding.rebalance_stored(spark, path, {}) == {} and sharding.stored(spark, path).version == 5
+    out = sharding.assign(awkward, sharding.stored(spark, path), versions={"v3": 3, "v5": 5})
+    assert all(r["v3"] == made.at(3)[r["slot"]] and r["v5"] == last.at()[r["slot"]] for r in out.select("slot", "v3", "v5").collect())
+    with pytest.raises(ValueError, match="has a slot map"):
+        sharding.balanced(awkward, 4, 6, slots=64, path=path)
+    with pytest.raises(ValueError, match="no slot map"):
+        sharding.stored(spark, str(tmp_path / "none"))
+
+
 # ---- 5: mixing
 
 
