@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,16 +251,108 @@ def test_banding_reaches_its_recall():
     assert p.partition(low) == p.partition(high) == 7 and p.partition(high + 1) == 8
 
 
+def brute_parts(rows, roots, params=near_dedup.Params()):
+    """(root, head) of the classes that go with a container's, from classes as ``brute_groups`` gives them."""
+    words = WordHashes()
+    sets = defaultdict(list)
+    for i, t in rows:
+        h = words.of((t or "").split())
+        h = h[h != 0]
+        if i is not None and len(h):
+            sets[i].append(set(shingles(h, params.k).tolist()))
+    most = Counter()
+    for i, own in sets.items():
+        r = roots.get(i, i)
+        most[r] = max(most[r], max(map(len, own)))
+    owners = defaultdict(set)
+    for i, own in sets.items():
+        for x in set().union(*own):
+            owners[x].add(i)
+    heads = {}
+    for i in (i for i in sets if i not in roots):
+        for a in sets[i]:
+            for j in set().union(*(owners[x] for x in a)) - {i}:
+                if any(len(b) > params.ratio * len(a) and len(a & b) >= params.t * len(a) for b in sets[j]) and most[roots.get(j, j)] > most[i]:
+                    heads.setdefault(i, set()).add(roots.get(j, j))
+    return heads
+
+
+def gone(rows):
+    """The documents that near-duplicate detection takes away."""
+    roots = brute_groups(rows)
+    return set(roots) | set(brute_parts(rows, roots))
+
+
 def test_near_duplicates(spark, awkward, empty):
-    got = {r["doc_id"]: r["kept_doc_id"] for r in near_dedup.duplicates(awkward).collect()}
-    assert got == brute_groups([(r["doc_id"], r["text"]) for r in awkward.collect()])
-    assert got[2] == 1 and got[3] == 1 and got[8] == 7 and got[10] == 9
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    got = {r["doc_id"]: r for r in near_dedup.duplicates(awkward).collect()}
+    want = brute_groups(rows)
+    heads = brute_parts(rows, want)
+    assert heads == {12: {13}} and set(got) == set(want) | {12}
+    assert {i: r["kept_doc_id"] for i, r in got.items()} == {i: 13 if k == 12 else k for i, k in (want | {12: 12}).items()}
+    assert {i for i, r in got.items() if r["part"]} == {12, 16}
+    assert want[2] == 1 and want[3] == 1 and want[8] == 7 and want[10] == 9 and want[16] == 12 and got[12]["kept_doc_id"] == 13
     kept = near_dedup.keep_one(awkward)
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert kept.columns == awkward.columns and ids[None] == 2 and ids[1] == 1 and ids[2] == ids[3] == 0 and ids[4] == ids[5] == ids[6] == 1
     assert near_dedup.duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("filtered", [True, False])
+def test_parts_of_larger_documents(spark, monkeypatch, filtered):
+    """Documents contained in others of 1.6 to 100 times their size, whole and with edits, and a line that many share and one consists of."""
+    if not filtered:
+        monkeypatch.setattr(near_dedup, "FILTER_BYTES", 0)
+    r, line, rows = random.Random(8), prose(12, 77), []
+    for n, times in enumerate([1.6, 2, 3, 5, 10, 30, 100] * 6):
+        small = prose(r.choice([5, 20, 60, 200]), 1000 + n).split()
+        large = prose(int(times * len(small)) + 2, 2000 + n).split()
+        at = r.randrange(len(large) - len(small))
+        copy = list(small)
+        for _ in range(n % 3 * len(small) // 40):
+            copy[r.randrange(len(copy))] = "edited"
+        large[at : at + len(small)] = copy
+        rows += [(10 * n + n % 2, " ".join(small)), (10 * n + 1 - n % 2, " ".join(large))]
+    rows += [(1000 + n, prose(200, 3000 + n) + " " + line) for n in range(40)] + [(1100, line), (1101, line + " end"), (1102, prose(9, 5) + " " + line)]
+    got = {x["doc_id"]: x for x in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    roots = brute_groups(rows)
+    heads = brute_parts(rows, roots)
+    assert len(heads) > 30 and {1101: 1100}.items() <= roots.items() and 1100 in heads and not any(1000 <= i < 1100 for i in roots)
+    found = {i for i, x in got.items() if x["part"] and i not in roots}
+    assert found <= set(heads) and len(found) >= 0.97 * len(heads)
+    assert all(got[i]["kept_doc_id"] in heads[i] and got[i]["n_links"] > 0 for i in found) and got[1101]["kept_doc_id"] == got[1100]["kept_doc_id"]
+
+
+def test_hot_bucket_of_unlike_rows():
+    """One bucket of 20,000 rows that are no copies of each other."""
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 2**63, size=(20_000, 2)).astype(np.uint64)
+    began = time.monotonic()
+    found, stay = near_dedup._lead(sig, np.full(20_000, 300), near_dedup.Params(), 0.16)
+    assert time.monotonic() - began < 60 and len(stay) == 20_000 - sum(int(x.sum()) for _, _, x in found)
+
+
+def test_signatures_of_other_widths(spark):
+    base = prose(300, 1).split()
+    rows = [(1, " ".join(base)), (2, " ".join(base[:290])), (3, prose(300, 2))]
+    for perms in (32, 100):
+        params = near_dedup.Params(perms=perms)
+        sig = [near_dedup.sketch(np.unique(shingles(WordHashes().of(t.split()), 3)), params, near_dedup._seeds(perms))[1] for _, t in rows]
+        assert near_dedup.agreement(np.stack(sig), sig[0], perms)[2] < 0.25
+        assert [(r["doc_id"], r["kept_doc_id"]) for r in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=params).collect()] == [(2, 1)]
+
+
+def test_who_is_refused_goes_back_to_its_bucket(spark, monkeypatch):
+    """Signatures say that all are alike; the texts are two kinds."""
+    kinds = [prose(100, 1), prose(100, 2)]
+    rows = [(i, kinds[i % 2] + f" {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    params = near_dedup.Params()
+    reps = spark.createDataFrame([(i, bytes([i]), [5], [1, 2], 100) for i, _ in rows], "id long, content binary, keys array<bigint>, sig array<bigint>, size int")
+    roots = {r["node"]: r["root"] for r in near_dedup.components(near_dedup.copies(reps, docs, "doc_id", "text", params)).collect()}
+    assert roots == {i: i % 2 for i in range(2, 12)}
+
+
 def test_near_duplicates_of_many_copies(spark):
     r = random.Random(3)
     rows = []
@@ -283,14 +376,18 @@ def test_components(spark):
 
 
 def test_leaders_across_batches(spark):
-    """A bucket of more rows than a batch holds is one bucket."""
+    """A bucket of more rows than a batch holds is one bucket, and leaders of parts of it meet."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        bands = spark.range(50).select(F.lit(5).cast("bigint").alias("key"), "id", F.lit(1).cast("bigint").alias("low"), F.lit(2).cast("bigint").alias("high"), F.lit(100).alias("size")).coalesce(1)
-        pairs = near_dedup.led_pairs(bands.sortWithinPartitions("key", "id"), near_dedup.Params(), "bigint").collect()
+        bands = spark.range(50).select(F.lit(5).cast("bigint").alias("key"), "id", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("sig"), F.lit(100).alias("size"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("boolean").alias("leaves"))
+        whole = near_dedup.led_pairs(bands.coalesce(1).sortWithinPartitions("key", "id"), near_dedup.Params(), "bigint").collect()
+        parts = near_dedup.led_pairs(bands.repartition(4).sortWithinPartitions("key", "id"), near_dedup.Params(), "bigint")
+        met = near_dedup.led_pairs(parts.repartition(1).sortWithinPartitions("key", "id"), near_dedup.Params(), "bigint").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(map(tuple, pairs)) == [(k, 0) for k in range(1, 50)]
+    assert sorted((r["id"], r["other"]) for r in whole if r["other"] is not None) == [(k, 0) for k in range(1, 50)]
+    assert [r["id"] for r in whole if r["other"] is None] == [0]
+    assert sorted(r["id"] for r in met if r["other"] is not None) == list(range(1, 50)) and [r["id"] for r in met if r["other"] is None] == [0]
 
 
 # ---- 8: repeated passages

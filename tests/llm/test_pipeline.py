@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_llm_operators import brute_groups, brute_repeats, draws, reference_encoder
+from test_llm_operators import brute_repeats, draws, gone, reference_encoder
 
 from tallyloom.llm import registry, suffix_dedup, toxicity
 from tallyloom.llm.common import table
@@ -20,8 +20,8 @@ def test_run_equals_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text", "source").collect()]
     chain = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     clean = [d for d, (p, _) in zip(docs, toxicity.score_texts(chain, [t for _, t, _ in docs])) if not len(p) or p.max() < toxicity.THRESHOLD]
-    gone = brute_groups([(i, t) for i, t, _ in clean])
-    one = [d for d in clean if d[0] not in gone]
+    repeated = gone([(i, t) for i, t, _ in clean])
+    one = [d for d in clean if d[0] not in repeated]
     spans = {}
     for (i, keeper), words in brute_repeats([(i, t) for i, t, _ in one], suffix_dedup.LENGTH).items():
         if i != keeper:
