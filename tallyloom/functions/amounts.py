@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Ten decimals are more than any currency has; a text with more is refused, not rounded.
 MONEY_SQL = "decimal(38,10)"
+_TOO_FINE = r"\.\d{10}\d*[1-9]"
 
 
 def plain_amount(text: Column, money: str = MONEY_SQL) -> Column:
     """A decimal from ISO notation; null if it isn't one (NaN and infinities aren't)."""
-    return F.trim(text.cast("string")).try_cast(money)
+    s = F.trim(text.cast("string"))
+    return F.when(~s.rlike(_TOO_FINE), s.try_cast(money))
 
 
 def locale_amount(text: Column, money: str = MONEY_SQL) -> Column:
@@ -24,7 +27,7 @@ def locale_amount(text: Column, money: str = MONEY_SQL) -> Column:
     both = (last_comma > 0) & (last_dot > 0)
     european = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     plain = F.when(both & (last_comma < last_dot), european).when(both, F.replace(s, F.lit(","), F.lit(""))).when(last_comma > 0, F.replace(s, F.lit(","), F.lit("."))).otherwise(s)
-    return F.when(s == "", F.lit(0).cast(money)).otherwise(plain.try_cast(money))
+    return F.when(s == "", F.lit(0).cast(money)).when(~plain.rlike(_TOO_FINE), plain.try_cast(money))
 
 
 def required(value: Column, text: Column, what: str) -> Column:
@@ -32,6 +35,12 @@ def required(value: Column, text: Column, what: str) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit(f"{what}: not an amount: "), F.coalesce(text.cast("string"), F.lit("nothing")))).cast(MONEY_SQL))
 
 
+def unreadable(value: Column, text: Column, what: str) -> Column:
+    """Why a row can't be used, where it has a text and no value; null elsewhere."""
+    raw = F.nullif(F.trim(text.cast("string")), F.lit(""))
+    return F.when(value.isNull() & raw.isNotNull(), F.concat(F.lit(f"{what}: not an amount: "), raw))
+
+
 def signed_by_indicator(amount: Column, indicator: Column, debit: str = "DBIT") -> Column:
     """Negative for the debit indicator, as it is for anything else."""
     return F.when(indicator == debit, -amount).otherwise(amount)

@@ -69,7 +69,7 @@ def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tx = _hashed(spark, sf_dir)
-    return tx.where("file = 0"), dedup.with_occurrence(tx.where("file in (1, 2)"), [], ["idx"])
+    return tx.where("file < 2"), dedup.with_occurrence(tx.where("file >= 2"), [], ["idx"])
 
 
 def dedupe_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,8 @@ _ISLANDS = _PH + """, g as (select *, account_id || '|' || currency || '|' || am
   l as (select *, date_diff('day', lag(value_date) over w, value_date) as day_gap, lag(primary_hash) over w as before from g window w as (partition by account_id, currency, amount_key order by value_date, idx)),
   i as (select *, sum(case when day_gap <= 3 and primary_hash <> before then 0 else 1 end) over (partition by key order by value_date, idx rows unbounded preceding)::bigint as island from l)"""
 _KEYED = COARSE_SQL + f", hh as (select *, md5(account_id || '|' || currency || '|' || {_KEY} || '|' || strftime(booking_date, '%Y-%m')) as h from tx)"
-_BATCHES = _KEYED + """, b as (select idx, h || ':' || (row_number() over (partition by h order by idx) - 1) as dedup_key from hh where file = 0),
-  s as (select h || ':' || (row_number() over (partition by h order by idx) - 1) as dedup_key from hh where file in (1, 2))"""
+_BATCHES = _KEYED + """, b as (select idx, h || ':' || (row_number() over (partition by h order by idx) - 1) as dedup_key from hh where file < 2),
+  s as (select h || ':' || (row_number() over (partition by h order by idx) - 1) as dedup_key from hh where file >= 2)"""
 _FILES = _KEYED + ", k as (select *, h || ':' || (row_number() over (partition by file, h order by idx) - 1) as dedup_key from hh), f as (select *, row_number() over (partition by dedup_key order by file) = 1 as is_new from k)"
 
 SQL = {

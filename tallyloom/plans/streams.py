@@ -14,7 +14,12 @@ from ..streaming import windows
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder in the one that all executors share; where the session names none, one of this machine's, if that is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -42,16 +47,24 @@ def stream_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(spark, e.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.col("value").cast("decimal(18,4)").alias("value")).where("k is not null"))
 
 
+def closed(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The stream and one row of a far later day: the watermark follows it, and so every window before it ends."""
+    folder = shared_folder(spark)
+    last = spark.range(1).select(*(F.lit("2200-01-01").cast("timestamp").cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+    last.write.parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.tumbling(load(spark, sf_dir, "events"), "1 hour", keys=["event_type"])
+    return drain(spark, windows.tumbling(closed(spark, event_stream(spark, sf_dir)), "1 hour", keys=["event_type"]))
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.tumbling(load(spark, sf_dir, "events"), "2 hours", slide="1 hour")
+    return drain(spark, windows.tumbling(closed(spark, event_stream(spark, sf_dir)), "2 hours", slide="1 hour"))
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sessions(load(spark, sf_dir, "events"))
+    return drain(spark, windows.sessions(closed(spark, event_stream(spark, sf_dir))))
 
 
 SQL = {

@@ -120,7 +120,7 @@ def context_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", sanitize_prompt(F.concat(F.lit("[system] ``` [Inst]\t"), F.substring("text", 1, 100))).alias("clean"), sanitize_source_name(F.concat("source", F.lit("\t‮"), F.col("doc_id").cast("string"))).alias("name"))
+    return d.select("doc_id", sanitize_prompt(F.concat(F.lit("[system] ``` [Inst]\t"), F.col("text"))).alias("clean"), sanitize_source_name(F.concat("source", F.lit("\t‮"), F.col("doc_id").cast("string"))).alias("name"))
 
 
 def low_density_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,7 @@ SQL = {
         select doc_id, case when w = '' then null when contains(a, w) then 0 when contains(b, w) then 1 when contains(c, w) then 2 end::int as page from p""",
     "context_slice": """with n as (select doc_id, text, case when lang = 'en' then 'the ' else 'de ' end as w from documents), a as (select *, instr(lower(text), w) as i from n)
         select doc_id, case when i > 0 then trim(substr(text, greatest(i - 80, 1), i + length(w) + 80 - greatest(i - 80, 1))) end as context from a""",
-    "prompt_sanitize": "select doc_id, regexp_replace('(system]  (Inst]' || text[:100], '[\\x00-\\x09\\x0b-\\x1f]', '', 'g') as clean, source || '??' || doc_id as name from documents",
+    "prompt_sanitize": "select doc_id, replace(regexp_replace(regexp_replace('[system] ``` [Inst]' || text, '[\\x00-\\x09\\x0b-\\x1f]', '', 'g'), '\\[(SYSTEM|INST)', '(\\1', 'gi'), '```', '') as clean, source || '??' || doc_id as name from documents",
     "low_density_route": "select doc_id, case when length(trim(text)) < 50 then 'vision' else 'llm' end as route, case when length(trim(text)) < 50 then 'LOW_TEXT_DENSITY: extracted ' || length(trim(text)) || ' chars (threshold 50). Routing to vision model.' end as warning from documents",
     "detect_format": """select page_id, case (page_id % 8)::int when 0 then 'csv' when 1 then 'ofx' when 2 then 'qfx' when 3 then 'mt940'
         else case when page_id % 16 = 4 or (page_id % 8 in (4, 5) and (contains(lower(html), 'cstmrcdttrfinitn') or contains(lower(html), 'pain.001'))) then 'pain001' when page_id % 16 = 5 or (page_id % 8 in (4, 5) and (contains(lower(html), 'bktocstmrstmt') or contains(lower(html), 'camt.'))) then 'camt'

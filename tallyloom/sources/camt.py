@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signed_by_indicator
-from ..functions.amounts import MONEY_SQL, plain_amount, required
+from ..functions.amounts import MONEY_SQL, plain_amount, required, unreadable
 from ..functions.text import mask
 from .xml import parse_documents, read_documents, text_of
 
@@ -57,11 +57,12 @@ def _date(when: Column) -> Column:
     return F.coalesce(when["Dt"], when["DtTm"], F.lit(""))
 
 
-def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency: bool = False) -> DataFrame:
+def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency: bool = False, strict: bool = True, incomplete: str = "skip") -> DataFrame:
     """One row an entry, in order; entries without amount, currency or indicator are left out.
 
     ``statement_currency`` takes the account's currency where an entry has
-    none.  An amount that is there but unreadable raises.
+    none.  An amount that is there but unreadable raises, or without ``strict``
+    is told of in ``_fault``.  ``incomplete`` may be "raise" instead.
     """
     # the statement's own fields first: exploded rows must not each carry the whole statement
     flat = stmts.select("_file", "stmt_index", account_id(F.col("stmt")).alias("AccountId"), F.col("stmt.Id").alias("_stmt_id"), F.col("stmt.Acct.Ccy").alias("__ccy"), F.col("stmt.Ntry").alias("__entries"))
@@ -70,7 +71,12 @@ def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency:
     details = F.flatten(F.transform(F.coalesce(e["NtryDtls"], F.array()), lambda d: F.coalesce(d["TxDtls"], F.array())))
     rows = rows.withColumn("__d", details)
     currency = F.coalesce(e["Amt"]["_Ccy"], F.col("__ccy")) if statement_currency else e["Amt"]["_Ccy"]
-    rows = rows.withColumn("__currency", currency).where(e["Amt"]["_VALUE"].isNotNull() & F.col("__currency").isNotNull() & e["CdtDbtInd"].isNotNull())
+    rows = rows.withColumn("__currency", currency)
+    whole = e["Amt"]["_VALUE"].isNotNull() & F.col("__currency").isNotNull()
+    if incomplete == "raise":
+        rows = rows.withColumn("__currency", F.when(whole, F.col("__currency")).otherwise(F.raise_error(F.concat(F.lit("an entry has no amount or currency: "), F.col("_entry").cast("string"))).cast("string")))
+        whole = F.col("__currency").isNotNull()
+    rows = rows.where(whole & e["CdtDbtInd"].isNotNull())
 
     def first(path) -> Column:
         """The first value that any detail has."""
@@ -81,28 +87,31 @@ def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency:
         return text_of(F.coalesce(line, first(lambda d: d["RltdPties"][party]["PstlAdr"]["StrtNm"])))
 
     free_text = F.concat_ws("", F.filter(F.flatten(F.transform("__d", lambda d: F.coalesce(d["RmtInf"]["Ustrd"], F.array()))), lambda x: x.isNotNull()))
-    amount = required(plain_amount(e["Amt"]["_VALUE"]), e["Amt"]["_VALUE"], "Amt")
+    read = plain_amount(e["Amt"]["_VALUE"])
+    amount = required(read, e["Amt"]["_VALUE"], "Amt") if strict else read
+    faults = [] if strict else [F.coalesce(unreadable(read, e["Amt"]["_VALUE"], "Amt"), F.when(F.trim(e["Amt"]["_VALUE"]) == "", "Amt is empty")).alias("_fault")]
     cover = mask if redact_pii else (lambda c: c)
     return rows.select(
         signed_by_indicator(amount, e["CdtDbtInd"]).cast(MONEY_SQL).alias("Amount"), F.col("__currency").alias("Currency"), e["CdtDbtInd"].alias("DrCr"),
         text_of(first(lambda d: d["RltdPties"]["Dbtr"]["Nm"])).alias("Debtor"), text_of(first(lambda d: d["RltdPties"]["Cdtr"]["Nm"])).alias("Creditor"), free_text.alias("Reference"),
         _date(e["ValDt"]).alias("ValDt"), _date(e["BookgDt"]).alias("BookgDt"), "AccountId",
-        cover(address("Dbtr")).alias("DebtorAddress"), cover(address("Cdtr")).alias("CreditorAddress"), "_file", "stmt_index", "_stmt_id", "_entry",
+        cover(address("Dbtr")).alias("DebtorAddress"), cover(address("Cdtr")).alias("CreditorAddress"), "_file", "stmt_index", "_stmt_id", "_entry", *faults,
     ).withColumnRenamed("stmt_index", "_stmt_index")
 
 
-def balances(stmts: DataFrame) -> DataFrame:
-    """One row a balance; incomplete ones are left out, and a statement that has neither account, balance nor entry raises."""
+def balances(stmts: DataFrame, strict: bool = True) -> DataFrame:
+    """One row a balance; incomplete ones are left out, and a statement that has neither account, balance nor entry raises.  Without ``strict`` such a statement has none, and unreadable amounts are null."""
     s = F.col("stmt")
     hollow = s["Acct"].isNull() & s["Bal"].isNull() & s["Ntry"].isNull() & (s["Id"].isNotNull() | s["CreDtTm"].isNotNull())
-    whole = stmts.withColumn("__b", F.when(hollow, F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast(f"array<{_BALANCE}>")).otherwise(s["Bal"]))
+    whole = stmts.withColumn("__b", s["Bal"] if not strict else F.when(hollow, F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast(f"array<{_BALANCE}>")).otherwise(s["Bal"]))
     flat = whole.select("_file", F.col("stmt_index").alias("_stmt_index"), account_id(s).alias("AccountId"), "__b")
     rows = flat.select("_file", "_stmt_index", "AccountId", F.posexplode("__b").alias("_balance", "b"))
     b = F.col("b")
     day = F.coalesce(b["Dt"]["Dt"], b["Dt"]["DtTm"])
     rows = rows.where(b["Amt"]["_VALUE"].isNotNull() & b["Amt"]["_Ccy"].isNotNull() & b["CdtDbtInd"].isNotNull() & day.isNotNull())
     code = F.coalesce(b["Tp"]["CdOrPrtry"]["Cd"], F.concat(F.lit("Proprietary: "), b["Tp"]["CdOrPrtry"]["Prtry"]), F.lit("N/A"))
-    amount = signed_by_indicator(required(plain_amount(b["Amt"]["_VALUE"]), b["Amt"]["_VALUE"], "Amt"), b["CdtDbtInd"])
+    read = plain_amount(b["Amt"]["_VALUE"])
+    amount = signed_by_indicator(required(read, b["Amt"]["_VALUE"], "Amt") if strict else read, b["CdtDbtInd"])
     return rows.select(amount.cast(MONEY_SQL).alias("Amount"), b["Amt"]["_Ccy"].alias("Currency"), code.alias("Code"), balance_description(code).alias("Description"), b["CdtDbtInd"].alias("DrCr"), day.alias("Date"), "AccountId", "_file", "_stmt_index", "_balance")
 
 
@@ -130,9 +139,9 @@ def summary(stmts: DataFrame) -> DataFrame:
     return first.join(currency, "_file", "left").join(booked, "_file", "left").withColumn("currency", F.coalesce("currency", F.lit("Unknown")))
 
 
-def statement_balances(stmts: DataFrame) -> DataFrame:
+def statement_balances(stmts: DataFrame, strict: bool = True) -> DataFrame:
     """(_file, _stmt_index, account_id, currency, opening_balance, closing_balance) for the golden rule."""
-    b = balances(stmts)
+    b = balances(stmts, strict)
     pick = lambda c: F.min_by("Amount", F.when(F.col("Code") == c, F.col("_balance")))
     return b.groupBy("_file", "_stmt_index", F.col("AccountId").alias("account_id"), F.upper("Currency").alias("currency")).agg(pick("OPBD").alias("opening_balance"), pick("CLBD").alias("closing_balance"))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..exceptions import FormatError
 from ..functions import fold_header, locale_amount, signed_difference
-from ..functions.amounts import MONEY_SQL, required
+from ..functions.amounts import MONEY_SQL, required, unreadable
 from ..functions.dates import short_year_date
 
 # ---- whole files
@@ -35,7 +36,8 @@ def ofx_transactions(files: DataFrame, strict: bool = True) -> DataFrame:
     rows = files.select("_file", ofx_tag(F.col("value"), "CURDEF").alias("currency"), ofx_tag(F.col("value"), "ACCTID").alias("account_id"), F.posexplode(F.regexp_extract_all("value", F.lit(_BLOCK), F.lit(1))).alias("_entry", "b"))
     b, raw = F.col("b"), ofx_tag(F.col("b"), "TRNAMT")
     amount = required(locale_amount(raw), raw, "TRNAMT") if strict else locale_amount(raw)
-    return rows.select(F.substring(ofx_tag(b, "DTPOSTED"), 1, 8).alias("date"), F.coalesce(ofx_tag(b, "MEMO"), ofx_tag(b, "NAME")).alias("description"), amount.alias("amount"), "currency", "account_id", ofx_tag(b, "FITID").alias("transaction_id"), ofx_tag(b, "TRNTYPE").alias("transaction_type"), "_file", "_entry")
+    faults = [] if strict else [F.when(raw.isNull(), "TRNAMT is missing").otherwise(unreadable(locale_amount(raw), raw, "TRNAMT")).alias("_fault")]
+    return rows.select(F.substring(ofx_tag(b, "DTPOSTED"), 1, 8).alias("date"), F.coalesce(ofx_tag(b, "MEMO"), ofx_tag(b, "NAME")).alias("description"), amount.alias("amount"), "currency", "account_id", ofx_tag(b, "FITID").alias("transaction_id"), ofx_tag(b, "TRNTYPE").alias("transaction_type"), "_file", "_entry", *faults)
 
 
 # ---- MT940
@@ -48,21 +50,22 @@ def mt940_lines(files: DataFrame) -> DataFrame:
     """(_file, line, text, account_id, currency, entry): account and currency carried forward, ``entry`` the number of :61: lines so far, readable or not."""
     lines = files.select("_file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw")).select("_file", "line", F.trim("raw").alias("text"))
     w = Window.partitionBy("_file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    account = F.when(F.col("text").startswith(":25:"), F.trim(F.substring("text", 5, 1000)))
+    account = F.when(F.col("text").startswith(":25:"), F.trim(F.substr("text", F.lit(5))))
     currency = F.when(F.col("text").rlike(_MT_BALANCE), F.regexp_extract("text", _MT_BALANCE, 4))
     entry = F.when(F.col("text").startswith(":61:"), 1).otherwise(0)
     return lines.select("_file", "line", "text", F.last(account, ignorenulls=True).over(w).alias("account_id"), F.last(currency, ignorenulls=True).over(w).alias("currency"), F.sum(entry).over(w).alias("entry"))
 
 
-def mt940_transactions(files: DataFrame) -> DataFrame:
+def mt940_transactions(files: DataFrame, strict: bool = True) -> DataFrame:
     """(date, amount, transaction_id, account_id, currency, description) of the readable :61: lines; the last :86: before the next one is the description.  Dates are this century's."""
     rows = mt940_lines(files).where("entry > 0")
     is_entry = F.col("text").rlike(_MT_ENTRY)
     head = lambda c: F.min_by(c, F.when(is_entry, F.col("line")))
-    grouped = rows.groupBy("_file", "entry").agg(head("text").alias("text"), head("account_id").alias("account_id"), head("currency").alias("currency"), F.max_by(F.trim(F.substring("text", 5, 10000)), F.when(F.col("text").startswith(":86:"), F.col("line"))).alias("description")).where("text is not null")
+    grouped = rows.groupBy("_file", "entry").agg(head("text").alias("text"), head("account_id").alias("account_id"), head("currency").alias("currency"), F.max_by(F.trim(F.substr("text", F.lit(5))), F.when(F.col("text").startswith(":86:"), F.col("line"))).alias("description")).where("text is not null")
     part = lambda k: F.regexp_extract("text", _MT_ENTRY, k)
-    amount = required(locale_amount(part(3)), part(3), ":61:")
-    return grouped.select(short_year_date(part(1)).alias("date"), F.when(part(2) == "D", -amount).otherwise(amount).cast(MONEY_SQL).alias("amount"), F.trim(part(4)).alias("transaction_id"), "account_id", "currency", "description", "_file", (F.col("entry") - 1).cast("int").alias("_entry"))
+    amount = required(locale_amount(part(3)), part(3), ":61:") if strict else locale_amount(part(3))
+    faults = [] if strict else [unreadable(locale_amount(part(3)), part(3), ":61:").alias("_fault")]
+    return grouped.select(short_year_date(part(1)).alias("date"), F.when(part(2) == "D", -amount).otherwise(amount).cast(MONEY_SQL).alias("amount"), F.trim(part(4)).alias("transaction_id"), "account_id", "currency", "description", "_file", (F.col("entry") - 1).cast("int").alias("_entry"), *faults)
 
 
 def mt940_unread(files: DataFrame) -> DataFrame:
@@ -122,32 +125,46 @@ def csv_project(raw: DataFrame, strict: bool = True) -> DataFrame:
     text = lambda n: F.nullif(F.trim(raw[f"`{found[n]}`"]), F.lit(""))
     read = lambda n: required(locale_amount(text(n)), text(n), n) if strict else locale_amount(text(n))
     filled = lambda n: F.when(text(n).isNotNull(), read(n)) if n in found else F.lit(None).cast(MONEY_SQL)
-    amount = F.coalesce(read("amount"), F.lit(0).cast(MONEY_SQL)) if "amount" in found and not strict else (F.when(text("amount").isNull(), F.lit(0).cast(MONEY_SQL)).otherwise(read("amount")) if "amount" in found else signed_difference(filled("credit"), filled("debit")))
-    if "amount" in found and not strict:
-        amount = F.when(text("amount").isNull(), F.lit(0).cast(MONEY_SQL)).otherwise(locale_amount(text("amount")))
+    amount = F.when(text("amount").isNull(), F.lit(0).cast(MONEY_SQL)).otherwise(read("amount")) if "amount" in found else signed_difference(filled("credit"), filled("debit"))
+    faults = [] if strict else [F.coalesce(*(unreadable(locale_amount(text(n)), text(n), n) for n in ("amount", "credit", "debit") if n in found and (n == "amount" or "amount" not in found))).alias("_fault")]
     plain = [(text(n) if n in found else F.lit(None).cast("string")).alias(n) for n in ("date", "description")]
     rest = [(text(n) if n in found else F.lit(None).cast("string")).alias(n) for n in ("currency", "balance", "account_id", "transaction_id")]
-    return raw.select(*plain, amount.cast(MONEY_SQL).alias("amount"), *rest, *(c for c in raw.columns if c.startswith("_")))
+    return raw.select(*plain, amount.cast(MONEY_SQL).alias("amount"), *rest, *(c for c in raw.columns if c.startswith("_")), *faults)
 
 
-def csv_transactions(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
-    """Rows of delimited files.  Each file's header is read once; files of one header are scanned together, whatever their number."""
+def csv_files(spark: SparkSession, paths) -> DataFrame:
+    """(_file, head, torn): each file's header line, and whether a line break stands within quotes."""
     listed = [paths] if isinstance(paths, str) else list(paths)
-    heads = spark.read.text(listed).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"), "value")
-    # the first line of each file, one small row a file
-    first = heads.where("at = 0").groupBy("_file").agg(F.first("value").alias("head"))
-    groups: dict[str, list[str]] = {}
-    for r in first.orderBy("_file").collect():
-        groups.setdefault(r["head"], []).append(r["_file"])
-    if not groups:
-        raise FormatError("no delimited file has a header")
-    parts = []
-    for head, files in sorted(groups.items()):
-        raw = spark.read.csv(files, sep=sniff(head.lstrip("﻿")), header=True, inferSchema=False, multiLine=False, enforceSchema=False)
-        parts.append(csv_project(raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id()), strict))
-    out = parts[0]
+    lines = spark.read.text(listed).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    odd = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return lines.groupBy("_file").agg(F.first(F.when(F.col("at") == 0, F.col("value")), ignorenulls=True).alias("head"), F.max(odd % 2 == 1).alias("torn"))
+
+
+def csv_parts(spark: SparkSession, paths, strict: bool = True) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(rows, [(file, error)]) of delimited files.  Files of one header are scanned together, whatever their number; those with line breaks within quotes are not split."""
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in csv_files(spark, paths).orderBy("_file").collect():  # one small row a file
+        groups.setdefault((r["head"] or "", r["torn"]), []).append(r["_file"])
+    parts, faults = [], []
+    for (head, torn), files in sorted(groups.items()):
+        raw = spark.read.csv([unquote(f) for f in files], sep=sniff(head.lstrip("\ufeff")), header=True, inferSchema=False, multiLine=torn, escape='"', enforceSchema=False)
+        try:
+            parts.append(csv_project(raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id()), strict))
+        except FormatError as e:
+            faults += [(f, str(e)) for f in files]
+    if strict and faults:
+        raise FormatError(faults[0][1])
+    out = parts[0] if parts else None
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out, faults
+
+
+def csv_transactions(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
+    """Rows of delimited files."""
+    out, _ = csv_parts(spark, paths, strict)
+    if out is None:
+        raise FormatError("no delimited file has a header")
     return out
 
 

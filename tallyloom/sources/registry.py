@@ -15,14 +15,18 @@ from . import camt, flat, pain001
 EXTENSIONS = (".xml", ".csv", ".ofx", ".qfx", ".mt940", ".sta", ".pdf")
 
 
+Checked = tuple[DataFrame | None, DataFrame | None]
+
+
 @dataclass(frozen=True)
 class Format:
-    """``read``: paths to bronze rows; ``summary``: paths to one row a file."""
+    """``read``: paths to bronze rows; ``summary``: paths to one row a file; ``checked``: paths to bronze rows that tell what is wrong with them in ``_fault``, and (_file, error) of files that give no rows."""
 
     name: str
     read: Callable[..., DataFrame]
     summary: Callable[[SparkSession, list[str]], DataFrame]
-    balances: Callable[[SparkSession, list[str]], DataFrame] | None = None
+    balances: Callable[..., DataFrame] | None = None
+    checked: Callable[[SparkSession, list[str]], Checked] | None = None
 
 
 FORMATS: dict[str, Format] = {}
@@ -33,11 +37,30 @@ def register(fmt: Format) -> None:
     FORMATS[fmt.name] = fmt
 
 
-register(Format("camt", lambda s, p, redact_pii=False: camt.transactions(camt.statements(s, p), redact_pii), lambda s, p: camt.summary(camt.statements(s, p)), lambda s, p: camt.statement_balances(camt.statements(s, p))))
-register(Format("pain001", lambda s, p, redact_pii=False: pain001.payments(pain001.initiations(s, p), redact_pii), lambda s, p: pain001.summary(pain001.initiations(s, p))))
-register(Format("csv", lambda s, p, redact_pii=False: flat.csv_transactions(s, p), lambda s, p: flat.flat_summary(flat.csv_transactions(s, p), "_row")))
+def _malformed(docs: DataFrame) -> DataFrame:
+    return docs.where("_corrupt is not null").select("_file", F.lit("malformed XML").alias("error"))
+
+
+def _camt_checked(spark: SparkSession, paths: list[str]) -> Checked:
+    stmts = camt.statements(spark, paths, strict=False)
+    return camt.transactions(stmts.where("stmt is not null"), strict=False), _malformed(stmts)
+
+
+def _pain_checked(spark: SparkSession, paths: list[str]) -> Checked:
+    docs = pain001.initiations(spark, paths, strict=False)
+    return pain001.payments(docs.where("_corrupt is null")), _malformed(docs)
+
+
+def _csv_checked(spark: SparkSession, paths: list[str]) -> Checked:
+    rows, faults = flat.csv_parts(spark, paths, strict=False)
+    return rows, spark.createDataFrame(faults, "_file string, error string") if faults else None
+
+
+register(Format("camt", lambda s, p, redact_pii=False: camt.transactions(camt.statements(s, p), redact_pii), lambda s, p: camt.summary(camt.statements(s, p)), lambda s, p, strict=True: camt.statement_balances(camt.statements(s, p, strict).where("stmt is not null"), strict), _camt_checked))
+register(Format("pain001", lambda s, p, redact_pii=False: pain001.payments(pain001.initiations(s, p), redact_pii), lambda s, p: pain001.summary(pain001.initiations(s, p)), checked=_pain_checked))
+register(Format("csv", lambda s, p, redact_pii=False: flat.csv_transactions(s, p), lambda s, p: flat.flat_summary(flat.csv_transactions(s, p), "_row"), checked=_csv_checked))
 for _name in ("ofx", "qfx"):
-    register(Format(_name, lambda s, p, redact_pii=False: flat.ofx_transactions(flat.whole_files(s, p)), lambda s, p: flat.flat_summary(flat.ofx_transactions(flat.whole_files(s, p)), "_entry")))
+    register(Format(_name, lambda s, p, redact_pii=False: flat.ofx_transactions(flat.whole_files(s, p)), lambda s, p: flat.flat_summary(flat.ofx_transactions(flat.whole_files(s, p)), "_entry"), checked=lambda s, p: (flat.ofx_transactions(flat.whole_files(s, p), strict=False), None)))
 
 
 def _mt940_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -46,7 +69,7 @@ def _mt940_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
     return flat.mt940_balances(files).join(rows, "_file", "full")
 
 
-register(Format("mt940", lambda s, p, redact_pii=False: flat.mt940_transactions(flat.whole_files(s, p)), _mt940_summary, lambda s, p: flat.mt940_balances(flat.whole_files(s, p))))
+register(Format("mt940", lambda s, p, redact_pii=False: flat.mt940_transactions(flat.whole_files(s, p)), _mt940_summary, lambda s, p, strict=True: flat.mt940_balances(flat.whole_files(s, p)), lambda s, p: (flat.mt940_transactions(flat.whole_files(s, p), strict=False), None)))
 
 
 def detect(path: Column, content: Column) -> Column:
@@ -60,11 +83,24 @@ def detect(path: Column, content: Column) -> Column:
     )
 
 
+#: Suffixes that settle a file's format by themselves.
+_SETTLED = {"csv": "csv", "ofx": "ofx", "qfx": "qfx", "mt940": "mt940", "sta": "mt940"}
+
+
 def file_index(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """(_file, format, size): each file's format.  Only texts of files that their suffix doesn't settle are looked into by more than their head."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    """(_file, path, format, size): each file's format.  Only files that their suffix doesn't settle are opened."""
+    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    name, suffix = F.col("_metadata.file_path").alias("_file"), F.lower(F.regexp_extract("path", r"\.([^./\\]*)$", 1))
+    # without its content a file is listed and not read
+    listed = reader().load(paths).select(name, "path", F.col("length").alias("size"), suffix.alias("suffix"))
+    by_suffix = F.create_map(*(F.lit(x) for pair in _SETTLED.items() for x in pair))
+    settled = listed.where(F.col("suffix").isin(*_SETTLED)).select("_file", "path", F.try_element_at(by_suffix, F.col("suffix")).alias("format"), "size")
+    others = sorted(r["path"] for r in listed.where(~F.col("suffix").isin(*_SETTLED)).select("path").collect())  # the reader takes its paths from the driver
+    if not others:
+        return settled
     text = F.decode("content", "ISO-8859-1")
-    return files.select(F.col("path").alias("_file"), F.col("length").alias("size"), F.when(F.substring(text, 1, 4) == "%PDF", F.lit("pdf")).otherwise(detect(F.col("path"), text)).alias("format"))
+    looked = reader().load(others).select(name, "path", F.when(F.substring(text, 1, 4) == "%PDF", F.lit("pdf")).otherwise(detect(F.col("path"), text)).alias("format"), F.col("length").alias("size"))
+    return settled.unionByName(looked)
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -83,36 +119,63 @@ def read_statement(spark: SparkSession, path: str | list[str], format_name: str
 
 
 def parse_files(spark: SparkSession, paths: list[str], format_name: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(silver rows of all files, one row a file: _file, path_idx, format, status, error).
+    """(silver rows of all good files, one row a file: _file, path_idx, format, status, error).
 
-    Files of one format are one scan; a file of unknown format fails alone.
+    Files of one format are one scan; a file that is missing, of unknown format
+    or malformed, or that has an unreadable amount, fails alone and gives no rows.
     """
-    index = file_index(spark, paths, recursive=False)
-    order = spark.createDataFrame([(k, p) for k, p in enumerate(dict.fromkeys(paths))], "path_idx int, __path string")
-    known = index.withColumn("format", F.coalesce(F.lit(format_name), "format"))
-    listed = known.join(order, F.expr("endswith(_file, __path)"), "right").select(F.coalesce("_file", "__path").alias("_file"), "path_idx", "format")
-    bad = ~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))
-    status = listed.withColumns({"status": F.when(bad, "FAILED").otherwise("SUCCESS"), "error": F.when(bad, F.concat(F.lit("unsupported format: "), F.coalesce("format", F.lit("unknown"))))}).orderBy("path_idx")
-    return read_index(spark, known), status
-
-
-def read_index(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Silver rows of all files in an index, one scan for each format."""
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    places, there = [], []
+    for k, p in enumerate(dict.fromkeys(paths)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        places.append((k, p, system.makeQualified(path).toUri().toString()))
+        if system.exists(path):
+            there.append(p)
+    if not there:
+        raise FormatError("none of the files is there")
+    index = file_index(spark, there, recursive=False).withColumn("format", F.coalesce(F.lit(format_name), "format"))
+    rows, failed = read_index(spark, index)
+    order = spark.createDataFrame(places, "path_idx int, __path string, __key string").withColumn("__key", key("__key"))
+    known = index.select(key("_file").alias("__key"), "_file", "format")
+    listed = order.join(known, "__key", "left").join(failed, "_file", "left")
+    error = F.when(F.col("_file").isNull(), "no such file").otherwise(F.col("error"))
+    status = listed.select(F.coalesce("_file", "__path").alias("_file"), "path_idx", "format", F.when(error.isNotNull(), "FAILED").otherwise("SUCCESS").alias("status"), error.alias("error"))
+    return rows, status.orderBy("path_idx")
+
+
+def _by_format(index: DataFrame, names: list[str]) -> list[tuple[str, list[str]]]:
+    """Paths by format; readers take their paths from the driver."""
+    found: dict[str, list[str]] = {}
+    for r in index.where(F.col("format").isin(*names)).select("format", "path").collect():
+        found.setdefault(r["format"], []).append(r["path"])
+    return [(n, sorted(p)) for n, p in sorted(found.items())]
+
+
+def read_index(spark: SparkSession, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(silver rows of the good files in an index, (_file, error) of the others), one scan for each format."""
     parts = []
-    for row in index.where(F.col("format").isin(*FORMATS)).groupBy("format").agg(F.sort_array(F.collect_list("_file")).alias("files")).orderBy("format").collect():
-        bronze = FORMATS[row["format"]].read(spark, row["files"], redact_pii=False)
-        parts.append(normalize(bronze).select("*", F.lit(row["format"]).alias("_format")))
+    failed = index.where(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))).select("_file", F.concat(F.lit("unsupported format: "), F.coalesce("format", F.lit("unknown"))).alias("error"))
+    for name, paths in _by_format(index, list(FORMATS)):
+        bronze, faults = FORMATS[name].checked(spark, paths) if FORMATS[name].checked else (FORMATS[name].read(spark, paths), None)
+        if faults is not None:
+            failed = failed.unionByName(faults)
+        if bronze is not None:
+            silver = normalize(bronze, strict=False).withColumn("_format", F.lit(name))
+            fault = F.coalesce("_fault", "_reject") if "_fault" in silver.columns else F.col("_reject")
+            parts.append(silver.withColumn("_fault", fault).drop("_reject"))
     if not parts:
         raise FormatError("no statement among the files")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    failed = failed.unionByName(out.where("_fault is not null").select("_file", F.col("_fault").alias("error"))).groupBy("_file").agg(F.min("error").alias("error"))
+    return out.drop("_fault").join(failed.select("_file"), "_file", "left_anti"), failed
 
 
 @dataclass(frozen=True)
 class Scan:
-    """``transactions`` have dedup_key and is_new; ``failures`` are files that no reader takes; ``balances`` and ``continuity`` go over the files in order."""
+    """``transactions`` have dedup_key and is_new; ``failures`` are the files that give no rows, with the reason; ``balances`` and ``continuity`` go over the files in order."""
 
     transactions: DataFrame
     failures: DataFrame
@@ -130,7 +193,7 @@ def scan(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> Sca
     from ..operators import dedup, verification
 
     index = file_index(spark, folder)
-    tx = read_index(spark, index)
+    tx, failures = read_index(spark, index)
     order = [F.col(c) for c in ("_stmt_index", "_payment", "_transfer", "_row", "_entry") if c in tx.columns]
     from pyspark.sql import Window
 
@@ -140,12 +203,11 @@ def scan(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> Sca
         old = seen.select("dedup_key", F.lit(True).alias("__old")).distinct()
         keyed = keyed.join(old, "dedup_key", "left").withColumn("is_new", F.col("is_new") & F.col("__old").isNull()).drop("__old")
     balances = None
-    for row in index.where(F.col("format").isin(*(n for n, f in FORMATS.items() if f.balances))).groupBy("format").agg(F.sort_array(F.collect_list("_file")).alias("files")).orderBy("format").collect():
-        part = FORMATS[row["format"]].balances(spark, row["files"])
+    for name, paths in _by_format(index, [n for n, f in FORMATS.items() if f.balances]):
+        part = FORMATS[name].balances(spark, paths, strict=False).join(failures.select("_file"), "_file", "left_anti")
         balances = part if balances is None else balances.unionByName(part, allowMissingColumns=True)
     continuity = None
     if balances is not None:
         ordered = balances.withColumn("_stmt_index", F.coalesce("_stmt_index", F.lit(0)) if "_stmt_index" in balances.columns else F.lit(0))
         continuity = verification.verify_continuity(ordered, ["_file", "_stmt_index"], ["account_id", "currency"], label="_file")
-    failures = index.where(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))).select("_file", F.concat(F.lit("unsupported format: "), F.coalesce("format", F.lit("unknown"))).alias("error"))
     return Scan(keyed, failures, balances, continuity)

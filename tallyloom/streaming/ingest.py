@@ -21,9 +21,9 @@ def _documents(spark: SparkSession, folder: str, row_tag: str, schema: str, per_
 
 
 def camt_stream(spark: SparkSession, folder: str, redact_pii: bool = False, statement_currency: bool = True, per_trigger: int | None = None) -> DataFrame:
-    """Transactions of the CAMT files that come into a folder: the same rows as the batch reader's."""
+    """Transactions of the CAMT files that come into a folder: the same rows as the batch reader's, but an entry without amount or currency raises."""
     docs = _documents(spark, folder, "BkToCstmrStmt", camt.DOCUMENT, per_trigger)
-    return camt.transactions(docs.select("_file", F.posexplode("Stmt").alias("stmt_index", "stmt")), redact_pii, statement_currency)
+    return camt.transactions(docs.select("_file", F.posexplode("Stmt").alias("stmt_index", "stmt")), redact_pii, statement_currency, incomplete="raise")
 
 
 def pain_stream(spark: SparkSession, folder: str, redact_pii: bool = False, per_trigger: int | None = None) -> DataFrame:

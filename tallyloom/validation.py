@@ -17,11 +17,20 @@ MIN_BYTES, MAX_BYTES = 1, 100 << 20
 
 _DANGER = [re.compile(p) for p in (r"\.\.", r"/\./", r"~/", r"\$\{", r"%[A-Z_]+%", "[\u200e\u200f\u202a-\u202e\u2066-\u2069]")]
 #: Folders whose files aren't statements; callers may give their own.
-BLOCKED = ("/etc", "/bin", "/sbin", "/usr/bin", "/usr/sbin", "/sys", "/proc", "/dev", "/boot", "/root", "C:\\Windows", "C:\\Program Files", "/System")
+BLOCKED = (
+    *(f"/{n}" for n in "etc bin sbin usr/bin usr/sbin sys proc dev boot root System Library/System private/var/db".split()),
+    *(f"C:\\{n}" for n in ("Windows", "Windows\\System32", "System32", "Program Files", "Program Files (x86)")),
+)
 #: First bytes of files that are no text.
 BINARY = {"png": "89504e47", "gif": "47494638", "jpeg": "ffd8ff", "zip": "504b", "elf": "7f454c46", "exe": "4d5a", "ico": "00000100"}
 
 
+def within(path: str, folder: str) -> bool:
+    """Whether a path is a folder or below it, whatever the case and the kind of slash."""
+    path, folder = (x.lower().replace("\\", "/").rstrip("/") for x in (path, folder))
+    return path == folder or path.startswith(folder + "/")
+
+
 def check_path(path: str, extensions: set[str] = INPUT_EXTENSIONS, blocked: tuple[str, ...] = BLOCKED) -> Path:
     """The resolved path, if nothing speaks against it."""
     if any(p.search(path) for p in _DANGER):
@@ -31,7 +40,7 @@ def check_path(path: str, extensions: set[str] = INPUT_EXTENSIONS, blocked: tupl
     if given.is_symlink() and real.parent != given.parent.resolve():
         raise InputError("the link leaves its folder")
     for folder in blocked:
-        if str(real) == folder or str(real).startswith(folder.rstrip("/") + "/"):
+        if any(within(p, folder) for p in (str(real), os.path.abspath(path), path)):
             raise InputError(f"files under {folder} aren't allowed")
     if real.suffix.lower() not in extensions:
         raise InputError(f"the extension isn't allowed: {real.suffix or 'none'}")
