@@ -14,14 +14,21 @@ pass with alpha 1, then one with a larger alpha that keeps longer edges).
 Reverse edges are added and pruned alike.  A query searches every shard with a
 beam, and the shards' answers are merged exactly.
 
-Searches and prunings run for many vectors at once in numpy.
+Every row is indexed; the queries are a stated set, the rows whose id is
+divisible by ``every``, so their number is that share of the rows.
+
+Searches and prunings run for many vectors at once in numpy.  Of equal vectors
+each partition keeps the k + 1 least ids before any shuffle, and queries of one
+vector are spread over ``_SALT`` keys where its answers are handed out, so a
+group of copies may hold any share of the rows.
 
 Defined results: rows of null id, or whose vector is null, empty, of another
 length than most, or has a null or non-finite component, take no part.  Rows that repeat an
 id are one vector (the first in order).  Equal vectors are neighbours at
 distance 0; of equal distances the lesser id comes first.  A vector is not its
-own neighbour.  With fewer than k others all are neighbours.  Only the named
-columns are read.
+own neighbour.  With fewer than k others all are neighbours.  A vector is used
+whole, however long, and 0.0 equals -0.0.  An empty table, or one without a
+query, gives no row.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ from .common import cut
 
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
 SHARD_ROWS, BLOCK_ROWS = 4000, 1000
+#: Keys that the queries of one vector are spread over.
+_SALT = 16
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,15 +152,22 @@ def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     given = given.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     usual = given.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n").collect()
     given = given.where(F.size("vector") == (usual[0]["n"] if usual else -1))
-    return given.withColumn("__row", F.row_number().over(Window.partitionBy("id").orderBy("vector"))).where("__row = 1").drop("__row")
+    given = given.select("id", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector"))
+    return given.groupBy("id").agg(F.min("vector").alias("vector"))
+
+
+def folded(vectors: DataFrame, k: int) -> DataFrame:
+    """The distinct vectors (id, vector, members), of their least id and with their k + 1 least ids in order."""
+    # the limit by rank is applied within partitions before the shuffle
+    least = vectors.withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
+    return cut(least.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")).select(F.col("members")[0].alias("id"), "vector", "members"))
 
 
-def folded(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct vectors (id, vector, members), of their least id and with their k + 1 least ids in order; and (id, of) of every vector."""
-    own = Window.partitionBy("vector").orderBy("id")
-    ranked = cut(vectors.withColumns({"of": F.first("id").over(own), "place": F.row_number().over(own)}))
-    nodes = ranked.where(F.col("place") <= k + 1).groupBy("of").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("members"))
-    return cut(nodes.withColumnRenamed("of", "id")), ranked.select("id", "of")
+def nodes_of(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, of): the distinct vector of each of the vectors ``asked``; joined by a salted digest of 128 bits, as many may have one vector."""
+    digest = lambda: [F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(7), "vector").alias("g")]
+    salted = nodes.select(F.col("id").alias("of"), *digest()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    return asked.select("id", *digest(), F.pmod(F.xxhash64("id"), F.lit(_SALT)).cast("int").alias("salt")).join(salted, ["h", "g", "salt"]).select("id", "of")
 
 
 def graphs(vectors: DataFrame, shards: int, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
@@ -182,13 +198,16 @@ def blocks(queries: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return queries.select("id", "vector").mapInArrow(pack, f"query_ids array<{id_type}>, queries binary")
 
 
-def neighbours(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """(id, neighbour_id, rank, distance): each vector's k nearest others over all shards."""
+def neighbours(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, every: int = 1) -> DataFrame:
+    """(id, neighbour_id, rank, distance): the k nearest others, over all shards, of each vector whose id is divisible by ``every``; with 1 of each vector, whatever its id."""
     id_type = table.schema[id_col].dataType.simpleString()
-    nodes, copies = folded(clean(table, id_col, vector_col), k)
+    vectors = cut(clean(table, id_col, vector_col))
+    nodes = folded(vectors, k)
+    queries = cut(nodes_of(vectors if every == 1 else vectors.where(F.col("id") % every == 0), nodes))
     shards = max(1, math.ceil(nodes.count() / shard_rows))
     index = cut(graphs(nodes, shards, degree, beam, alpha)).repartition(shards)
-    asked = blocks(nodes)
+    wanted = nodes.join(queries.select(F.col("of").alias("id")).distinct(), "id", "left_semi")
+    asked = cut(blocks(wanted))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,10 +229,12 @@ def neighbours(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col
                     yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row + begin)), near.flatten(), pa.array(np.sqrt(dist[row, column].astype(np.float64)))], names=["of", "neighbour", "distance"])
 
     pairs = index.select("ids", "members", "vectors", "graph", "entry").crossJoin(asked).mapInArrow(search, f"of {id_type}, neighbour {id_type}, distance double")
-    pairs = pairs.unionByName(nodes.select(F.col("id").alias("of"), F.explode("members").alias("neighbour"), F.lit(0.0).alias("distance")))
+    pairs = pairs.unionByName(wanted.select(F.col("id").alias("of"), F.explode("members").alias("neighbour"), F.lit(0.0).alias("distance")))
     order = Window.partitionBy("of").orderBy("distance", "neighbour")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
     lists = best.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
-    own = copies.join(lists, "of").select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(_SALT)).cast("int")
+    spread = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    own = queries.withColumn("salt", salt("id")).join(spread, ["of", "salt"]).select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
     out = own.select("id", F.posexplode("near").alias("place", "x"))
     return out.select(F.col("id").alias(id_col), F.col("x.neighbour").alias(f"neighbour_{id_col}"), (F.col("place") + 1).alias("rank"), F.col("x.distance").alias("distance"))

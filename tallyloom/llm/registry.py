@@ -52,7 +52,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+    """Ten neighbours, among all rows, of every row whose id is divisible by 50."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=50)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
