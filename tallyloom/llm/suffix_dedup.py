@@ -5,9 +5,17 @@ Any two passages of ``length`` equal words hold the same least ``k``-word run
 occurrences in one bucket, that of its least run.  A bucket holds, for each
 place that chose it, the window of words whose passages have it as their
 least; buckets of one document are dropped before any text moves, and equal
-windows are kept once.  A suffix array over a bucket's distinct windows, with
-the longest common prefixes of its neighbours, gives exactly the passages of
-at least ``length`` words that occur more than once.
+windows (by a digest of 128 bits) are kept once.  A suffix array over a bucket's
+distinct windows, with the longest common prefixes of its neighbours, gives
+exactly the passages of at least ``length`` words that occur more than once.
+
+A run that many documents have, as boilerplate does, is hot.  Its rows are
+combined before they are shuffled and judged from a broadcast, and spread over
+``_SALT`` keys where answers are handed out; hot are runs with over a
+``HOT_SHARE``-th of all rows, so there are never more than that many of them.
+Of a bucket with over ``ARRAY_WINDOWS`` distinct windows the passages of
+``length`` words are grouped by their own digests instead, combined before the
+shuffle: the same answer, and no task holds such a bucket.
 
 The suffix array is built by grouping suffixes by their Lyndon prefixes: the
 groups are processed in descending order, each sending its members' previous
@@ -19,11 +27,13 @@ id keeps it, all others lose it.
 
 Defined results: words are separated by white space and compared as they are;
 documents of null id, or of null, empty or short text have no passage and stay
-as they are.  Rows that repeat an id are one document: what only they share is
-no repeat, and each row loses what it shares with a lesser id.  Repeats within
-one document alone are none.  A document that loses every word is left out.
-Only the named columns are read; ``remove`` passes all others on, and gives
-``size_col``, if the documents have it, the new number of characters.
+as they are.  Very long texts are read whole, window by window.  Rows that
+repeat an id are one document: what only they share is no repeat, and each row
+loses what it shares with a lesser id.  Repeats within one document alone are
+none.  A document that loses every word is left out.  An empty table gives no
+row.  Only the named columns are read; ``remove`` passes all others on, whatever
+their names, and gives ``size_col``, if the documents have it, the new number of
+characters.
 """
 
 from __future__ import annotations
@@ -37,12 +47,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import RawHashes, cut, mix, shingles
+from .common import RawHashes, cut, fresh, mix, shingles
 
 LENGTH = 50
 #: Words of the runs that windows are chosen by; fewer make longer, more make more numerous windows.
 RUN = 8
+#: A run is hot with over ``HOT_ROWS`` rows and a ``HOT_SHARE``-th of all.
+HOT_ROWS, HOT_SHARE = 5000, 20_000
+#: Distinct windows of a bucket that one suffix array may hold.
+ARRAY_WINDOWS = 2000
 
+_SALT = 16
 SPANS = "array<struct<start:int,end:int>>"
 _WORD = re.compile(r"\S+")
 
@@ -132,16 +147,21 @@ def common_prefixes(text: list[int], sa: list[int]) -> list[int]:
 
 
 def placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Word hashes mixed with the words' places; their sum is a window's hash."""
+    """Word hashes mixed with the words' places; their sum is half of a window's digest."""
     return mix(hashes + np.uint64(0x9E3779B97F4A7C15) * place.astype(np.uint64))
 
 
-def choices(hashes: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(run hash, first word, end, window hash) of each window: the passages of ``length`` words from first to end whose least run (the leftmost of equals) is the same."""
+def second(words: np.ndarray) -> np.ndarray:
+    """From ``placed`` hashes those whose sum is the digest's other half."""
+    return mix(words ^ np.uint64(0xD6E8FEB86659FD93))
+
+
+def choices(hashes: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run hash, first word, end, the two halves of the digest) of each window: the passages of ``length`` words from first to end whose least run (the leftmost of equals) is the same."""
     n = len(hashes) - length + 1
     if n < 1:
         empty = np.zeros(0, dtype=np.int64)
-        return empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
+        return empty.astype(np.uint64), empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     runs = shingles(hashes, run)
     width = length - run + 1
     # least of each window of ``width`` runs, by doubling; ties go to the left
@@ -158,12 +178,12 @@ def choices(hashes: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.n
     width_of = end - first
     inside = np.arange(int(width_of.sum())) - np.repeat(np.cumsum(width_of) - width_of, width_of)
     words = placed(hashes[np.repeat(first, width_of) + inside], inside)
-    window = np.add.reduceat(words, np.cumsum(width_of) - width_of)
-    return runs[least[first]], first, end, window
+    begin = np.cumsum(width_of) - width_of
+    return runs[least[first]], first, end, np.add.reduceat(words, begin), np.add.reduceat(second(words), begin)
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, length: int, run: int) -> DataFrame:
-    """(run, window, id, start, end) of each window of each document."""
+    """(run, window, check, id, start, end) of each window of each document; ``window`` and ``check`` are its digest."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +195,15 @@ def windows(docs: DataFrame, id_col: str, text_col: str, length: int, run: int)
                     found.append(choices(words.of(text.split()), length, run))
                     counts.append(len(found[-1][0]))
                 which = np.repeat(np.arange(first, first + len(texts)), counts)
-                key, start, end, window = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(window.view(np.int64)), batch.column(0).take(pa.array(which)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["run", "window", "id", "start", "end"])
+                key, start, end, window, check = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, window, check)), batch.column(0).take(pa.array(which)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["run", "window", "check", "id", "start", "end"])
 
     given = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * length - 1))
-    return given.mapInArrow(make, f"run bigint, window bigint, id {id_type}, start int, end int")
+    return given.mapInArrow(make, f"run bigint, window bigint, check bigint, id {id_type}, start int, end int")
 
 
 def _classes(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """(window, start, end, keeper) of the repeated stretches in a bucket of (window, least id, greatest id, words)."""
+    """(window, start, end, keeper) of the repeated stretches in a bucket of (window's digest, least id, greatest id, words)."""
     number: dict[str, int] = {}
     text: list[int] = []
     owner: list[int] = []
@@ -225,23 +245,30 @@ def _classes(rows: list[tuple], length: int) -> Iterator[tuple]:
         yield rows[w][0], run_start, run_end, least
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, run: int = RUN) -> DataFrame:
-    """(id, keeper, start, end): stretches of words that occur in other documents too, and the least id that has them; stretches may overlap."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    bucket = Window.partitionBy("run")
-    found = windows(docs, id_col, text_col, length, run)
-    for name, f, c in (("low", F.min, "id"), ("high", F.max, "id"), ("one", F.min, "window"), ("other", F.max, "window")):
-        found = found.withColumn(name, f(c).over(bucket))
-    found = cut(found.where("low <> high").select("run", "window", "id", "start", "end", "low", (F.col("one") != F.col("other")).alias("mixed")))
-    alike = found.where("not mixed").select("id", F.col("low").alias("keeper"), "start", "end")
+def _shared(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose run several documents have, with the least of these (``low``), whether their windows differ (``mixed``), and whether the run is ``hot``."""
+    keep = ["run", "window", "check", "id", "start", "end", "low", "mixed", "hot"]
+    bucket, digest = Window.partitionBy("run"), F.struct("window", "check")
+    cold = found.join(F.broadcast(hot), "run", "left_anti")
+    for name, f, c in (("low", F.min, "id"), ("high", F.max, "id"), ("one", F.min, digest), ("other", F.max, digest)):
+        cold = cold.withColumn(name, f(c).over(bucket))
+    cold = cold.where("low <> high").withColumns({"mixed": F.col("one") != F.col("other"), "hot": F.lit(False)})
+    many = found.join(F.broadcast(hot), "run")
+    kinds = many.groupBy("run", "window", "check").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    judged = kinds.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"), (F.count("*") > 1).alias("mixed")).where("low <> high")
+    many = many.join(F.broadcast(judged), "run").withColumn("hot", F.lit(True))  # one row a hot run
+    return cold.select(*keep).unionByName(many.select(*keep))
+
 
-    kinds = found.where("mixed").groupBy("run", "window").agg(F.min(F.struct("id", "start", "end")).alias("at"), F.max("id").alias("high"))
-    per_doc = kinds.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("run", "window", "at.start", "at.end", "high")).alias("cuts"))
+def _cut_out(kinds: DataFrame, docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """(run, window, check, low, high, words, h, g): each kind's words from its least document, or, where ``many``, the digests of its passages instead."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    per_doc = kinds.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("run", "window", "check", "at.start", "at.end", "high", "many")).alias("cuts"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    asked = per_doc.join(texts, "id").select("id", "text", "cuts")
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = RawHashes()
+        signed = lambda x: int(x.sum().view(np.int64))
         for batch in batches:
             for first, texts_ in text_slices((x.as_py() for x in batch.column(1)), 500_000):
                 which, rows = [], []
@@ -249,31 +276,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     words = (text or "").split()
                     for c in cuts:
                         own = words[c["start"] : c["end"]]
-                        # rows that repeat an id may have other words here
-                        if int(placed(hashes.of(own), np.arange(len(own))).sum().view(np.int64)) == c["window"]:
-                            which.append(first + k)
-                            rows.append((c["run"], c["window"], c["high"], " ".join(own)))
-                columns = list(zip(*rows)) or [[]] * 4
+                        hashed = hashes.of(own)
+                        digest = placed(hashed, np.arange(len(own)))
+                        if (signed(digest), signed(second(digest))) != (c["window"], c["check"]):
+                            continue  # rows that repeat an id may have other words here
+                        h = g = None
+                        if c["many"]:
+                            each = placed(np.lib.stride_tricks.sliding_window_view(hashed, length), np.arange(length))
+                            h, g = (x.sum(axis=1).view(np.int64) for x in (each, second(each)))
+                        which.append(first + k)
+                        rows.append((c["run"], c["window"], c["check"], c["high"], None if c["many"] else " ".join(own), h, g))
+                columns = list(zip(*rows)) or [[]] * 7
                 ids = batch.column(0).take(pa.array(which, type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int64()), ids, pa.array(columns[2], type=ids.type), pa.array(columns[3], type=pa.string())], names=["run", "window", "low", "high", "words"])
+                types = (*(pa.int64(),) * 3, ids.type, pa.string(), *(pa.list_(pa.int64()),) * 2)
+                arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays([*arrays[:3], ids, *arrays[3:]], names=["run", "window", "check", "low", "high", "words", "h", "g"])
+
+    return per_doc.join(texts, "id").select("id", "text", "cuts").mapInArrow(run, f"run bigint, window bigint, check bigint, low {id_type}, high {id_type}, words string, h array<bigint>, g array<bigint>")
 
-    pieces = asked.mapInArrow(cut_out, f"run bigint, window bigint, low {id_type}, high {id_type}, words string")
+
+def _by_arrays(pieces: DataFrame, length: int) -> DataFrame:
+    """(run, window, check, keeper, from, to): the stretches of windows that repeat, by a suffix array a bucket."""
+    id_type = pieces.schema["low"].dataType.simpleString()
 
     def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key: int, rows: list[tuple]) -> list[tuple]:
-            return [(key, *x) for x in _classes(rows, length)]
+            return [(key, *w, begin, end, least) for w, begin, end, least in _classes(rows, length)]
 
         kind = None
         key, rows, done = None, [], []
         for batch in batches:
-            kind = batch.column(2).type
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != key:
+            kind = batch.column(3).type
+            for own, window, check, low, high, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
                     if rows:
                         done += out(key, rows)
-                    key, rows = r[0], []
-                if not rows or rows[-1][0] != r[1]:
-                    rows.append(r[1:])
+                    key, rows = own, []
+                if not rows or rows[-1][0] != (window, check):
+                    rows.append(((window, check), low, high, words))
             if len(done) > 20_000:
                 yield batch_of(done, kind)
                 done = []
@@ -283,12 +323,40 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             yield batch_of(done, kind)
 
     def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["run", "window", "from", "to", "keeper"])
+        types = (*(pa.int64(),) * 3, pa.int32(), pa.int32(), kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["run", "window", "check", "from", "to", "keeper"])
+
+    given = pieces.where("words is not null").select("run", "window", "check", "low", "high", "words")
+    return given.repartition("run").sortWithinPartitions("run", "window", "check").mapInArrow(arrange, f"run bigint, window bigint, check bigint, from int, to int, keeper {id_type}")
+
+
+def _by_digests(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for buckets of many windows, by the digests of their passages."""
+    each = pieces.where("words is null").select("run", "window", "check", "low", "high", F.posexplode(F.arrays_zip("h", "g")).alias("at", "x"))
+    each = each.select("run", "window", "check", "low", "high", "at", "x.h", "x.g", F.pmod(F.xxhash64("window"), F.lit(_SALT)).cast("int").alias("salt"))
+    groups = each.groupBy("h", "g").agg(F.min("low").alias("keeper"), F.max("high").alias("most")).where("keeper <> most")
+    groups = groups.select("h", "g", "keeper", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("salt"))
+    hits = each.join(groups, ["h", "g", "salt"]).select("run", "window", "check", "keeper", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return merged(hits, "run", "window", "check", "keeper").select("run", "window", "check", "keeper", F.explode("spans").alias("s")).select("run", "window", "check", F.col("s.start").cast("int").alias("from"), F.col("s.end").cast("int").alias("to"), "keeper")
 
-    stretches = pieces.repartition("run").sortWithinPartitions("run", "window").mapInArrow(arrange, f"run bigint, window bigint, from int, to int, keeper {id_type}")
-    mixed = found.where("mixed").select("run", "window", "id", "start").join(stretches, ["run", "window"]).select("id", "keeper", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
-    return alike.unionByName(mixed)
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, run: int = RUN) -> DataFrame:
+    """(id, keeper, start, end): stretches of words that occur in other documents too, and the least id that has them; stretches may overlap."""
+    found = cut(windows(docs, id_col, text_col, length, run))
+    hot = cut(found.groupBy("run").count().where(F.col("count") > max(HOT_ROWS, found.count() // HOT_SHARE)).select("run"))
+    found = cut(_shared(found, hot))
+    alike = found.where("not mixed").select("id", F.col("low").alias("keeper"), "start", "end")
+    mixed = found.where("mixed")
+    kinds = cut(mixed.groupBy("run", "window", "check").agg(F.min(F.struct("id", "start", "end")).alias("at"), F.max("id").alias("high")))
+    many = kinds.groupBy("run").count().where(F.col("count") > ARRAY_WINDOWS).select("run", F.lit(True).alias("many"))
+    kinds = kinds.join(many, "run", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    pieces = cut(_cut_out(kinds, docs, id_col, text_col, length))
+    stretches = _by_arrays(pieces, length).unionByName(_by_digests(pieces, length))
+    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALT - 1))).otherwise(F.array(F.lit(0)))
+    stretches = stretches.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "run", "left").withColumn("salt", F.explode(spread)).drop("hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(_SALT)).cast("int")).otherwise(0)
+    held = mixed.select("run", "window", "check", "id", "start", salt.alias("salt")).join(stretches, ["run", "window", "check", "salt"])
+    return alike.unionByName(held.select("id", "keeper", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end")))
 
 
 def merged(found: DataFrame, *by: str) -> DataFrame:
@@ -326,8 +394,9 @@ def without(text: str, spans: list[dict]) -> str:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", length: int = LENGTH, run: int = RUN) -> DataFrame:
     """``docs`` without the passages that a document of lesser id has."""
-    gone = merged(repeats(docs, id_col, text_col, length, run).where("id <> keeper"), "id").select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left").drop("__id")
+    key, cuts = fresh(docs, "key"), fresh(docs, "cuts")
+    gone = merged(repeats(docs, id_col, text_col, length, run).where("id <> keeper"), "id").select(F.col("id").alias(key), F.col("spans").alias(cuts))
+    joined = docs.join(gone, docs[id_col] == gone[key], "left").drop(key)
     place, schema = docs.columns.index(text_col), docs.schema
     sized = docs.columns.index(size_col) if size_col in docs.columns else None
 
