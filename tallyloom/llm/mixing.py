@@ -11,7 +11,9 @@ Defined results: null is a source of its own; a source whose texts have no
 character keeps its documents as they are (rate 1), and so does one whose
 weight is not given, if weights are given only for others: it is dropped, its
 weight is 0.  Rows that repeat an id draw alike, and a null id draws as the
-empty string.  Extra columns are passed on; ``copy`` replaces one of that name.
+empty string.  A text's length matters for its source's share alone, however
+long it is.  An empty table gives no row.  Extra columns are passed on, whatever
+their names; ``copy`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
-#: Sources up to which their rates are broadcast; more are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: Numbers in all sources' distributions up to which these are broadcast (8 bytes each); more are joined by a shuffle, in which a source is spread over ``_SALT`` keys.
+BROADCAST_NUMBERS = 2_000_000
+_SALT = 32
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -70,18 +73,24 @@ def replicate(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source_co
 
     def distributions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"__source": frame["source"], "__cdf": [poisson_cdf(r) for r in frame["rate"]]})
+            yield pd.DataFrame({"s": frame["source"], "cdf": [poisson_cdf(r) for r in frame["rate"]]})
 
-    # one row a source; written, so that the count below and the join don't scan the texts twice
-    table = cut(rates(docs, source_col, text_col, weights, temperature).mapInPandas(distributions, "__source string, __cdf array<double>"))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
     given = docs.drop("copy")
-    joined = given.join(table, given[source_col].cast("string").eqNullSafe(F.col("__source")))
-    drawn = joined.withColumn("__u", uniform(seed, F.col(id_col))).withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    copies = drawn.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__source", "__cdf", "__u", "__n")
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(text_col))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    own, cdf, salt, u, n, order = (fresh(given, x) for x in ("s", "cdf", "salt", "u", "n", "order"))
+    # one row a source; written, so that the count below and the join don't scan the texts twice
+    table = cut(rates(docs, source_col, text_col, weights, temperature).mapInPandas(distributions, "s string, cdf array<double>"))
+    numbers = table.agg(F.coalesce(F.sum(F.size("cdf") + 4), F.lit(0))).first()[0]
+    table = table.withColumnsRenamed({"s": own, "cdf": cdf})
+    alike = given[source_col].cast("string").eqNullSafe(F.col(own))
+    if numbers <= BROADCAST_NUMBERS:
+        joined = given.join(F.broadcast(table), alike)
+    else:
+        spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+        joined = given.join(spread, alike & (F.pmod(F.xxhash64(given[id_col]), F.lit(_SALT)).cast("int") == F.col(salt))).drop(salt)
+    drawn = joined.withColumn(u, uniform(seed, F.col(id_col))).withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    copies = drawn.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(own, cdf, u, n)
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(text_col))
+    return copies.withColumn(order, place).repartition(order).sortWithinPartitions(order).drop(order)
 
 
 #: The same copies in SQL (without their order).

@@ -8,8 +8,8 @@ broadcast.  It is kept as tables in a shared folder, where each version adds its
 edits, and a later rebalancing reads it from there and goes on.
 
 Defined results: records of null id share the slot of the empty string; a null
-or empty payload counts 0 bytes; repeated rows have the same slot and count
-each.  Empty tables give empty slots, which stay where they are.  ``assign``
+or empty payload counts 0 bytes, a very long one all of its own; repeated rows
+have the same slot and count each.  Empty tables give empty slots, which stay where they are.  ``assign``
 replaces input columns that have the names of its own.
 """
 
@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import fresh, shared_dir
 
 SLOTS = 4096
 
@@ -168,11 +168,12 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", versions:
     """``docs`` with its slot and a shard column for each of ``versions`` (name -> version; the latest as ``shard`` by default).  No shuffle."""
     names = {"shard": slot_map.version} if versions is None else versions
     ats = [slot_map.at(v) for v in names.values()]
-    rows = [(s, *(at[s] for at in ats)) for s in range(slot_map.slots)]
-    table = docs.sparkSession.createDataFrame(rows, ", ".join(["__slot int", *(f"{n} int" for n in names)]))
     given = docs.drop(*(n for n in names if n != id_col)).withColumn("slot", slot_of(F.col(id_col), slot_map.slots))
+    own = fresh(given, "s")
+    rows = [(s, *(at[s] for at in ats)) for s in range(slot_map.slots)]
+    table = docs.sparkSession.createDataFrame(rows, ", ".join([f"{own} int", *(f"{n} int" for n in names)]))
     # the table has one row a slot, whatever the data's size
-    return given.join(F.broadcast(table), given["slot"] == table["__slot"], "left").drop("__slot")
+    return given.join(F.broadcast(table), given["slot"] == table[own], "left").drop(own)
 
 
 def balanced(docs: DataFrame, shards: int = 64, grown_to: int = 72, id_col: str = "doc_id", payload_col: str = "text", slots: int = SLOTS, path: str | None = None) -> SlotMap:
