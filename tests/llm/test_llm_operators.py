@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe, media, mixing, near_dedup, sharding, suffix_dedup, token_counts, token_output, toxicity
+from tallyloom.llm import ann, bpe, media, mixing, near_dedup, registry, sharding, suffix_dedup, token_counts, token_output, toxicity
 from tallyloom.llm.common import WordHashes, shingles
 
 RNG = random.Random(5)
@@ -92,12 +92,51 @@ def test_bpe_operator(spark, awkward, empty):
 def test_edited_counts(text, edits):
     cache = bpe.part_cache(bpe.DEFAULT_VOCAB)
     ((chars, ids),) = cache.words([text])
-    tree = token_counts.WordTree(chars.tolist(), ids.tolist())
+    tree = token_counts.WordTree(chars, ids)
     for start, length, new in edits:
         text, _ = token_counts.apply_edit(text, tree, start, start + length, new, cache)
         assert tree.n_tokens == len(reference_encoder().encode_ordinary(text)) and tree.n_chars == len(text)
 
 
+class Counting:
+    """A cache that only counts words of edits; it can't encode texts."""
+
+    def __init__(self, cache):
+        self.pattern, self.cache, self.n = cache.pattern, cache, 0
+
+    def count_word(self, word):
+        self.n += 1
+        return self.cache.count_word(word)
+
+
+def test_stored_trees_are_edited_without_encoding():
+    """Two batches of edits, each from the stored tree of the last: only ``n_reencoded`` words are encoded."""
+    cache, r = bpe.part_cache(bpe.DEFAULT_VOCAB), random.Random(4)
+    text = prose(20_000, 6)
+    ((chars, ids),) = cache.words([text])
+    chars, ids = token_counts.pack(chars), token_counts.pack(ids)
+    for _ in range(2):
+        counting = Counting(cache)
+        edits = [{"start": (a := r.randrange(len(text))), "end": a + r.randrange(30), "replacement": prose(r.randrange(4), a)} for _ in range(5)]
+        text, tree, before, again = token_counts.edit_document(text, chars, ids, edits, counting)
+        chars, ids = map(token_counts.pack, tree.leaves())
+        assert counting.n == again < 120 and tree.n_tokens == len(reference_encoder().encode_ordinary(text)) == token_counts.unpack(ids).sum()
+
+
+def test_trees_as_a_table(spark, awkward, empty):
+    stored = token_counts.with_trees(awkward.withColumn("word_ids", F.lit("x")))
+    assert stored.columns == [*awkward.columns, "word_chars", "word_ids"]
+    assert Counter((r["doc_id"], r["text"]) for r in stored.collect()) == Counter((r["doc_id"], r["text"]) for r in awkward.collect())
+    edit = lambda new: F.array(F.struct(F.lit(2).alias("start"), F.lit(4).alias("end"), F.lit(new).alias("replacement")))
+    once = token_counts.update(stored, edit("é x"))
+    twice = token_counts.update(once, edit("'re")).collect()
+    change = lambda t, new: t[:2] + new + t[4:]
+    want = Counter((r["doc_id"], None if r["text"] is None else (t := change(change(r["text"], "é x"), "'re")), None if r["text"] is None else len(reference_encoder().encode_ordinary(t))) for r in awkward.collect())
+    assert Counter((r["doc_id"], r["text"], r["n_tokens_edited"]) for r in twice) == want
+    assert all(r["n_reencoded"] < 12 for r in twice if r["text"] is not None) and all(r["word_ids"] is None for r in twice if r["text"] is None)
+    assert token_counts.update(token_counts.with_trees(empty), edit("x")).count() == 0
+
+
 def test_edited_counts_touch_little(spark, awkward, empty):
     edits = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("zz").alias("replacement")), F.lit(None).cast("struct<start:int,end:int,replacement:string>"), F.struct(F.lit(None).cast("int").alias("start"), F.lit(5).alias("end"), F.lit("q").alias("replacement")))
     rows = token_counts.count_edited(awkward, edits).collect()
@@ -117,12 +156,37 @@ def test_edited_counts_touch_little(spark, awkward, empty):
 def test_elias_fano(steps):
     values = np.cumsum(steps)
     code = token_output.EliasFano.encode(values)
-    again = token_output.EliasFano(len(code), code.low_bits, code.low.tobytes(), code.high.tobytes())
+    again = token_output.EliasFano(len(code), code.low_bits, *code.parts())
     assert again.all().tolist() == values.tolist() and [again[k] for k in range(len(again))] == values.tolist()
     if len(values) > 50:
         assert code.n_bytes * 8 <= len(values) * (3 + math.log2(max(2, values[-1] / len(values) + 1))) + 16
 
 
+def test_elias_fano_select_is_stored_and_small():
+    """Even and very uneven documents: the stored structures suffice, and take little."""
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(0, 2000, 100_000), np.where(rng.random(100_000) < 1e-3, 10**6, 0), np.r_[np.zeros(50_000, int), 10**8, np.ones(300, int)]):
+        values = np.cumsum(lengths)
+        code = token_output.EliasFano.encode(values)
+        again = token_output.EliasFano(len(code), code.low_bits, *code.parts())
+        some = [0, 1, 255, 256, 257, len(values) - 1, *rng.integers(0, len(values), 500).tolist()]
+        assert [again[k] for k in some] == values[some].tolist()
+        # 8 bytes a document in a table
+        assert code.n_bytes <= 0.4 * 8 * len(values) and again.select.nbytes + again.sparse.nbytes <= 0.2 * code.n_bytes + 1100 * again.n_sparse
+        # whatever is held is stored
+        assert sum(x.nbytes for x in vars(again).values() if isinstance(x, np.ndarray)) == code.n_bytes
+
+
+def test_blocks_of_very_long_texts(spark):
+    """Runs that exhaust the library's splitter, and both ways of encoding."""
+    texts = [" " * 2_000_000, "x" + " " * 1_000_000 + "y", "\n" * 300_000, prose(60_000, 4), prose(20, 5)]
+    blocks = token_output.write_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    vocab = bpe.part_cache(bpe.DEFAULT_VOCAB).vocab
+    got = {r["doc_id"]: r["token_ids"] for r in token_output.read_documents(blocks).collect()}
+    assert {k: vocab.decode(np.array(v)).decode() for k, v in got.items()} == dict(enumerate(texts))
+    assert got[3] == reference_encoder().encode_ordinary(texts[3]) and got[4] == reference_encoder().encode_ordinary(texts[4])
+
+
 def test_blocks(awkward, empty):
     blocks = token_output.write_blocks(awkward, block_ids=1000)
     back = token_output.read_documents(blocks).collect()
@@ -440,16 +504,47 @@ def test_repeats(spark, awkward, empty):
     assert suffix_dedup.passages(empty).count() == 0 and suffix_dedup.remove(empty).count() == 0
 
 
-def test_repeats_of_mixed_and_periodic_texts(spark):
+def mixed_texts():
     r = random.Random(1)
     pool = [prose(70, 300 + k) for k in range(4)]
-    rows = [(i, " ".join([prose(r.randrange(0, 30), 400 + i), r.choice(pool), prose(r.randrange(0, 9), 500 + i), r.choice(pool), "la " * r.choice([0, 40, 90])])) for i in range(60)]
+    return [(i, " ".join([prose(r.randrange(0, 30), 400 + i), r.choice(pool), prose(r.randrange(0, 9), 500 + i), r.choice(pool), "la " * r.choice([0, 40, 90])])) for i in range(60)]
+
+
+@pytest.mark.parametrize("hot,windows", [(0, 2000), (0, 1), (3, 3), (10**9, 1)])
+def test_repeats_of_hot_runs(spark, monkeypatch, hot, windows):
+    """All runs hot, some, or none; buckets beyond an array: the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_WINDOWS", windows)
+    rows = mixed_texts() + [(100 + i, prose(40, 700 + i) + " " + prose(47, 1) + " " + prose(40, 800 + i % 7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert covered(suffix_dedup.repeats(docs).collect()) == brute_repeats(rows, 50)
+
+
+def test_boilerplate_of_very_many_documents(spark):
+    """One passage in 50,000 documents, between words of their own."""
+    own = lambda k: F.array_join(F.transform(F.sequence(F.lit(k), F.lit(k + 29)), lambda i: F.substring(F.md5(F.concat_ws(":", "id", i)), 1, 14)), " ")
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", own(1), F.lit(prose(60, 9)), own(40)).alias("text"))
+    began = time.monotonic()
+    got = suffix_dedup.passages(docs).select("doc_id", "first_doc_id", F.explode("spans").alias("s"), "removed").groupBy("first_doc_id", "s", "removed").count().collect()
+    assert sorted((r["first_doc_id"], tuple(r["s"]), r["removed"], r["count"]) for r in got) == [(0, (30, 90), False, 1), (0, (30, 90), True, 49_999)]
+    assert time.monotonic() - began < 120
+
+
+def test_repeats_of_mixed_and_periodic_texts(spark):
+    rows = mixed_texts()
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
     for length, run in ((50, 8), (12, 3)):
         assert covered(suffix_dedup.repeats(docs, length=length, run=run).collect()) == brute_repeats(rows, length)
     after = suffix_dedup.remove(docs).collect()
     assert all(x["n_chars"] == len(x["text"]) for x in after)
-    assert not {i for (i, k) in brute_repeats([(x["doc_id"], x["text"]) for x in after], 50) if i != k and (i, k) in {}}
+    # what is left of a document is what no lesser one has; cuts may join words to new passages, which the next pass would find
+    want = {}
+    for (i, k), words in brute_repeats(rows, 50).items():
+        if i != k:
+            want.setdefault(i, set()).update(words)
+    texts = dict(rows)
+    left = {i: [w for k, w in enumerate(texts[i].split()) if k not in want.get(i, ())] for i in texts}
+    assert {x["doc_id"]: x["text"].split() for x in after} == {i: w for i, w in left.items() if w} and want
 
 
 # ---- 4: sharding
@@ -572,6 +667,9 @@ def test_neighbours(spark):
     few = ann.neighbours(table.where("vec_id < 3")).collect()
     assert len(few) == 6
     assert ann.neighbours(table.where("false")).count() == 0 and ann.neighbours(table.where("vec_id = 1")).count() == 0
+    some = ann.neighbours(table, shard_rows=250, every=50).collect()
+    assert {(r["vec_id"], r["rank"]): (r["neighbour_vec_id"], r["distance"]) for r in some} == {(i, k): x for i in range(0, 900, 50) for k, x in near[i].items()}
+    assert ann.neighbours(table.where("vec_id % 50 <> 0"), every=50).count() == 0
 
 
 def test_neighbours_of_equal_vectors(spark):
@@ -594,6 +692,23 @@ def test_neighbours_of_equal_vectors(spark):
         d[i] = np.inf
         hits += len({j for j, _ in near[i]} & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert hits >= 0.95 * 10 * len(x)
+    some = ann.neighbours(table, shard_rows=150, every=7).collect()
+    assert {(r["vec_id"], r["rank"]): (r["neighbour_vec_id"], r["distance"]) for r in some} == {(i, k + 1): v for i in range(0, len(x), 7) for k, v in enumerate(near[i])}
+
+
+def test_query_of_neighbours_has_its_recall(spark, sf_dir):
+    """The registered query against brute force over all rows."""
+    rows = registry.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["vec_id"] for r in rows])
+    near = defaultdict(list)
+    for r in registry.op6_ann(spark, sf_dir).collect():
+        near[r["vec_id"]].append(r["distance"])
+    assert set(near) == {int(i) for i in ids if i % 50 == 0}
+    hits = 0
+    for i, own in near.items():
+        d = np.sort(np.sqrt(((x - x[ids == i]) ** 2).sum(axis=1))[ids != i])[:10]
+        hits += sum(v <= d[-1] + 1e-4 for v in own)
+    assert hits >= 0.95 * 10 * len(near)
 
 
 # ---- 10: media
