@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balances, duplicates, files, streams, texts
+from . import balances, duplicates, files, folders, streams, texts
 
-_MODULES = (balances, duplicates, texts, files, streams)
+_MODULES = (balances, duplicates, texts, files, folders, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from tallyloom.plans import catalogue
@@ -14,7 +16,9 @@ def test_query(spark, duck, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
     if name not in SQL:
-        assert df.columns
+        # the smallest tables have no alike pairs
+        rows = rows or QUERIES[name](spark, str(Path(sf_dir).parent / "sf0.01")).limit(1).collect()
+        assert df.columns and rows
         return
     want = duck.sql(SQL[name])
     columns = sorted(df.columns)
