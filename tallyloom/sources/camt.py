@@ -67,6 +67,11 @@ def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency:
     # the statement's own fields first: exploded rows must not each carry the whole statement
     flat = stmts.select("_file", "stmt_index", account_id(F.col("stmt")).alias("AccountId"), F.col("stmt.Id").alias("_stmt_id"), F.col("stmt.Acct.Ccy").alias("__ccy"), F.col("stmt.Ntry").alias("__entries"))
     rows = flat.select("_file", "stmt_index", "AccountId", "_stmt_id", "__ccy", F.posexplode("__entries").alias("_entry", "e"))
+    return project(rows, redact_pii, statement_currency, strict, incomplete)
+
+
+def project(rows: DataFrame, redact_pii: bool = False, statement_currency: bool = False, strict: bool = True, incomplete: str = "skip") -> DataFrame:
+    """The same from entries ``e`` beside their statement's (_file, stmt_index, AccountId, _stmt_id, __ccy, _entry)."""
     e = F.col("e")
     details = F.flatten(F.transform(F.coalesce(e["NtryDtls"], F.array()), lambda d: F.coalesce(d["TxDtls"], F.array())))
     rows = rows.withColumn("__d", details)

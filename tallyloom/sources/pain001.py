@@ -15,7 +15,8 @@ _ACCOUNT = "struct<Id:struct<IBAN:string,Othr:struct<Id:string>>>"
 _TRANSFER = f"struct<PmtId:struct<EndToEndId:string>,Amt:struct<InstdAmt:struct<_VALUE:string,_Ccy:string>>,CdtrAgt:{_AGENT},Cdtr:{_PARTY},CdtrAcct:{_ACCOUNT},RmtInf:struct<Ustrd:array<string>>>"
 _PAYMENT = f"struct<PmtInfId:string,PmtMtd:string,BtchBookg:string,NbOfTxs:string,CtrlSum:string,ReqdExctnDt:string,Dbtr:{_PARTY},DbtrAcct:{_ACCOUNT},DbtrAgt:{_AGENT},ChrgBr:string,CdtTrfTxInf:array<{_TRANSFER}>>"
 _OWN = ("PmtInfId", "PmtMtd", "NbOfTxs", "CtrlSum", "ReqdExctnDt", "Dbtr", "DbtrAcct", "DbtrAgt", "ChrgBr")
-DOCUMENT = f"GrpHdr struct<MsgId:string,CreDtTm:string,NbOfTxs:string,InitgPty:struct<Nm:string>>, PmtInf array<{_PAYMENT}>"
+HEADER = "struct<MsgId:string,CreDtTm:string,NbOfTxs:string,InitgPty:struct<Nm:string>>"
+DOCUMENT = f"GrpHdr {HEADER}, PmtInf array<{_PAYMENT}>"
 
 
 def initiations(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
@@ -41,9 +42,14 @@ def payments(docs: DataFrame, redact_pii: bool = False) -> DataFrame:
 
     ``NbOfTxs`` is the header's, ``PmtNbOfTxs`` the payment's.
     """
+    return project(_rows(docs), redact_pii)
+
+
+def project(rows: DataFrame, redact_pii: bool = False) -> DataFrame:
+    """The same from transfers ``t`` beside their payment ``p`` and header ``h``."""
     cover = mask if redact_pii else (lambda c: c)
     c = F.col
-    return _rows(docs).select(
+    return rows.select(
         c("p.PmtInfId"), c("p.PmtMtd"), c("h.NbOfTxs").alias("NbOfTxs"), c("p.NbOfTxs").alias("PmtNbOfTxs"), c("p.CtrlSum"), c("p.ReqdExctnDt"), c("p.ChrgBr"),
         cover(c("p.Dbtr.Nm")).alias("DbtrNm"), cover(F.coalesce("p.DbtrAcct.Id.IBAN", "p.DbtrAcct.Id.Othr.Id")).alias("DbtrIBAN"), F.coalesce("p.DbtrAgt.FinInstnId.BIC", "p.DbtrAgt.FinInstnId.BICFI").alias("DbtrBIC"),
         c("t.PmtId.EndToEndId").alias("EndToEndId"), c("t.Amt.InstdAmt._VALUE").alias("InstdAmt"), c("t.Amt.InstdAmt._Ccy").alias("Currency"),
