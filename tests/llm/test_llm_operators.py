@@ -23,6 +23,8 @@ WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(2, 9))) f
 
 #: Columns whose names operators use inside or put out.
 CLASH = "id long, text string, key string, run int, slot string, shard string, copy string, spans string, score string, a int, b int, rank int, window string, keeper int, token_ids string, n_tokens string, digest string"
+#: Names that operators have used, or use, for columns of their own.
+CLASH += ", __row int, __n int, __id int, __u string, __cdf string, __source string, __order string, __spans string, __slot int, s string, u string, n int, cdf string, order string, gone int, place int, cuts string, salt int, h int, g int, words string, id_ int, key_ int, n_ int, check int"
 
 
 def prose(n, seed):
@@ -38,12 +40,11 @@ def awkward(spark):
         (1, base), (2, base), (2, base), (3, base + " tail words"), (4, None), (5, ""), (6, "   "), (7, "one"), (8, "one"), (None, base), (None, None), (9, long), (10, long + " x"),
         (11, "é" * 70_000), (12, prose(60, 3)), (13, prose(20, 4) + " " + prose(60, 3) + " " + prose(20, 5)), (14, "same same " * 200), (15, "\n\t x  y \n"), (16, prose(49, 3)),
     ]
-    data = [(i, t, i if i is None else i % 2, None if i in (3, 7) else "src" + str((i or 0) % 3), *([None] * 15)) for i, t in rows]
+    data = [(i, t, i if i is None else i % 2, None if i in (3, 7) else "src" + str((i or 0) % 3)) for i, t in rows]
     names = [c.split()[0] for c in CLASH.split(", ") if not c.startswith("text ")]
     kinds = [c for c in CLASH.split(", ") if not c.startswith("text ")]
     schema = "doc_id long, text string, lang int, source string, " + ", ".join(kinds)
-    assert len(names) == 16
-    return spark.createDataFrame([(*d[:4], *([None] * 16)) for d in data], schema)
+    return spark.createDataFrame([(*d, *([None] * len(names))) for d in data], schema)
 
 
 @pytest.fixture(scope="module")
@@ -271,6 +272,56 @@ def test_toxicity_on_held_out_documents(spark, toxic_corpus, awkward, empty):
     assert toxicity.tag(empty, chain).count() == 0
 
 
+def test_spans_and_scores_equal_enumeration(spark, toxic_corpus):
+    """The operator's whole result on short documents, by summing over all taggings."""
+    docs, labels = toxic_corpus
+    chain = toxicity.train(docs, labels)
+    r = random.Random(2)
+    texts = [" ".join(r.choice([*WORDS[:20], "vileword", "Nastyone,", "foulterm!"]) for _ in range(r.randrange(1, 11))) for _ in range(60)]
+    got = {x["doc_id"]: x for x in toxicity.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        e, total, p = [chain.emission(w) for w in words], 0.0, np.zeros(len(words))
+        for y in itertools.product((0, 1), repeat=len(words)):
+            w = math.exp(sum(v for v, tag in zip(e, y) if tag) + chain.start * y[0] + sum(chain.transitions[a, b] for a, b in itertools.pairwise(y)))
+            total += w
+            p += w * np.array(y)
+        p /= total
+        assert math.isclose(got[i]["score"], p.max(), abs_tol=1e-9) and math.isclose(got[i]["toxic_tokens"], p.sum(), abs_tol=1e-9)
+        want, at = [], 0
+        for k, w in enumerate(words):
+            at = text.index(w, at)
+            if p[k] >= toxicity.THRESHOLD:
+                if want and want[-1][2] == k - 1:
+                    want[-1] = (want[-1][0], at + len(w), k)
+                else:
+                    want.append((at, at + len(w), k))
+            at += len(w)
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == [w[:2] for w in want]
+
+
+def test_token_labels_equal_brute_force():
+    r = random.Random(12)
+    docs = [([r.choice("abcdefg") for _ in range(r.randrange(1, 12))] + ["x"] * (k % 5 == 0) + [r.choice("abc")], int(k % 5 == 0)) for k in range(60)]
+    toxic, clean = [set(w) for w, t in docs if t], [set(w) for w, t in docs if not t]
+    bad = set()
+    for v in set().union(*toxic):
+        odds = math.log((sum(v in d for d in toxic) + 0.5) / (len(toxic) + 1)) - math.log((sum(v in d for d in clean) + 0.5) / (len(clean) + 1))
+        around = {(w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else "") for w, t in docs if t for k in range(len(w)) if w[k] == v}
+        if odds >= 2.5 and len(around) >= 4:
+            bad.add(v)
+    assert bad == {"x"}
+    assert [x.tolist() for x in toxicity.label_tokens(docs)] == [[bool(t) and v in bad for v in w] for w, t in docs]
+
+
+def test_few_toxic_labels_teach_nothing(spark):
+    """Words of fewer than four contexts are no evidence."""
+    rows = [(k, prose(30, k) + (" vileword" if k < 3 else "")) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(40)], "doc_id long, toxic int")
+    assert toxicity.reject(docs, toxicity.train(docs, labels)).count() == 40
+
+
 def test_toxicity_without_labels(spark, toxic_corpus):
     docs, labels = toxic_corpus
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
@@ -634,6 +685,13 @@ def test_mixing(awkward, empty, weights):
     assert mixing.replicate(empty).count() == 0 and set(mixing.replicate(awkward).columns) == set(awkward.columns)
 
 
+def test_mixing_of_many_sources(awkward, monkeypatch):
+    """Distributions too many to be sent: the same draws by a salted join."""
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in awkward.collect()]
+    assert Counter((r["doc_id"], r["text"], r["source"], r["copy"]) for r in mixing.replicate(awkward).collect()) == draws(rows)
+
+
 def test_mixing_reaches_its_weights(spark):
     rows = [(i, "x" * 100, "big" if i % 10 else "small") for i in range(20_000)]
     out = mixing.replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"big": 0.5, "small": 0.5})
@@ -714,6 +772,16 @@ def test_query_of_neighbours_has_its_recall(spark, sf_dir):
 # ---- 10: media
 
 
+def test_hot_chunks(spark, monkeypatch):
+    """One chunk in all payloads, spread over several keys."""
+    monkeypatch.setattr(media, "HOT_PLACES", 3)
+    r = random.Random(1)
+    rows = [(k, bytes(40_000) + bytes(r.randrange(256) for _ in range(500))) for k in range(30)]
+    table = spark.createDataFrame(rows, "page_id long, html binary")
+    out = media.rebuild(media.manifest(table), media.store(table)).collect()
+    assert {r["page_id"]: bytes(r["payload"]) for r in out} == dict(rows) and all(r["verified"] for r in out)
+
+
 def brute_cuts(data, least, bits, most):
     out, begin, h = [], 0, 0
     for i, byte in enumerate(data):
@@ -741,6 +809,16 @@ def test_media(spark):
         out = {r["page_id"]: r for r in media.rebuild(media.manifest(table), media.store(table, dictionary=d), dictionary=d).collect()}
         assert {k: bytes(v["payload"]) for k, v in out.items()} == {k: v for k, v in rows if k is not None and v is not None}
         assert all(v["verified"] for v in out.values()) and out[4]["n_chunks"] == 0
+    # the store against brute force: every distinct chunk once, and nothing else
+    pieces = {}
+    for k, v in rows:
+        if k is not None and v:
+            at = 0
+            for end in brute_cuts(v, media.LEAST, media.MASK_BITS, media.MOST):
+                pieces[v[at:end]] = None
+                at = end
+    _, unpack = media._codec(b"")
+    assert Counter(unpack(bytes(r["chunk"])) for r in media.store(table).collect()) == Counter(list(pieces))
     kept = media.store(table)
     stored = kept.agg(F.sum("size")).first()[0]
     assert stored < 0.45 * sum(len(v) for k, v in rows if k is not None and v)

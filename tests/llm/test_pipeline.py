@@ -47,6 +47,26 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == docs.columns
 
 
+def test_stages_on_awkward_and_empty_documents(spark, sf_dir):
+    """Null and repeated ids, null, empty, blank and long texts, and columns of clashing names, through all stages; each works on what the last one kept."""
+    words = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, words), (2, words), (2, words), (None, words), (None, None), (3, None), (4, ""), (5, "  "), (6, "one"), (7, "x" * 50_000), (8, "zz " * 20_000), (9, "own words " + words)]
+    names = "__id long, __row int, n string, gone string, place int, s string, cdf int, cuts int, salt int"
+    base = spark.createDataFrame([(i, t, "en", "src" if (i or 0) % 2 else None, None if t is None else len(t), *[None] * 9) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for docs in (base, base.where("false")):
+        last = docs
+        for name, stage in corpus_pipeline.STAGES:
+            before, last = last, stage(spark, last, sf_dir)
+            if name != "bpe":
+                assert last.columns == docs.columns
+            last = spark.createDataFrame(last.collect(), last.schema)
+            if name in ("toxicity", "near_dedup", "suffix_dedup"):
+                assert {r["doc_id"] for r in last.collect()} <= {r["doc_id"] for r in before.collect()}
+            if name == "near_dedup" and docs is base:
+                assert Counter(r["doc_id"] for r in last.collect()) == {1: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1}
+        assert all(r["round_trip"] for r in last.collect() if r["token_ids"] is not None) and (last.count() > 0) == (docs is base)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
