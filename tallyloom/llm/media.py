@@ -8,9 +8,9 @@ each once, and a manifest lists each payload's chunks in order.  Rebuilding
 joins manifest and store by digest, puts the chunks in order and compares the
 payload's digest.
 
-A chunk that many payloads have (page frames, zeros) is hot: those with over a
-``HOT_SHARE``-th of all places, so that there are never more than that many,
-are spread over ``_SALT`` keys in the join.
+A chunk that many payloads have (page frames, zeros) is one row of the store;
+its places are split by adaptive execution's skew join, and meet nothing but that
+row.
 
 Chunks are small and alike, so they are compressed against a dictionary that
 is trained on a bounded sample of payloads, chosen by a hash of the id; it
@@ -35,15 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, mix
+from .common import bounded_sample, mix
 
 LEAST, MASK_BITS, MOST = 512, 11, 16384
 #: Payloads that the compression dictionary may be trained on, and its size.
 SAMPLE_PAYLOADS, DICTIONARY_BYTES = 1000, 200_000
 LEVEL = 12
-#: A chunk is hot with over ``HOT_PLACES`` places and a ``HOT_SHARE``-th of all.
-HOT_PLACES, HOT_SHARE = 5000, 20_000
-_SALT = 16
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(16)).astype(np.uint32)
 
@@ -155,27 +152,13 @@ def manifest(media: DataFrame, id_col: str = "page_id", payload_col: str = "html
     return latest.withColumn("chunks", F.filter("chunks", lambda c: c["digest"].isNotNull())).withColumnRenamed("id", id_col)
 
 
-def _hot(wanted: DataFrame) -> DataFrame | None:
-    """(digest, hot) of the chunks of very many places, or None where there is none."""
-    many = cut(wanted.where("digest is not null").groupBy("digest").count().where(F.col("count") > HOT_PLACES))
-    if many.isEmpty():
-        return None
-    return many.where(F.col("count") > wanted.count() // HOT_SHARE).select("digest", F.lit(True).alias("hot"))
-
-
 def rebuild(manifests: DataFrame, chunks: DataFrame, id_col: str = "page_id", dictionary: bytes = b"") -> DataFrame:
     """(id, payload, n_chunks, verified): the payloads again; ``verified`` if all chunks are there and the digest is right."""
     id_type = manifests.schema[id_col].dataType.simpleString()
     # the payload's digest travels with its first chunk alone
     wanted = manifests.select(F.col(id_col).alias("id"), "medium", F.posexplode_outer("chunks").alias("pos", "c")).select("id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("medium")).alias("medium"), "c.seq", "c.digest")
-    salt, hot = F.lit(0), _hot(wanted)
-    chunks = chunks.select("digest", "chunk", salt.alias("salt"))
-    if hot is not None:
-        spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALT - 1))).otherwise(F.array(F.lit(0)))
-        chunks = chunks.drop("salt").join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(spread)).drop("hot")
-        wanted = wanted.join(F.broadcast(hot), "digest", "left")
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(_SALT)).cast("int")).otherwise(0)
-    found = wanted.withColumn("salt", salt).join(chunks, ["digest", "salt"], "left").select("id", "medium", "seq", "chunk")
+    # one row a chunk on the right: of a chunk in very many places adaptive execution splits the left side
+    found = wanted.join(chunks.select("digest", "chunk"), "digest", "left").select("id", "medium", "seq", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, unpack = _codec(dictionary)

@@ -772,9 +772,8 @@ def test_query_of_neighbours_has_its_recall(spark, sf_dir):
 # ---- 10: media
 
 
-def test_hot_chunks(spark, monkeypatch):
-    """One chunk in all payloads, spread over several keys."""
-    monkeypatch.setattr(media, "HOT_PLACES", 3)
+def test_hot_chunks(spark):
+    """One chunk in all payloads, several times in each."""
     r = random.Random(1)
     rows = [(k, bytes(40_000) + bytes(r.randrange(256) for _ in range(500))) for k in range(30)]
     table = spark.createDataFrame(rows, "page_id long, html binary")
