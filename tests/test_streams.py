@@ -32,3 +32,8 @@ def test_tumbling_stream_equals_batch(spark, events):
     stream, rows = events
     got = same(spark, windows.tumbling(streams.closed(spark, stream), keys=["event_type"]), windows.tumbling(rows, keys=["event_type"]))
     assert got.where("window_start = timestamp_ntz'2024-03-10 02:00:00'").count() == 1  # an hour that the zone hasn't
+
+
+def test_sliding_stream_equals_batch(spark, events):
+    stream, rows = events
+    same(spark, windows.tumbling(streams.closed(spark, stream), "2 hours", slide="1 hour"), windows.tumbling(rows, "2 hours", slide="1 hour"))
