@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _marked(events: DataFrame, late: str) -> tuple[DataFrame, Callable[[Column], Column]]:
     """A stream with its watermark, and what gives times back in the type of ``ts``; batch rows stay as they are.
 
@@ -37,9 +38,9 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes",
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", key: str = "user_id") -> DataFrame:
     """(key, session_start, session_end, n): runs of a key's events closer than ``gap``."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked, back = _marked(events, late)
     out = marked.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    return out.select(key, back(F.col("w.start")).alias("session_start"), back(F.col("w.end")).alias("session_end"), "n")
 
 
 def first_of_each(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:

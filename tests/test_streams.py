@@ -37,3 +37,8 @@ def test_tumbling_stream_equals_batch(spark, events):
 def test_sliding_stream_equals_batch(spark, events):
     stream, rows = events
     same(spark, windows.tumbling(streams.closed(spark, stream), "2 hours", slide="1 hour"), windows.tumbling(rows, "2 hours", slide="1 hour"))
+
+
+def test_session_stream_equals_batch(spark, events):
+    stream, rows = events
+    same(spark, windows.sessions(streams.closed(spark, stream)), windows.sessions(rows))
