@@ -22,16 +22,17 @@ so a band has one row there, and the query's least hashes are looked up among
 all the target's, which a set contained to t answers with probability t each,
 however large the target.  Queries of up to ``whole`` shingles look up all of
 theirs, which makes the search exact, larger ones ``sample`` of them.  Only
-queries that find enough of their hashes in larger sets go on: they are checked
-against the targets that share most with them, and who fails against every
-target that shares a hash of the query's rarest.
+queries that find enough of their hashes in larger sets go on: those that looked
+up all are answered by the number found, the others are checked against every
+target that holds enough of theirs.
 
 Meaning: pairs of sizes within ``ratio`` are copies; classes are their connected
 components, of which the least id stays.  A set contained in one beyond ``ratio``
 is a part: the class whose least document is a part goes with the class of the
 container, if that class has the larger largest document, but joins no two
-containers (a line that many texts have would join them all).  One container
-is enough, so of a part's containers not all are listed.
+containers (a line that many texts have would join them all); of several such
+classes the one of least id.  All of a part's containers that are found are
+links, of equal ones one.
 
 Documents with equal shingle sets are grouped before the search, so only one
 of each such set takes part.
@@ -61,10 +62,10 @@ from .common import WordHashes, cut, fresh, mix, shingles, small_batches
 
 #: Bytes up to which the filter of looked-up hashes is sent to the executors; beyond, hashes are shuffled unfiltered.
 FILTER_BYTES = 256_000_000
-#: Ids of candidates, or keys, up to which they are sent to where the texts or rows are; beyond, these are shuffled to them.
+#: Ids of candidates, or keys, up to which they are sent to where the texts or rows are (with their cells up to a quarter); beyond, these are shuffled to them.
 BROADCAST_IDS = 2_000_000
-#: Pairs that one copy of a text is held against, and shingles that a worker keeps of the other sides.
-_PAIRS, _HELD = 2000, 4_000_000
+#: Shingles that a worker keeps of either side of a cell of pairs.
+_HELD = 2_000_000
 #: Bits a hash of that filter, two of which are set.
 _BITS = 10
 _LOW32 = (1 << 32) - 1
@@ -129,19 +130,33 @@ def _seeds(n: int) -> np.ndarray:
 
 def sketch(unique: np.ndarray, params: Params, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Band keys of a shingle set, and a signature of two bits a permutation, 32 a word."""
-    mins = np.concatenate([(seeds[i : i + 16, None] * unique[None, :]).min(axis=1) for i in range(0, len(seeds), 16)])
+    keys, sig = _sketch_all([unique], params, seeds)
+    return [keys[0]], sig[0]
+
+
+def _sketch_all(sets: list[np.ndarray], params: Params, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same of many sets: the keys of each, and a row of signature of each."""
+    mins = np.empty((len(sets), len(seeds)), dtype=np.uint64)
+    for k, unique in enumerate(sets):
+        for i in range(0, len(seeds), 16):
+            (seeds[i : i + 16, None] * unique[None, :]).min(axis=1, out=mins[k, i : i + 16])
     mins = mix(mins)
-    p = params.partition(len(unique))
-    keys = []
-    for query, target in ((p, p), (p, p + 1), (p - 1, p)):
-        if query >= 0:
-            bands, rows = params.banding(query, target)
-            key = mix(np.arange(bands, dtype=np.uint64) + np.uint64((query << 20 | target << 8) + 1))
-            for r in range(rows):
-                key = mix(key + mins[r : bands * rows : rows])
-            keys.append(key)
-    bits = (mins & np.uint64(3)) << (np.arange(len(mins), dtype=np.uint64) % np.uint64(32) * np.uint64(2))
-    return keys, np.bitwise_or.reduceat(bits, np.arange(0, len(bits), 32))
+    partitions = np.array([params.partition(len(x)) for x in sets])
+    keys: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(sets)
+    for p in np.unique(partitions).tolist():
+        at = np.flatnonzero(partitions == p)
+        own = []
+        for query, target in ((p, p), (p, p + 1), (p - 1, p)):
+            if query >= 0:
+                bands, rows = params.banding(query, target)
+                key = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64((query << 20 | target << 8) + 1)), (len(at), bands))
+                for r in range(rows):
+                    key = mix(key + mins[at, r : bands * rows : rows])
+                own.append(key)
+        for k, row in zip(at.tolist(), np.concatenate(own, axis=1)):
+            keys[k] = row
+    bits = (mins & np.uint64(3)) << (np.arange(mins.shape[1], dtype=np.uint64) % np.uint64(32) * np.uint64(2))
+    return keys, np.bitwise_or.reduceat(bits, np.arange(0, mins.shape[1], 32), axis=1)
 
 
 def agreement(a: np.ndarray, b: np.ndarray, perms: int) -> np.ndarray:
@@ -152,9 +167,23 @@ def agreement(a: np.ndarray, b: np.ndarray, perms: int) -> np.ndarray:
     return (share - 0.25) / 0.75
 
 
-def _shingle_set(words: WordHashes, text: str, params: Params) -> np.ndarray:
-    hashes = words.of(text.split())
-    return np.unique(shingles(hashes[hashes != 0], params.k))
+def _shingle_sets(words: WordHashes, texts: list[str], params: Params) -> list[np.ndarray]:
+    """The shingle set of each text, sorted."""
+    split = [t.split() for t in texts]
+    flat = words.of([w for ws in split for w in ws])
+    owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])[flat != 0]
+    flat = flat[flat != 0]
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    runs = shingles(flat, params.k) if len(flat) >= params.k else flat[:0]
+    out, begin = [], 0
+    for end in ends.tolist():
+        if end - begin < params.k:
+            out.append(shingles(flat[begin:end], params.k))
+        else:
+            own = np.sort(runs[begin : end - params.k + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        begin = end
+    return out
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,19 +204,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, params: Params) -> Dat
         words, seeds = WordHashes(), _seeds(params.perms)
         for batch in batches:
             for first, texts in text_slices(x.as_py() for x in batch.column(1)):
-                rows, content, keys, sigs, sizes, least = [], [], [], [], [], []
-                for k, text in enumerate(texts):
-                    unique = _shingle_set(words, text, params)
-                    if len(unique):
-                        own, sig = sketch(unique, params, seeds)
-                        rows.append(first + k)
-                        content.append(xxhash.xxh3_128_digest(unique.tobytes()))
-                        keys.append(np.concatenate(own))
-                        sigs.append(sig)
-                        sizes.append(len(unique))
-                        least.append(unique[: params.least(len(unique))])
+                sets = _shingle_sets(words, texts, params)
+                rows = [first + k for k, x in enumerate(sets) if len(x)]
+                sets = [x for x in sets if len(x)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(content, type=pa.binary()), _lists(keys), _lists(sigs), pa.array(sizes, type=pa.int32()), _lists(least)], names=["id", "content", "keys", "sig", "size", "least"])
+                    keys, sigs = _sketch_all(sets, params, seeds)
+                    content = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                    least = [x[: params.least(len(x))] for x in sets]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(content, type=pa.binary()), _lists(keys), _lists(list(sigs)), pa.array([len(x) for x in sets], type=pa.int32()), _lists(least)], names=["id", "content", "keys", "sig", "size", "least"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, content binary, keys array<bigint>, sig array<bigint>, size int, least array<bigint>")
 
@@ -299,61 +323,90 @@ def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = Fals
     return bands.mapInArrow(run, f"key bigint, id {id_type}, sig array<bigint>, size int, other {id_type}, leaves boolean")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: Params, parts: bool = False) -> DataFrame:
+def _cells(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cell, i, j, a, b): the pairs, those of texts that share partners mostly in one cell, of at most about ``_HELD`` shingles a side.
+
+    A text's label is the least id at most two steps from it, a pair's cell the
+    lesser of its two labels.  A larger cell is a square of smaller ones.
+    """
+    ends = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    near = ends.groupBy("a").agg(F.least("a", F.min("b")).alias("cell"))
+    near = cut(ends.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cell").alias("cell")))
+    at = pairs.join(near, "a").join(near.select(F.col("a").alias("b"), F.col("cell").alias("other")), "b").select(F.least("cell", "other").alias("cell"), "a", "b")
+    at = cut(at)
+    sizes = reps.groupBy("id").agg(F.sum(F.col("size").cast("long")).alias("size"))
+    weights = at.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sizes, "id", "left").groupBy("cell").agg(F.sum(F.coalesce("size", F.lit(1))).alias("weight"))
+    wide = cut(weights.select("cell", F.ceil(F.col("weight") / _HELD).alias("side")).where("side > 1"))
+    side = F.coalesce("side", F.lit(1))
+    return at.join(wide, "cell", "left").select("cell", F.pmod(F.xxhash64("a"), side).alias("i"), F.pmod(F.xxhash64("b"), side).alias("j"), "a", "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, params: Params, parts: bool = False) -> DataFrame:
     """(a, b, containment) of the pairs whose smaller shingle set is contained in the other to ``t`` at least, counted exactly: of sizes within the ratio, or with ``parts`` of those where a's set is smaller than that.
 
-    Only texts that a pair has move, and b's once for ``_PAIRS`` of its pairs.
+    Only texts that a pair has move, and once to each cell of pairs.  ``reps``
+    tells their sizes.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    pairs = cut(pairs.select("a", "b"))
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = _texts(docs, id_col, text_col).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    loads = pairs.groupBy("b").agg(F.ceil(F.count("*") / _PAIRS).cast("int").alias("salts"))
-    own = pairs.join(loads, "b").join(texts.withColumnRenamed("id", "a"), "a").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a", "text")
-    whole = loads.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast(id_type).alias("a"), "text")
-    rows = own.unionByName(whole).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    pairs = cut(_cells(cut(pairs.select("a", "b").distinct()), reps))
+    members = cut(pairs.select("cell", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = _texts(docs, id_col, text_col)
+    if members.count() <= BROADCAST_IDS // 4:
+        held = texts.join(F.broadcast(members), "id")
+    else:
+        ids = cut(members.select("id").distinct())
+        held = members.join(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "id")
+    held = held.select("cell", "i", "j", F.col("id").alias("a"), F.lit(None).cast(id_type).alias("b"), "text")
+    rows = held.unionByName(pairs.withColumn("text", F.lit(None).cast("string"))).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        sets: dict[str, np.ndarray] = {}  # of the a, which come back with each of their b
-        key, known, held = None, [], 0
+        words, key = WordHashes(), None
+        sets: dict = {}  # of the cell; rows that repeat an id are several
         for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            firsts = [k for k in range(len(a)) if not k or places[k] != places[k - 1] or b[k] != b[k - 1]]
             hits, found = [], []
-            bs, salts, alone = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).is_null().to_pylist()
-            for k, text in enumerate(batch.column(3)):
-                text = text.as_py()
-                if alone[k]:  # a b, before its pairs; rows that repeat an id are several
-                    if (bs[k], salts[k]) != key:
-                        key, known = (bs[k], salts[k]), []
-                    known.append(_shingle_set(words, text, params))
+            for k, end in zip(firsts, [*firsts[1:], len(a)]):
+                if places[k] != key:
+                    key, sets = places[k], {}
+                if b[k] is None:
+                    texts = batch.column(5).slice(k, end - k)
+                    for first, some in text_slices(x.as_py() for x in texts):
+                        for i, own in enumerate(_shingle_sets(words, some, params)):
+                            sets.setdefault(a[k + first + i], []).append(own)
                     continue
-                small = sets.get(text)
-                if small is None:
-                    if held > _HELD:
-                        sets, held = {}, 0
-                    small = sets[text] = _shingle_set(words, text, params)
-                    held += len(small)
-                share = max((_contained(small, x, params, parts) for x in known), default=0.0)
-                if share >= params.t:
-                    hits.append(k)
-                    found.append(share)
-            at = pa.array(hits, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array(found, type=pa.float64())], names=["a", "b", "containment"])
+                shares = np.zeros(end - k)
+                own = [(n, x) for n, i in enumerate(a[k:end]) for x in sets[i]]
+                for other in sets[b[k]]:
+                    np.maximum.at(shares, [n for n, _ in own], _contained([x for _, x in own], other, params, parts))
+                good = np.flatnonzero(shares >= params.t)
+                hits.append(good + k)
+                found.append(shares[good])
+            if hits:
+                at = pa.array(np.concatenate(hits), type=pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(4).take(at), pa.array(np.concatenate(found), type=pa.float64())], names=["a", "b", "containment"])
 
     with small_batches(docs.sparkSession, 500):
         return cut(rows.mapInArrow(run, f"a {id_type}, b {id_type}, containment double"))
 
 
-def _contained(own: np.ndarray, other: np.ndarray, params: Params, parts: bool) -> float:
-    """Which share of the smaller set the larger has; 0 if their sizes are not asked for, or one is empty."""
-    if not len(own) or not len(other) or (parts and len(own) >= len(other)):
-        return 0.0
-    small, large = (own, other) if len(own) <= len(other) else (other, own)
-    if (len(large) > params.ratio * len(small)) != parts:
-        return 0.0
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    return float((large[at] == small).mean())
+def _contained(own: list[np.ndarray], other: np.ndarray, params: Params, parts: bool) -> np.ndarray:
+    """Which share of the smaller set the larger has, for each of ``own`` with the other; 0 if their sizes are not asked for, or one is empty."""
+    out = np.zeros(len(own))
+    sizes = np.array([len(x) for x in own])
+    small, large = np.minimum(sizes, len(other)), np.maximum(sizes, len(other))
+    asked = (small > 0) & ((large > params.ratio * small) == parts)
+    if parts:
+        asked &= sizes < len(other)
+    which = np.flatnonzero(asked)
+    if len(which):
+        flat = np.concatenate([own[k] for k in which])
+        at = np.searchsorted(other, flat)
+        at[at == len(other)] = 0
+        both = np.add.reduceat(other[at] == flat, np.cumsum(sizes[which]) - sizes[which], dtype=np.int64)
+        out[which] = both / small[which]
+    return out
 
 
 def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -370,7 +423,7 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     combined = led_pairs(bands.sortWithinPartitions("key", "id"), params, id_type)
     led = cut(led_pairs(combined.repartition("key").sortWithinPartitions("key", "id"), params, id_type).where("other is not null and id <> other").select("key", "id", "other", "leaves"))
     both = lambda rows: rows.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    near = verify(both(led).distinct(), docs, id_col, text_col, params).select("a", "b").distinct()
+    near = verify(both(led), docs, reps, id_col, text_col, params).select("a", "b").distinct()
     # who left with a leader that it isn't a copy of goes back, and is held against all that no leader took
     went = led.where("leaves").withColumns({"a": F.greatest("id", "other"), "b": F.least("id", "other")})
     back = cut(went.join(near, ["a", "b"], "left_anti").select("key", "id").distinct())
@@ -380,7 +433,7 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     waiting = _among(bands.drop("leaves"), back.select("key")).join(gone, ["key", "id"], "left_anti").join(back.withColumn("leaves", F.lit(True)), ["key", "id"], "left")
     waiting = waiting.select("key", "id", "sig", "size", "other", "leaves").repartition("key").sortWithinPartitions("key", "id")
     more = both(led_pairs(waiting, params, id_type, again=True).where("other is not null and id <> other")).distinct().join(both(led), ["a", "b"], "left_anti")
-    return near.unionByName(verify(more, docs, id_col, text_col, params).select("a", "b").distinct())
+    return near.unionByName(verify(more, docs, reps, id_col, text_col, params).select("a", "b").distinct())
 
 
 def _hits(docs: DataFrame, id_col: str, text_col: str, params: Params, bits: np.ndarray | None, slots: int) -> DataFrame:
@@ -392,7 +445,7 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, params: Params, bits: np.
         words, known = WordHashes(), sent.value
         for batch in batches:
             for first, texts in text_slices(x.as_py() for x in batch.column(1)):
-                sets = [_shingle_set(words, t, params) for t in texts]
+                sets = _shingle_sets(words, texts, params)
                 sizes = np.array([len(s) for s in sets])
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 if known is not None:
@@ -408,7 +461,7 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, params: Params, bits: np.
 
 
 def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
-    """(a, b) of the verified parts a, each with one or more of its containers b."""
+    """(a, b) of the verified parts a with their containers b, of which equal sets count once."""
     spark = docs.sparkSession
     asked = reps.select(F.explode("least").alias("key"), F.col("id").alias("a"), "size")
     n = reps.agg(F.coalesce(F.sum(F.size("least")), F.lit(0))).first()[0]
@@ -426,25 +479,28 @@ def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     found = asked.join(hits.groupBy("key").agg(F.max("size_b").alias("size_b")), "key").where(larger).select("key", "a", "size")
     enough = F.count("*").over(Window.partitionBy("a")).alias("hits")  # a query has no more hashes than ``whole`` or ``sample``
     found = cut(found.select("key", "a", "size", enough).where(F.col("hits") >= params.needed(F.col("size"))))
-    # targets that hold the same of these hashes answer alike: of each kind the largest, the first and the last are asked
-    at = F.struct("b", "size_b")
-    own = _among(hits, found.select("key")).groupBy("b", "size_b").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    kinds = own.withColumn("kind", F.xxhash64("keys")).groupBy("kind").agg(F.first("keys").alias("keys"), F.array_distinct(F.array(F.max_by(at, "size_b"), F.min(at), F.max(at))).alias("targets"), F.max("size_b").alias("size_b"))
-    kinds = cut(kinds)
+    # targets that hold the same of these hashes answer alike, so each kind of them is asked once
+    own = _among(hits, found.select("key")).groupBy("b", "size_b").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumn("kind", F.xxhash64("keys"))
+    own = cut(own.join(reps.select(F.col("id").alias("b")).distinct(), "b", "left_semi"))  # of equal sets one
+    members = own.select("kind", "b", "size_b")
+    kinds = cut(own.groupBy("kind").agg(F.first("keys").alias("keys"), F.max("size_b").alias("size_b")))
     by_key = kinds.select("kind", "size_b", F.explode("keys").alias("key"))
     # a kind that holds enough of a query's hashes holds one of its rarest
     rare = found.join(by_key.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("n", "key")))
     rare = rare.where(F.col("place") <= F.col("hits") - params.needed(F.col("size")) + 1)
     met = rare.select("key", "a", "size").join(by_key, "key").where(larger).select("a", "size", "kind").distinct()
-    held = met.join(found.groupBy("a").agg(F.collect_set("key").alias("own")), "a").join(kinds.select("kind", "keys", "targets"), "kind")
-    held = held.withColumn("both", F.size(F.array_intersect("own", "keys"))).where(F.col("both") >= params.needed(F.col("size")))
-    held = cut(held.select("a", "size", "both", F.explode("targets").alias("x")).select("a", "size", "both", "x.*").where(larger).select("a", "b", "both"))
-    # first the three that hold most, found without a sort; of who fails with them, all
-    best = held.groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("x"), F.max_by("b", F.struct("both", F.xxhash64("b"))).alias("y"), F.max_by("b", F.struct("both", F.xxhash64("b") % 1009, "b")).alias("z"))
-    best = best.select("a", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b"))
-    right = verify(best, docs, id_col, text_col, params, parts=True).select("a", "b")
-    more = held.join(right.select("a").distinct(), "a", "left_anti").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    return right.unionByName(verify(more, docs, id_col, text_col, params, parts=True).select("a", "b"))
+    held = met.join(found.groupBy("a").agg(F.collect_set("key").alias("own")), "a").join(kinds.select("kind", "keys"), "kind")
+    held = held.withColumn("both", F.size(F.array_intersect("own", "keys"))).where(F.col("both") >= params.needed(F.col("size"))).select("a", "size", "kind")
+    # all targets of these kinds
+    held = cut(held.join(members, "kind").where(larger).select("a", "size", "b").distinct())
+    # a set that looked up all its hashes is answered by their number; rows that repeat an id are several sets, which the texts tell apart
+    several = docs.groupBy(docs[id_col].alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    plain = held.where(F.col("size") <= params.whole)
+    for end in ("a", "b"):
+        plain = plain.join(several.withColumnRenamed("id", end), end, "left_anti")
+    plain = cut(plain.select("a", "b").distinct())
+    rest = held.select("a", "b").distinct().join(plain, ["a", "b"], "left_anti")
+    return plain.unionByName(verify(rest, docs, reps, id_col, text_col, params, parts=True).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

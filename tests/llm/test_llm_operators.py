@@ -438,6 +438,29 @@ def test_parts_of_larger_documents(spark, monkeypatch, filtered):
     assert all(got[i]["kept_doc_id"] in heads[i] and got[i]["n_links"] > 0 for i in found) and got[1101]["kept_doc_id"] == got[1100]["kept_doc_id"]
 
 
+def test_every_target_of_a_kind_is_asked(spark):
+    """Seven targets hold the 16 hashes that a part looks up; only one that is neither the largest, the first nor the last holds the part."""
+    part, p = prose(120, 71).split(), near_dedup.Params()
+    runs = shingles(WordHashes().of(part), 3)
+    asked = " ".join(" ".join([*part[k : k + 3], f"gap{k}"]) for k in np.argsort(runs)[: p.sample])
+    rows = [(50, " ".join(part))] + [(n, asked + " " + prose(400 + 10 * n, 500 + n)) for n in (10, 20, 30, 60, 70, 80)]
+    rows += [(40, prose(300, 540) + " " + " ".join(part))]
+    got = {x["doc_id"]: (x["kept_doc_id"], x["part"], x["n_links"]) for x in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(runs.tolist())) > p.whole and got == {50: (40, True, 1)} and brute_parts(rows, {}) == {50: {40}}
+
+
+def test_every_container_is_a_link(spark, monkeypatch):
+    """Parts that look up all of their hashes and parts that look up some, each in 12 containers and one equal to the first; the cells of pairs are split."""
+    monkeypatch.setattr(near_dedup, "_HELD", 700)
+    rows = []
+    for g, n in enumerate((12, 150)):
+        part = prose(n, 90 + g)
+        rows += [(1000 * g + 7, part)] + [(1000 * g + 20 + k, prose(2 * n, 1000 * g + k) + " " + part) for k in range(12)]
+        rows += [(1000 * g + 90, rows[-12][1])]
+    got = {x["doc_id"]: (x["kept_doc_id"], x["part"], x["n_links"]) for x in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: (20, True, 12), 90: (20, False, 0), 1007: (1020, True, 12), 1090: (1020, False, 0)}
+
+
 def test_hot_bucket_of_unlike_rows():
     """One bucket of 20,000 rows that are no copies of each other."""
     rng = np.random.default_rng(0)
