@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from test_llm_operators import brute_repeats, draws, gone, reference_encoder
+from test_llm_operators import brute_repeats, draws, gone, prose, reference_encoder
 
-from tallyloom.llm import registry, suffix_dedup, toxicity
-from tallyloom.llm.common import table
+from tallyloom.llm import near_dedup, registry, suffix_dedup, toxicity
+from tallyloom.llm.common import WordHashes, shingles, table
 
 
 def test_stages():
@@ -67,6 +68,15 @@ def test_stages_on_awkward_and_empty_documents(spark, sf_dir):
         assert all(r["round_trip"] for r in last.collect() if r["token_ids"] is not None) and (last.count() > 0) == (docs is base)
 
 
+def test_a_part_of_one_document_among_alike_ones_goes(spark, sf_dir):
+    """Seven documents hold the hashes that a part looks up, the one that holds the part is neither the largest, the first nor the last."""
+    part = prose(120, 71).split()
+    asked = " ".join(" ".join([*part[k : k + 3], f"gap{k}"]) for k in np.argsort(shingles(WordHashes().of(part), 3))[: near_dedup.Params().sample])
+    rows = [(50, " ".join(part)), (40, prose(300, 540) + " " + " ".join(part))] + [(n, asked + " " + prose(400 + 10 * n, 500 + n)) for n in (10, 20, 30, 60, 70, 80)]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(r["doc_id"] for r in left.collect()) == [10, 20, 30, 40, 60, 70, 80]
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
