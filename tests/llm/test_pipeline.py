@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_llm_operators import brute_repeats, draws, gone, prose, reference_encoder
 
@@ -77,6 +78,20 @@ def test_a_part_of_one_document_among_alike_ones_goes(spark, sf_dir):
     assert sorted(r["doc_id"] for r in left.collect()) == [10, 20, 30, 40, 60, 70, 80]
 
 
+def test_batches_of_texts_are_bounded(spark, sf_dir):
+    """What a stage returns is read and sent to Python by no more than so many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            spark.conf.set(name, 10_000)
+            stage(spark, table(spark, sf_dir, "documents"), sf_dir)
+            sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r["n"] for r in sizes) <= corpus_pipeline.BATCH_ROWS and sum(r["n"] for r in sizes) == 5000
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
