@@ -23,8 +23,9 @@ all the target's, which a set contained to t answers with probability t each,
 however large the target.  Queries of up to ``whole`` shingles look up all of
 theirs, which makes the search exact, larger ones ``sample`` of them.  Only
 queries that find enough of their hashes in larger sets go on: those that looked
-up all are answered by the number found, the others are checked against every
-target that holds enough of theirs.
+up a sample look up all of theirs in the targets that hold enough of it, so that
+all are answered by the number found.  Pairs of parts and containers are not
+made where many parts found the same frequent hashes: these share an ask.
 
 Meaning: pairs of sizes within ``ratio`` are copies; classes are their connected
 components, of which the least id stays.  A set contained in one beyond ``ratio``
@@ -66,6 +67,8 @@ FILTER_BYTES = 256_000_000
 BROADCAST_IDS = 2_000_000
 #: Shingles that a worker keeps of either side of a cell of pairs.
 _HELD = 2_000_000
+#: Targets up to which a hash that a query found isn't hot, nor one that this many times fewer have than the query's most frequent one.
+_FEW, _LESS = 50, 16
 #: Bits a hash of that filter, two of which are set.
 _BITS = 10
 _LOW32 = (1 << 32) - 1
@@ -415,6 +418,19 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key", "left_semi")
 
 
+def _possible(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, params: Params, ends: tuple[str, str]) -> DataFrame:
+    """The pairs of ``ids``, in the columns ``ends``, without those that can't be copies: the smaller set of copies has a share ``t`` of its hashes in the sets of other ids of these."""
+    every = cut(_hits(_of(docs, id_col, ids.select(F.col(ids.columns[0]).alias("id"))), id_col, text_col, params, None, 0))
+    met = every.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("key", F.lit(1).alias("met"))
+    sets = every.join(met, "key", "left").groupBy("b", "size_b").agg(F.count("met").alias("n"))
+    dense = F.max(F.col("n") >= F.ceil(F.col("size_b") * params.t - 1e-9))
+    sets = cut(sets.groupBy("b").agg(F.min("size_b").alias("low"), F.max("size_b").alias("high"), dense.alias("dense")))
+    sets = F.broadcast(sets) if sets.count() <= BROADCAST_IDS else sets
+    for k, end in enumerate(ends):
+        pairs = pairs.join(sets.select(F.col("b").alias(end), F.struct("low", "high", "dense").alias(f"set_{k}")), end)
+    return pairs.where("(set_0.dense or set_1.dense) and (set_0.dense or set_0.high > set_1.low) and (set_1.dense or set_1.high > set_0.low)").drop("set_0", "set_1")
+
+
 def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
     """(a, b) of the verified pairs of sizes within the ratio, b the lesser id."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -431,8 +447,10 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
         return near
     gone = went.join(back, ["key", "id"], "left_anti").select("key", "id")
     waiting = _among(bands.drop("leaves"), back.select("key")).join(gone, ["key", "id"], "left_anti").join(back.withColumn("leaves", F.lit(True)), ["key", "id"], "left")
-    waiting = waiting.select("key", "id", "sig", "size", "other", "leaves").repartition("key").sortWithinPartitions("key", "id")
-    more = both(led_pairs(waiting, params, id_type, again=True).where("other is not null and id <> other")).distinct().join(both(led), ["a", "b"], "left_anti")
+    waiting = waiting.select("key", "id", "sig", "size", "other", "leaves")
+    waiting = cut(waiting)
+    more = led_pairs(waiting.repartition("key").sortWithinPartitions("key", "id"), params, id_type, again=True).where("other is not null and id <> other").select("id", "other")
+    more = both(_possible(more, docs, id_col, text_col, waiting.select("id"), params, ("id", "other"))).distinct().join(both(led), ["a", "b"], "left_anti")
     return near.unionByName(verify(more, docs, reps, id_col, text_col, params).select("a", "b").distinct())
 
 
@@ -460,11 +478,9 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, params: Params, bits: np.
     return _texts(docs, id_col, text_col).mapInArrow(run, f"key bigint, b {id_type}, size_b int")
 
 
-def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
-    """(a, b) of the verified parts a with their containers b, of which equal sets count once."""
-    spark = docs.sparkSession
-    asked = reps.select(F.explode("least").alias("key"), F.col("id").alias("a"), "size")
-    n = reps.agg(F.coalesce(F.sum(F.size("least")), F.lit(0))).first()[0]
+def _looked_up(asked: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: Params, needed: Column) -> tuple[DataFrame, DataFrame]:
+    """(key, a, size, hits) of the queries that find as many of their hashes as ``needed`` in larger sets of ``docs``, and (key, b, size_b) of these; ``asked`` is (key, a, size)."""
+    n = asked.count()
     slots = -(-max(1, n * _BITS) // 32768) * 32768
     bits = None
     if slots // 8 <= FILTER_BYTES:
@@ -476,31 +492,85 @@ def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     larger = F.col("size_b") > params.ratio * F.col("size")
     hits = _hits(docs, id_col, text_col, params, bits, slots)
     hits = cut(hits.join(asked.groupBy("key").agg(F.min("size").alias("size")), "key").where(larger).select("key", "b", "size_b"))
-    found = asked.join(hits.groupBy("key").agg(F.max("size_b").alias("size_b")), "key").where(larger).select("key", "a", "size")
-    enough = F.count("*").over(Window.partitionBy("a")).alias("hits")  # a query has no more hashes than ``whole`` or ``sample``
-    found = cut(found.select("key", "a", "size", enough).where(F.col("hits") >= params.needed(F.col("size"))))
+    found = asked.join(hits.groupBy("key").agg(F.max("size_b").alias("size_b")), "key").where(larger).select("key", "a", "size").distinct()
+    enough = F.count("*").over(Window.partitionBy("a", "size")).alias("hits")
+    return cut(found.select("key", "a", "size", enough).where(F.col("hits") >= needed)), hits
+
+
+def _of(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The documents of these ids, (id)."""
+    ids = cut(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs[id_col] == ids["id"], "left_semi")
+
+
+def _answered(found: DataFrame, hits: DataFrame, reps: DataFrame, several: DataFrame, params: Params, need: Column) -> tuple[DataFrame, DataFrame]:
+    """(ask, size, alone, a) and (ask, size, alone, b): each a of an ask, of this size, finds ``need`` of its hashes in each of its b, and in no others; ``alone`` are ids of ``several``."""
+    # queries of one size that found the same hashes are one
+    asks = found.groupBy("a", "size").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    asks = asks.join(several.select(F.col("id").alias("a"), F.lit(True).alias("alone")), "a", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    asks = cut(asks.groupBy("keys", "size", "alone").agg(F.min("a").alias("ask"), F.collect_list("a").alias("of")))
+    larger = F.col("size_b") > params.ratio * F.col("size")
     # targets that hold the same of these hashes answer alike, so each kind of them is asked once
     own = _among(hits, found.select("key")).groupBy("b", "size_b").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumn("kind", F.xxhash64("keys"))
     own = cut(own.join(reps.select(F.col("id").alias("b")).distinct(), "b", "left_semi"))  # of equal sets one
     members = own.select("kind", "b", "size_b")
-    kinds = cut(own.groupBy("kind").agg(F.first("keys").alias("keys"), F.max("size_b").alias("size_b")))
-    by_key = kinds.select("kind", "size_b", F.explode("keys").alias("key"))
-    # a kind that holds enough of a query's hashes holds one of its rarest
-    rare = found.join(by_key.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("n", "key")))
-    rare = rare.where(F.col("place") <= F.col("hits") - params.needed(F.col("size")) + 1)
-    met = rare.select("key", "a", "size").join(by_key, "key").where(larger).select("a", "size", "kind").distinct()
-    held = met.join(found.groupBy("a").agg(F.collect_set("key").alias("own")), "a").join(kinds.select("kind", "keys"), "kind")
-    held = held.withColumn("both", F.size(F.array_intersect("own", "keys"))).where(F.col("both") >= params.needed(F.col("size"))).select("a", "size", "kind")
-    # all targets of these kinds
-    held = cut(held.join(members, "kind").where(larger).select("a", "size", "b").distinct())
-    # a set that looked up all its hashes is answered by their number; rows that repeat an id are several sets, which the texts tell apart
-    several = docs.groupBy(docs[id_col].alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
-    plain = held.where(F.col("size") <= params.whole)
-    for end in ("a", "b"):
-        plain = plain.join(several.withColumnRenamed("id", end), end, "left_anti")
-    plain = cut(plain.select("a", "b").distinct())
-    rest = held.select("a", "b").distinct().join(plain, ["a", "b"], "left_anti")
-    return plain.unionByName(verify(rest, docs, reps, id_col, text_col, params, parts=True).select("a", "b"))
+    kinds = cut(own.groupBy("kind").agg(F.first("keys").alias("keys"), F.max("size_b").alias("size_b"), F.count("*").alias("n")))
+    by_key = kinds.select("kind", "size_b", "n", F.explode("keys").alias("key"))
+    n = cut(by_key.groupBy("key").agg(F.sum("n").alias("n")))
+    by_key = by_key.drop("n")
+    rank = Window.partitionBy("ask", "size", "alone").orderBy("n", "key")
+    hot = (F.col("n") > _FEW) & (F.col("n") * _LESS > F.max("n").over(Window.partitionBy("ask", "size", "alone")))
+    which = ["ask", "size", "alone"]
+    ranked = asks.select(*which, F.explode("keys").alias("key"), F.size("keys").alias("hits")).join(n, "key").withColumns({"place": F.row_number().over(rank), "hot": hot})
+    ranked = cut(ranked)
+    # a kind that holds enough of the hot hashes answers all queries that have these; any other holds a hash that isn't hot
+    core = ranked.where("hot").groupBy(*which).agg(F.sort_array(F.collect_set("key")).alias("core")).where(F.size("core") >= need)
+    each = cut(asks.join(core, which, "left"))
+    shared = each.where("core is not null").groupBy(F.col("core").alias("keys"), "size", "alone").agg(F.min("ask").alias("ask"), F.flatten(F.collect_list("of")).alias("of"))
+    shared = cut(shared.withColumn("core", F.lit(None).cast("array<bigint>")))
+    among = shared.select(*which, F.explode("keys").alias("key"), F.size("keys").alias("hits")).join(n, "key").withColumn("place", F.row_number().over(rank))
+    by, to = [], []
+    for number, asks, rare in ((0, each, ranked.where("not hot")), (1, shared, among)):
+        # a kind that holds enough of a query's hashes holds one of its rarest
+        rare = rare.where(F.col("place") <= F.col("hits") - need + 1)
+        met = rare.select("key", *which).join(by_key, "key").where(larger).select(*which, "kind").distinct()
+        held = met.join(asks.select(*which, F.col("keys").alias("own"), "core"), which).join(kinds.select("kind", "keys"), "kind")
+        held = held.where(F.size(F.array_intersect("own", "keys")) >= need).where(F.col("core").isNull() | (F.size(F.array_intersect("core", "keys")) < need))
+        # all targets of these kinds
+        ask = F.struct(F.lit(number).alias("number"), "ask").alias("ask")
+        to.append(held.select(*which, "kind").join(members, "kind").where(larger).select(ask, "size", "alone", "b"))
+        by.append(asks.select(ask, "size", "alone", F.explode("of").alias("a")))
+    return cut(by[0].unionByName(by[1])), cut(to[0].unionByName(to[1]).distinct())
+
+
+def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, near: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """(ask, a) and (ask, b): the verified parts a with their containers b, of which equal sets count once, but for pairs of ``near``.
+
+    Each a of an ask has each of its b, and a pair is in one ask only.  A line
+    that very many texts have makes parts times containers; parts that found the
+    same of their frequent hashes share an ask, so these pairs are not made.
+    """
+    # rows that repeat an id are several sets, which the texts tell apart
+    several = cut(docs.groupBy(docs[id_col].alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    asked = reps.select(F.explode("least").alias("key"), F.col("id").alias("a"), "size")
+    found, hits = _looked_up(asked, docs, id_col, text_col, params, params.needed(F.col("size")))
+    # who found enough of a sample looks up all its hashes, in the targets that hold enough of the sample
+    by, to = _answered(found.where(F.col("size") > params.whole), hits, reps, several, params, F.lit(params.found()))
+    who = cut(by.join(to.select("ask", "size", "alone").distinct(), ["ask", "size", "alone"], "left_semi").select("a", "size").distinct())
+    every = _hits(_of(docs, id_col, who.select(F.col("a").alias("id"))), id_col, text_col, params, None, 0).select("key", F.col("b").alias("a"), F.col("size_b").alias("size"))
+    every = cut(every.join(who, ["a", "size"], "left_semi").select("key", "a", "size"))
+    need = F.ceil(F.col("size") * params.t - 1e-9)
+    more, their = _looked_up(every, _of(docs, id_col, to.select(F.col("b").alias("id"))), id_col, text_col, params, need)
+    small = found.where(F.col("size") <= params.whole)
+    by, to = _answered(small.unionByName(more), _among(hits, small.select("key")).unionByName(their), reps, several, params, need)
+    to = to.join(several.select(F.col("id").alias("b"), F.lit(True).alias("other")), "b", "left")
+    unsure = cut(by.join(to.where("alone or other").select("ask", "size", "alone", "b"), ["ask", "size", "alone"]).select("a", "b").distinct())
+    by, to = by.where("not alone").select("ask", "a"), to.where("not alone and other is null").select("ask", "b")
+    if not unsure.isEmpty():
+        pairs = cut(verify(unsure, docs, reps, id_col, text_col, params, parts=True).select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
+        ask = F.struct(F.lit(2).alias("number"), F.col("a").alias("ask")).alias("ask")
+        by, to = by.unionByName(pairs.select(ask, "a").distinct()), to.unionByName(pairs.select(ask, "b"))
+    return cut(by), cut(to)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -521,14 +591,18 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _heads(roots: DataFrame, sizes: DataFrame, inside: DataFrame) -> DataFrame:
-    """(root, head) of the classes that go with a container's class: the one that stays at the end; ``roots`` is (node, root), ``inside`` (a, b)."""
+def _heads(roots: DataFrame, sizes: DataFrame, asks: DataFrame, holds: DataFrame) -> DataFrame:
+    """(root, head) of the classes that go with a container's class: the one that stays at the end; ``roots`` is (node, root), ``asks`` (ask, a) and ``holds`` (ask, b)."""
     whole = sizes.join(roots, sizes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.max("size").alias("most"))
-    ends = inside.join(roots.select(F.col("node").alias("a"), F.lit(1).alias("other")), "a", "left_anti")  # roots, and classes of one
-    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("to")), "b", "left").select(F.col("a").alias("root"), F.coalesce("to", "b").alias("to"))
-    ends = ends.where("root <> to").distinct().join(whole, "root").join(whole.select(F.col("root").alias("to"), F.col("most").alias("more")), "to")
+    ends = asks.join(roots.select(F.col("node").alias("a"), F.lit(1).alias("other")), "a", "left_anti").select("ask", F.col("a").alias("root"))  # roots, and classes of one
+    ends = ends.join(whole, "root")
+    to = holds.join(roots.select(F.col("node").alias("b"), F.col("root").alias("to")), "b", "left").select("ask", F.coalesce("to", "b").alias("to"))
+    to = to.distinct().join(whole.select(F.col("root").alias("to"), F.col("most").alias("more")), "to").groupBy("ask", "more").agg(F.min("to").alias("to"))
+    # of an ask's classes only those that are less than all larger ones can be gone with
+    least = F.min("to").over(Window.partitionBy("ask").orderBy(F.desc("more")).rowsBetween(Window.unboundedPreceding, -1))
+    to = to.withColumn("least", least).where("least is null or to < least").drop("least")
     # sizes only grow along these, so no class goes with itself
-    step = cut(ends.where("more > most").groupBy("root").agg(F.min("to").alias("head")))
+    step = cut(ends.join(to, "ask").where("more > most").groupBy("root").agg(F.min("to").alias("head")))
     while True:
         jump = step.join(step.select(F.col("root").alias("head"), F.col("head").alias("next")), "head", "left")
         if jump.where("next is not null").isEmpty():
@@ -543,12 +617,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = cut(made.join(first.select("content", F.col("of").alias("id")), ["content", "id"], "left_semi").dropDuplicates(["content", "id"]))
     # the same set under another id; a text that thousands have is one row on the other side
     equal = cut(made.select("id", "content").join(first, "content").where("id <> of").select(F.col("id").alias("a"), F.col("of").alias("b")).distinct())
-    near = copies(reps, docs, id_col, text_col, params)
-    inside = cut(parts(reps, docs, id_col, text_col, params).distinct())
+    near = cut(copies(reps, docs, id_col, text_col, params).distinct())
+    asks, holds = parts(reps, docs, id_col, text_col, near, params)
     roots = cut(components(equal.unionByName(near)))
-    heads = _heads(roots, made.select("id", "size"), inside)
-    ends = near.unionByName(inside).distinct()
-    links = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    heads = _heads(roots, made.select("id", "size"), asks, holds)
+    # of a part as many as its ask has containers, of a container as many as its asks have parts
+    links = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = links.unionByName(asks.join(holds.groupBy("ask").agg(F.count("*").alias("n_links")), "ask").select(F.col("a").alias("node"), "n_links"))
+    links = links.unionByName(holds.join(asks.groupBy("ask").agg(F.count("*").alias("n_links")), "ask").select(F.col("b").alias("node"), "n_links"))
+    links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     gone = roots.select("node", "root", F.lit(False).alias("part")).join(heads, "root", "left").select("node", F.coalesce("head", "root").alias("kept"), F.col("head").isNotNull().alias("part"))
     gone = gone.unionByName(heads.select(F.col("root").alias("node"), F.col("head").alias("kept"), F.lit(True).alias("part")))
     return gone.join(links, "node", "left").select(F.col("node").alias(id_col), F.col("kept").alias(f"kept_{id_col}"), "part", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -461,6 +461,42 @@ def test_every_container_is_a_link(spark, monkeypatch):
     assert got == {7: (20, True, 12), 90: (20, False, 0), 1007: (1020, True, 12), 1090: (1020, False, 0)}
 
 
+def test_parts_times_containers_are_not_made(spark, monkeypatch):
+    """A line, with words of their own, that 40 documents consist of and 120 have: every link counts, and no table has them all."""
+    most, cut = [], near_dedup.cut
+
+    def counted(*args, **kwargs):
+        out = cut(*args, **kwargs)
+        if {"b", "ask"} <= set(out.columns) or {"a", "b"} <= set(out.columns):
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    line, words = prose(18, 77), [prose(3, 600 + n) for n in range(40)]
+    # the words that each has beside the line are in another text as well
+    rows = [(n, words[n] + " " + line) for n in range(40)] + [(1000 + n, prose(120, 3000 + n) + " " + line) for n in range(120)] + [(2000 + n, prose(60, 4000 + n) + " " + words[n]) for n in range(40)]
+    got = {x["doc_id"]: (x["kept_doc_id"], x["part"], x["n_links"]) for x in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert brute_parts(rows, brute_groups(rows)) == {0: set(range(1000, 1120))}
+    assert set(got) == set(range(40)) and all(x[:2] == (1000, True) and x[2] > 120 for x in got.values())
+    assert max(most) < 40 * 120 / 2
+
+
+def test_texts_that_share_half_are_not_paired(spark, monkeypatch):
+    """150 texts of which half is one passage, and two copies among them: those that left with a leader in vain are not all paired."""
+    asked, verify = [], near_dedup.verify
+
+    def counted(pairs, *args, **kwargs):
+        asked.append(pairs.distinct().count())
+        return verify(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(near_dedup, "verify", counted)
+    passage = prose(70, 77)
+    rows = [(n, prose(50, 5000 + n) + " " + passage) for n in range(150)]
+    rows += [(200, rows[7][1] + " one more")]
+    got = {x["doc_id"]: x["kept_doc_id"] for x in near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows) == {200: 7} and sum(asked[1:]) < 1000
+
+
 def test_hot_bucket_of_unlike_rows():
     """One bucket of 20,000 rows that are no copies of each other."""
     rng = np.random.default_rng(0)
