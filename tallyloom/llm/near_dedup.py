@@ -15,7 +15,8 @@ are made and again where a bucket meets, so that a hot bucket is small before
 it moves, and copies by the thousand give as many candidates, not their square.
 Candidates are checked by the exact containment of their shingle sets.  Who left
 with a leader that the check then refuses goes back to the bucket and is held
-against all who are there.
+against all who are there.  Who left rightly is held against those of the bucket
+that are not in its class by then, so no link between classes goes with a leader.
 
 All larger partitions: the Jaccard threshold sinks below what bands can tell,
 so a band has one row there, and the query's least hashes are looked up among
@@ -252,21 +253,29 @@ def _lead(sig: np.ndarray, size: np.ndarray, params: Params, margin: float) -> t
     return out, np.concatenate([np.array(stay, dtype=np.int64), rest])
 
 
-def _again(sig: np.ndarray, size: np.ndarray, strays: np.ndarray, params: Params, margin: float) -> list[tuple[np.ndarray, int, np.ndarray]]:
-    """A bucket to which ``strays`` came back: each with all others that it may be a copy of, and none leaves."""
+def _again(sig: np.ndarray, size: np.ndarray, strays: np.ndarray, gone: np.ndarray, root: np.ndarray, params: Params, margin: float) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """A bucket to which those that left came back: who may be a copy of whom, and none leaves.
+
+    All of them are held against the rows of other classes (``root``), and
+    ``strays`` against those of their own that aren't ``gone`` with a leader.
+    """
     out = []
-    other = np.ones(len(sig), dtype=bool)
-    for one in np.flatnonzero(strays):
+    left, other = strays | gone, np.ones(len(sig), dtype=bool)
+    # one of each pair of two classes is not in the largest class, and one has left
+    apart = strays | (root != np.bincount(root).argmax())
+    for one in np.flatnonzero(left if left.sum() <= apart.sum() else apart):
         other[one] = False
-        rows = np.flatnonzero(other)
+        rows = np.flatnonzero(other if left[one] else other & left)
+        own = ~gone[rows] & (strays[rows] | strays[one]) & (not gone[one])
+        rows = rows[(root[rows] != root[one]) | own]
         near = rows[_over(sig, size, rows, one, params) >= -margin]
         if len(near):
             out.append((near, one, np.zeros(len(near), dtype=bool)))
     return out
 
 
-def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = False) -> DataFrame:
-    """``bands`` is (key, id, sig, size, other, leaves), sorted by (key, id) within partitions.  Rows of ``other`` are pairs and pass; of the others those that no leader takes pass as well, and pairs of leaders and members come in.  With ``again`` rows that leave are those that came back."""
+def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = False, final: bool = False) -> DataFrame:
+    """``bands`` is (key, id, sig, size, other, leaves), sorted by (key, id) within partitions.  Rows of ``other`` are pairs and pass; of the others those that no leader takes pass as well (with ``final`` only from buckets that any has left), and pairs of leaders and members come in.  With ``again`` rows that leave are those that came back in vain, and ``gone`` and ``root`` tell the others that had left and the classes."""
     # three deviations of the estimate for sets at the threshold
     margin = 3 * math.sqrt(0.22 / params.perms) / 0.75
     names = ["key", "id", "sig", "size", "other", "leaves"]
@@ -278,6 +287,7 @@ def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             done = rows.column("other").is_valid().to_numpy()
+            before = rows.column("key").to_numpy()[done & rows.column("leaves").fill_null(False).to_numpy()]
             if done.any():
                 yield from plain(rows.filter(pa.array(done)))
                 rows = rows.filter(pa.array(~done))
@@ -290,10 +300,13 @@ def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = Fals
             start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             count = np.diff(np.append(start, len(keys)))
             a, b, leaves, alone = [], [], [], [start[count == 1]]
-            came = rows.column("leaves").fill_null(False).to_numpy() if again else None
+            if again:
+                strays, gone = (rows.column(x).to_numpy() for x in ("leaves", "gone"))
+                root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
             for s, n in zip(start[count > 1], count[count > 1]):
                 if again:
-                    found, stay = _again(sig[s : s + n], size[s : s + n], came[s : s + n], params, margin), np.zeros(0, dtype=np.int64)
+                    kinds = np.unique(root[s : s + n], return_inverse=True)[1]
+                    found, stay = _again(sig[s : s + n], size[s : s + n], strays[s : s + n], gone[s : s + n], kinds, params, margin), np.zeros(0, dtype=np.int64)
                 else:
                     found, stay = _lead(sig[s : s + n], size[s : s + n], params, margin)
                 for members, leader, left in found:
@@ -302,9 +315,11 @@ def led_pairs(bands: DataFrame, params: Params, id_type: str, again: bool = Fals
                     leaves.append(left)
                 alone.append(stay + s)
             stay = np.sort(np.concatenate(alone))
+            a, b, leaves = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b, leaves))
+            if final:
+                stay = stay[np.isin(keys[stay], np.concatenate([before, keys[a[leaves.astype(bool)]]]))]
             yield from plain(rows.take(pa.array(stay)))
-            if a:
-                a, b, leaves = np.concatenate(a), np.concatenate(b), np.concatenate(leaves)
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a]), ids.take(pa.array(a)), pa.nulls(len(a), flat.type), pa.nulls(len(a), pa.int32()), ids.take(pa.array(b)), pa.array(leaves)], names=names)
 
         held: list[pa.RecordBatch] = []
@@ -418,6 +433,12 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key", "left_semi")
 
 
+def _among_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, in the same way."""
+    ids = cut(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _possible(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, params: Params, ends: tuple[str, str]) -> DataFrame:
     """The pairs of ``ids``, in the columns ``ends``, without those that can't be copies: the smaller set of copies has a share ``t`` of its hashes in the sets of other ids of these."""
     every = cut(_hits(_of(docs, id_col, ids.select(F.col(ids.columns[0]).alias("id"))), id_col, text_col, params, None, 0))
@@ -437,20 +458,27 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     bands = reps.select(F.explode("keys").alias("key"), "id", "sig", "size", F.lit(None).cast(id_type).alias("other"), F.lit(None).cast("boolean").alias("leaves"))
     # led where they are made, so that of a hot bucket little is left to meet
     combined = led_pairs(bands.sortWithinPartitions("key", "id"), params, id_type)
-    led = cut(led_pairs(combined.repartition("key").sortWithinPartitions("key", "id"), params, id_type).where("other is not null and id <> other").select("key", "id", "other", "leaves"))
+    rows = cut(led_pairs(combined.repartition("key").sortWithinPartitions("key", "id"), params, id_type, final=True).select("key", "id", "other", "leaves"))
+    led = rows.where("other is not null and id <> other")
     both = lambda rows: rows.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    near = verify(both(led), docs, reps, id_col, text_col, params).select("a", "b").distinct()
+    near = cut(verify(both(led), docs, reps, id_col, text_col, params).select("a", "b").distinct())
     # who left with a leader that it isn't a copy of goes back, and is held against all that no leader took
     went = led.where("leaves").withColumns({"a": F.greatest("id", "other"), "b": F.least("id", "other")})
-    back = cut(went.join(near, ["a", "b"], "left_anti").select("key", "id").distinct())
-    if back.isEmpty():
+    back = cut(went.join(near, ["a", "b"], "left_anti").select("key", "id").distinct().withColumn("back", F.lit(True)))
+    # and who left rightly against those that its class doesn't have by now; buckets of one class are left out
+    roots = components(near)
+    members = rows.where("leaves or other is null").groupBy("key", "id").agg(F.max(F.coalesce("leaves", F.lit(False))).alias("left"))
+    members = members.join(F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots, F.col("id") == F.col("node"), "left").select("key", "id", "left", F.coalesce("root", "id").alias("root"))
+    members = cut(members.join(back, ["key", "id"], "left").select("key", "id", "left", "root", F.coalesce("back", F.lit(False)).alias("leaves")))
+    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("leaves").alias("any"), F.max("left").alias("left")).where("any or (left and low <> high)")
+    members = cut(_among(members, open_.select("key")))
+    if members.isEmpty():
         return near
-    gone = went.join(back, ["key", "id"], "left_anti").select("key", "id")
-    waiting = _among(bands.drop("leaves"), back.select("key")).join(gone, ["key", "id"], "left_anti").join(back.withColumn("leaves", F.lit(True)), ["key", "id"], "left")
-    waiting = waiting.select("key", "id", "sig", "size", "other", "leaves")
-    waiting = cut(waiting)
+    own = reps.select("id", "sig", "size")
+    waiting = members.join(_among_ids(own, members.select("id")), "id")
+    waiting = waiting.select("key", "id", "sig", "size", F.lit(None).cast(id_type).alias("other"), "leaves", F.expr("left and not leaves").alias("gone"), "root")
     more = led_pairs(waiting.repartition("key").sortWithinPartitions("key", "id"), params, id_type, again=True).where("other is not null and id <> other").select("id", "other")
-    more = both(_possible(more, docs, id_col, text_col, waiting.select("id"), params, ("id", "other"))).distinct().join(both(led), ["a", "b"], "left_anti")
+    more = both(_possible(more, docs, id_col, text_col, members.select("id"), params, ("id", "other"))).distinct().join(both(led), ["a", "b"], "left_anti")
     return near.unionByName(verify(more, docs, reps, id_col, text_col, params).select("a", "b").distinct())
 
 

@@ -78,6 +78,20 @@ def test_a_part_of_one_document_among_alike_ones_goes(spark, sf_dir):
     assert sorted(r["doc_id"] for r in left.collect()) == [10, 20, 30, 40, 60, 70, 80]
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_a_copy_of_one_that_left_with_a_leader_goes(spark, sf_dir, monkeypatch, alike):
+    """A chain of copies in one bucket: 3 leaves with a leader that 4 is no copy of, and 4 is a copy of 3 alone; 4 leaves in vain, or isn't like the leader."""
+    words = prose(200, 71).split()
+    a, b, c = (" ".join(words[k : k + 100]) for k in (0, 24, 48))
+    rows = [(0, a), (1, a + " one"), (2, a + " two"), (3, b), (4, c), (5, prose(100, 72))]
+    near = [[0, 0], [0, 0], [0, 0], [(1 << 44) - 1, 0], [(1 << 44) - 1, (1 << 44) - 1], [-1, -1]]
+    sketched = [(i, bytes([i]), [5], [0, 0] if alike else near[i], 98, [0]) for i, _ in rows]
+    made = spark.createDataFrame(sketched, "id long, content binary, keys array<bigint>, sig array<bigint>, size int, least array<bigint>")
+    monkeypatch.setattr(near_dedup, "sketches", lambda *_: made)
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert gone(rows) == {1, 2, 3, 4} and sorted(r["doc_id"] for r in left.collect()) == [0, 5]
+
+
 def test_batches_of_texts_are_bounded(spark, sf_dir):
     """What a stage returns is read and sent to Python by no more than so many rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
