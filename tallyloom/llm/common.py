@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,17 @@ def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, for operators of many queries.
+
+    Every stage, scan and broadcast join leaves arrays of 4 MB with the driver.
+    Spark frees broadcast tables and shuffle files of ended queries only when
+    they are collected, and until then the heap grows to its bound.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows in what is executed within: for rows that hold several texts."""

@@ -55,17 +55,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import WordHashes, cut, fresh, mix, shingles, small_batches
+from .common import WordHashes, cut, fresh, mix, shingles, small_batches, tidy
 
 #: Bytes up to which the filter of looked-up hashes is sent to the executors; beyond, hashes are shuffled unfiltered.
 FILTER_BYTES = 256_000_000
 #: Ids of candidates, or keys, up to which they are sent to where the texts or rows are (with their cells up to a quarter); beyond, these are shuffled to them.
 BROADCAST_IDS = 2_000_000
+#: Edges up to which one task tells their components; beyond, these are found by rounds of shuffles.
+ONE_TASK_EDGES = 1_000_000
 #: Shingles that a worker keeps of either side of a cell of pairs.
 _HELD = 2_000_000
 #: Targets up to which a hash that a query found isn't hot, nor one that this many times fewer have than the query's most frequent one.
@@ -462,6 +465,7 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     led = rows.where("other is not null and id <> other")
     both = lambda rows: rows.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     near = cut(verify(both(led), docs, reps, id_col, text_col, params).select("a", "b").distinct())
+    tidy(docs.sparkSession)
     # who left with a leader that it isn't a copy of goes back, and is held against all that no leader took
     went = led.where("leaves").withColumns({"a": F.greatest("id", "other"), "b": F.least("id", "other")})
     back = cut(went.join(near, ["a", "b"], "left_anti").select("key", "id").distinct().withColumn("back", F.lit(True)))
@@ -479,6 +483,7 @@ def copies(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, params:
     waiting = waiting.select("key", "id", "sig", "size", F.lit(None).cast(id_type).alias("other"), "leaves", F.expr("left and not leaves").alias("gone"), "root")
     more = led_pairs(waiting.repartition("key").sortWithinPartitions("key", "id"), params, id_type, again=True).where("other is not null and id <> other").select("id", "other")
     more = both(_possible(more, docs, id_col, text_col, members.select("id"), params, ("id", "other"))).distinct().join(both(led), ["a", "b"], "left_anti")
+    tidy(docs.sparkSession)
     return near.unionByName(verify(more, docs, reps, id_col, text_col, params).select("a", "b").distinct())
 
 
@@ -584,13 +589,16 @@ def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, near: Da
     found, hits = _looked_up(asked, docs, id_col, text_col, params, params.needed(F.col("size")))
     # who found enough of a sample looks up all its hashes, in the targets that hold enough of the sample
     by, to = _answered(found.where(F.col("size") > params.whole), hits, reps, several, params, F.lit(params.found()))
+    tidy(docs.sparkSession)
     who = cut(by.join(to.select("ask", "size", "alone").distinct(), ["ask", "size", "alone"], "left_semi").select("a", "size").distinct())
     every = _hits(_of(docs, id_col, who.select(F.col("a").alias("id"))), id_col, text_col, params, None, 0).select("key", F.col("b").alias("a"), F.col("size_b").alias("size"))
     every = cut(every.join(who, ["a", "size"], "left_semi").select("key", "a", "size"))
     need = F.ceil(F.col("size") * params.t - 1e-9)
     more, their = _looked_up(every, _of(docs, id_col, to.select(F.col("b").alias("id"))), id_col, text_col, params, need)
     small = found.where(F.col("size") <= params.whole)
+    tidy(docs.sparkSession)
     by, to = _answered(small.unionByName(more), _among(hits, small.select("key")).unionByName(their), reps, several, params, need)
+    tidy(docs.sparkSession)
     to = to.join(several.select(F.col("id").alias("b"), F.lit(True).alias("other")), "b", "left")
     unsure = cut(by.join(to.where("alone or other").select("ask", "size", "alone", "b"), ["ask", "size", "alone"]).select("a", "b").distinct())
     by, to = by.where("not alone").select("ask", "a"), to.where("not alone and other is null").select("ask", "b")
@@ -601,9 +609,47 @@ def parts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, near: Da
     return cut(by), cut(to)
 
 
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that each of them is connected to."""
+    root = np.arange(n)
+    while True:
+        ends = root[a], root[b]
+        low, new = np.minimum(*ends), root.copy()
+        for end in ends:
+            np.minimum.at(new, end, low)
+        while ((up := new[new]) != new).any():
+            new = up
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _components_in_one(edges: DataFrame) -> DataFrame:
+    """``components`` by one task, for nodes whose order Arrow and Spark agree on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch for batch in batches if batch.num_rows]
+        if rows:
+            both = pa.chunked_array([batch.column(k) for k in (0, 1) for batch in rows]).combine_chunks()
+            names = both.unique()
+            names = names.take(pc.sort_indices(names))
+            a, b = np.split(pc.index_in(both, value_set=names).to_numpy(), 2)
+            root = _joined(a, b, len(names))
+            node = np.flatnonzero(root != np.arange(len(names)))
+            for k in range(0, len(node), 100_000):
+                part = node[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part)), names.take(pa.array(root[part]))], names=["node", "root"])
+
+    id_type = edges.schema["a"].dataType.simpleString()
+    return cut(edges.coalesce(1).mapInArrow(run, f"node {id_type}, root {id_type}"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of the edges (a, b) is connected to, by alternating large and small stars."""
+    """(node, root): the least node that each node of the edges (a, b) is connected to, but for these themselves, in one task or by alternating large and small stars."""
     own = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # each query of a round leaves plans, threads and broadcast tables with the driver, so few edges aren't worth any round
+    if own.schema["a"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "string", "binary", "date") and own.count() <= ONE_TASK_EDGES:
+        return _components_in_one(own)
     mark = None
     while True:
         # large star: each node's larger neighbours go to its least neighbour; the minima are combined before they are shuffled, however many neighbours a node has
@@ -646,7 +692,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the same set under another id; a text that thousands have is one row on the other side
     equal = cut(made.select("id", "content").join(first, "content").where("id <> of").select(F.col("id").alias("a"), F.col("of").alias("b")).distinct())
     near = cut(copies(reps, docs, id_col, text_col, params).distinct())
+    tidy(docs.sparkSession)
     asks, holds = parts(reps, docs, id_col, text_col, near, params)
+    tidy(docs.sparkSession)
     roots = cut(components(equal.unionByName(near)))
     heads = _heads(roots, made.select("id", "size"), asks, holds)
     # of a part as many as its ask has containers, of a container as many as its asks have parts

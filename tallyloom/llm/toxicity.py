@@ -13,8 +13,8 @@ Two tags make the recursions Mobius maps of one ratio, so a batch of whole
 documents is cut in blocks whose 2x2 products are taken side by side.
 
 Training reads at most ``max_docs`` labelled documents (half of them toxic, as
-far as there are any), chosen by a hash of the id, and takes them ``_FIT_TOKENS``
-tokens at a time; scoring reads every word of every document, without a shuffle.
+far as there are any), chosen by a hash of the id, in one task, and takes them
+``_FIT_TOKENS`` tokens at a time; scoring reads every word of every document, without a shuffle.
 
 Defined results: documents of null, empty or blank text score 0 and have no
 span; very long ones are scored whole.  A label that isn't 0 or 1, or is null,
@@ -28,6 +28,7 @@ scored apart; an empty table gives no row.  Only the named columns are read, and
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -237,8 +238,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most max_docs short rows, so this side can be broadcast at any size of the input
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null").join(F.broadcast(chosen), "__id").select("__id", "__toxic", "__text")
     # repeated ids could exceed the bound
-    sample = sorted(tuple(r) for r in rows.orderBy(F.xxhash64("__id"), "__id", "__toxic", "__text").limit(max_docs).collect())
-    return fit([(text, toxic) for _, toxic, text in sample])
+    sample = rows.orderBy(F.xxhash64("__id"), "__id", "__toxic", "__text").limit(max_docs).coalesce(1).sortWithinPartitions("__id", "__toxic", "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [(text, toxic) for batch in batches for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(docs))], type=pa.binary())], names=["chain"])
+
+    # fitted in a task: what that takes would stay with the driver's Python through all later steps
+    found = sample.select("__toxic", "__text").mapInArrow(run, "chain binary").first()
+    return pickle.loads(found["chain"]) if found else fit([])
 
 
 def score_texts(chain: Chain, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:

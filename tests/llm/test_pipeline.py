@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import random
+import uuid
 from collections import Counter
 
 import corpus_pipeline
@@ -92,6 +95,51 @@ def test_a_copy_of_one_that_left_with_a_leader_goes(spark, sf_dir, monkeypatch,
     assert gone(rows) == {1, 2, 3, 4} and sorted(r["doc_id"] for r in left.collect()) == [0, 5]
 
 
+def jobs_of(spark, run) -> int:
+    """The jobs that ``run`` starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """The field is fitted in a task, to the same sample in the same order; without documents it is the same as well."""
+    texts = [(k, prose(30, k) + (" vileword" if k % 3 == 0 else "")) for k in random.Random(4).sample(range(60), 60)]
+    docs = spark.createDataFrame([*texts, (90, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in texts], "doc_id long, toxic int")
+    got, want = toxicity.train(docs, labels), toxicity.fit([(t, int(k % 3 == 0)) for k, t in sorted(texts)])
+    assert got.weights == want.weights and (got.transitions == want.transitions).all() and got.start == want.start and "wvileword" in got.weights
+    none = toxicity.train(docs.where("false"), labels)
+    assert none.weights == toxicity.fit([]).weights
+    monkeypatch.setattr(toxicity, "fit", lambda docs: toxicity.Chain({"pid": float(os.getpid())}, np.zeros((2, 2))))
+    assert toxicity.train(docs, labels).weights["pid"] != os.getpid()
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "binary", "decimal(20,0)"])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, kind):
+    """One task gives what the rounds give, and union by hand; a long chain takes no more jobs than a short one."""
+    r = random.Random(3)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in r.sample(range(1000, 1060), 60)] + [(5, 5), (None, 7)]
+    own = spark.createDataFrame(edges, "a long, b long").selectExpr(*(f"cast(cast({c} as {'string' if kind == 'binary' else kind}) as {kind}) as {c}" for c in "ab"))
+    rows = [(x["a"], x["b"]) for x in own.collect() if x["a"] is not None]
+    root = {x: x for pair in rows for x in pair}
+    for _ in root:
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: y for x, y in root.items() if x != y}
+    got = {x["node"]: x["root"] for x in near_dedup.components(own).collect()}
+    assert got == want and near_dedup.components(own.where("false")).count() == 0
+    if kind == "long":
+        chain = spark.range(40).selectExpr("id as a", "id + 1 as b")
+        assert jobs_of(spark, lambda: near_dedup.components(chain)) == jobs_of(spark, lambda: near_dedup.components(chain.where("a < 2")))
+    monkeypatch.setattr(near_dedup, "ONE_TASK_EDGES", 0)
+    assert {x["node"]: x["root"] for x in near_dedup.components(own).collect()} == want
+
+
 def test_batches_of_texts_are_bounded(spark, sf_dir):
     """What a stage returns is read and sent to Python by no more than so many rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
