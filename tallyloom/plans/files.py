@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..binding import TX_SQL, transactions
-from ..sources import camt, flat, pain001
+from ..sources import camt, flat, large, pain001
 from .streams import shared_folder
 
 MONEY = "decimal(38,2)"
@@ -16,21 +16,38 @@ def _abs() -> Column:
     return F.abs("amount").cast("string")
 
 
-def camt_documents(tx: DataFrame) -> DataFrame:
-    """(_file, xml): a document for each account, with opening and closing balance."""
+#: The order of a document's pieces.
+ORDER = ["place", "idx", "text"]
+
+
+def pieces(tx: DataFrame, line: Column, per: DataFrame, head: Column, tail: Column | None = None) -> DataFrame:
+    """(_file, place, idx, text): a document for each account as lines, so that none is held whole; ``head`` and ``tail`` are of ``per``'s columns."""
+    ends = per.select("account_id", F.posexplode(F.array(head, F.lit(None).cast("string"), F.when(head.isNotNull(), tail) if tail is not None else F.lit(None).cast("string"))).alias("place", "text"))
+    rows = tx.select(F.col("account_id").alias("_file"), F.lit(1).alias("place"), "idx", line.alias("text"))
+    out = rows.unionByName(ends.select(F.col("account_id").alias("_file"), "place", F.lit(None).cast("bigint").alias("idx"), "text"))
+    return out.where("_file is not null and text is not null")
+
+
+def streamed(documents: DataFrame) -> DataFrame:
+    """Pieces as the readers take them."""
+    return large.in_order(documents.withColumn("text", F.concat("text", F.lit("\n"))), ORDER)
+
+
+def camt_pieces(tx: DataFrame) -> DataFrame:
+    """A statement for each account, with opening and closing balance."""
     side = F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT")
     entry = F.concat(
         F.lit("<Ntry><Amt Ccy=\""), "currency", F.lit('">'), _abs(), F.lit("</Amt><CdtDbtInd>"), side, F.lit("</CdtDbtInd><BookgDt><Dt>"), F.col("booking_date").cast("string"), F.lit("</Dt></BookgDt><ValDt><Dt>"), F.col("value_date").cast("string"),
         F.lit("</Dt></ValDt><NtryDtls><TxDtls><RltdPties><Dbtr><Nm>"), "priority", F.lit("</Nm></Dbtr></RltdPties><RmtInf><Ustrd>"), F.col("idx").cast("string"), F.lit("</Ustrd></RmtInf></TxDtls></NtryDtls></Ntry>"),
     )
     balance = lambda code, amount: F.concat(F.lit(f"<Bal><Tp><CdOrPrtry><Cd>{code}</Cd></CdOrPrtry></Tp><Amt Ccy=\""), F.col("currency"), F.lit('">'), F.abs(amount).cast("string"), F.lit("</Amt><CdtDbtInd>"), F.when(amount < 0, "DBIT").otherwise("CRDT"), F.lit("</CdtDbtInd><Dt><Dt>2020-01-01</Dt></Dt></Bal>"))
-    per = tx.groupBy("account_id").agg(F.first("currency").alias("currency"), F.sum("amount").cast(MONEY).alias("net"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", entry.alias("e")))), lambda x: x["e"]), "").alias("entries"))
-    xml = F.concat(F.lit('<Document xmlns="urn:iso:std:iso:20022:tech:xsd:camt.053.001.02"><BkToCstmrStmt><GrpHdr><MsgId>M</MsgId></GrpHdr><Stmt><Id>S1</Id><CreDtTm>2020-01-01T00:00:00</CreDtTm><Acct><Id><Othr><Id>'), "account_id", F.lit("</Id></Othr></Id></Acct>"), balance("OPBD", F.lit(100).cast(MONEY)), balance("CLBD", (F.col("net") + 100).cast(MONEY)), "entries", F.lit("</Stmt></BkToCstmrStmt></Document>"))
-    return per.select(F.col("account_id").alias("_file"), xml.alias("xml"))
+    per = tx.groupBy("account_id").agg(F.first("currency").alias("currency"), F.sum("amount").cast(MONEY).alias("net"))
+    head = F.concat(F.lit('<Document xmlns="urn:iso:std:iso:20022:tech:xsd:camt.053.001.02"><BkToCstmrStmt><GrpHdr><MsgId>M</MsgId></GrpHdr><Stmt><Id>S1</Id><CreDtTm>2020-01-01T00:00:00</CreDtTm><Acct><Id><Othr><Id>'), "account_id", F.lit("</Id></Othr></Id></Acct>"), balance("OPBD", F.lit(100).cast(MONEY)), balance("CLBD", (F.col("net") + 100).cast(MONEY)))
+    return pieces(tx, entry, per, head, F.lit("</Stmt></BkToCstmrStmt></Document>"))
 
 
 def _camt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return camt.statements_from_text(camt_documents(transactions(spark, sf_dir)))
+    return large.camt_parts(streamed(camt_pieces(transactions(spark, sf_dir))))
 
 
 def camt_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +80,9 @@ def camt_golden_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pain(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     one = F.concat(F.lit("<CdtTrfTxInf><PmtId><EndToEndId>"), F.col("idx").cast("string"), F.lit('</EndToEndId></PmtId><Amt><InstdAmt Ccy="'), "currency", F.lit('">'), _abs(), F.lit("</InstdAmt></Amt><Cdtr><Nm>"), "priority", F.lit("</Nm></Cdtr></CdtTrfTxInf>"))
-    per = tx.groupBy("account_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("e")))), lambda x: x["e"]), "").alias("rows"))
-    xml = F.concat(F.lit("<Document><CstmrCdtTrfInitn><GrpHdr><MsgId>M</MsgId><NbOfTxs>"), F.col("n").cast("string"), F.lit("</NbOfTxs><InitgPty><Nm>Ada</Nm></InitgPty></GrpHdr><PmtInf><PmtInfId>P</PmtInfId><DbtrAcct><Id><IBAN>"), "account_id", F.lit("</IBAN></Id></DbtrAcct>"), "rows", F.lit("</PmtInf></CstmrCdtTrfInitn></Document>"))
-    return pain001.initiations_from_text(per.select(F.col("account_id").alias("_file"), xml.alias("xml")))
+    per = tx.groupBy("account_id").agg(F.count("*").alias("n"))
+    head = F.concat(F.lit("<Document><CstmrCdtTrfInitn><GrpHdr><MsgId>M</MsgId><NbOfTxs>"), F.col("n").cast("string"), F.lit("</NbOfTxs><InitgPty><Nm>Ada</Nm></InitgPty></GrpHdr><PmtInf><PmtInfId>P</PmtInfId><DbtrAcct><Id><IBAN>"), "account_id", F.lit("</IBAN></Id></DbtrAcct>"))
+    return large.pain_parts(streamed(pieces(tx, one, per, head, F.lit("</PmtInf></CstmrCdtTrfInitn></Document>"))))
 
 
 def pain_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +93,21 @@ def pain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pain001.summary(_pain(spark, sf_dir)).select("_file", F.col("transaction_count").cast("bigint").alias("n"), F.col("total_amount").cast(MONEY).alias("total"), "initiating_party").withColumnRenamed("_file", "account_id")
 
 
-def _texts(spark: SparkSession, sf_dir: str, line, head, tail) -> DataFrame:
-    per = transactions(spark, sf_dir).groupBy("account_id").agg(F.first("currency").alias("currency"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("e")))), lambda x: x["e"]), "\n").alias("rows"))
-    return per.select(F.col("account_id").alias("_file"), F.concat(head, F.lit("\n"), "rows", F.lit("\n"), tail).alias("value"))
+def _texts(spark: SparkSession, sf_dir: str, line: Column, head: Column, tail: Column | None = None) -> DataFrame:
+    tx = transactions(spark, sf_dir)
+    return pieces(tx, line, tx.groupBy("account_id").agg(F.first("currency").alias("currency")), head, tail)
 
 
 def ofx_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("<STMTTRN>\n<TRNTYPE>X\n<DTPOSTED>"), F.date_format("booking_date", "yyyyMMdd"), F.lit("120000\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<FITID>"), F.col("idx").cast("string"), F.lit("\n<NAME>"), F.col("priority"), F.when(F.col("idx") % 2 == 0, "\n</STMTTRN>").otherwise(""))
     files = _texts(spark, sf_dir, line, F.concat(F.lit("<OFX><CURDEF>"), "currency", F.lit("\n<ACCTID>"), "account_id", F.lit("\n<BANKTRANLIST>")), F.lit("</BANKTRANLIST></OFX>"))
-    return flat.ofx_transactions(files).select(F.col("transaction_id").cast("bigint").alias("idx"), "account_id", "currency", F.col("amount").cast(MONEY).alias("amount"), F.col("date"), "description")
+    return flat.ofx_transactions(streamed(files)).select(F.col("transaction_id").cast("bigint").alias("idx"), "account_id", "currency", F.col("amount").cast(MONEY).alias("amount"), F.col("date"), "description")
 
 
 def mt940_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit(":61:"), F.date_format("booking_date", "yyMMdd"), F.when(F.col("amount") < 0, "D").otherwise("C"), F.replace(_abs(), F.lit("."), F.lit(",")), F.lit("NTRF"), F.col("idx").cast("string"), F.lit("\n:86:"), F.col("priority"))
     files = _texts(spark, sf_dir, line, F.concat(F.lit(":20:X\n:25:"), "account_id", F.lit("\n:60F:C200101"), "currency", F.lit("0,00")), F.lit(":62F:C200131EUR1,00"))
-    return flat.mt940_transactions(files).select(F.substring("transaction_id", 5, 20).cast("bigint").alias("idx"), "account_id", "currency", F.col("amount").cast(MONEY).alias("amount"), F.pmod(F.year("date"), F.lit(100)).cast("int").alias("yy"), "description")
+    return flat.mt940_transactions(streamed(files)).select(F.substring("transaction_id", 5, 20).cast("bigint").alias("idx"), "account_id", "currency", F.col("amount").cast(MONEY).alias("amount"), F.pmod(F.year("date"), F.lit(100)).cast("int").alias("yy"), "description")
 
 
 def csv_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

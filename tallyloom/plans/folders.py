@@ -5,27 +5,30 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..binding import TX_SQL, load, transactions
 from ..operators import payload, review
-from ..sources import archives, camt, flat, pain001, registry
-from .files import MONEY, _abs, _pain, _texts, camt_documents
+from ..sources import archives, camt, flat, large, pain001, registry
+from .files import MONEY, ORDER, _abs, _pain, _texts, camt_pieces, streamed
 from .streams import shared_folder
 
 #: Every so manyth account's file is spoilt.
 _BAD = "cast(substr(account_id, 6) as int) % 10 = 3"
 
 
-def write_files(files: DataFrame, folder: str) -> str:
-    """``folder`` with one file a row of (name, value): a few dozen, as they are renamed one by one."""
-    spark = files.sparkSession
+def write_files(pieces: DataFrame, folder: str, suffix: str = "") -> str:
+    """``folder`` with one file for each ``_file`` of some pieces, a line each: a few dozen files, as they are renamed one by one."""
+    spark = pieces.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     parts = path(f"{folder}-parts-{uuid.uuid4().hex}")
-    files.repartition("name").write.partitionBy("name").text(parts.toString())
+    # a name that may be null would be wrapped, and the rows sorted again by it alone
+    rows = pieces.select(F.coalesce(F.concat("_file", F.lit(suffix)), F.lit("")).alias("name"), *ORDER)
+    rows.repartition("name").sortWithinPartitions("name", *ORDER).select("name", "text").write.partitionBy("name").text(parts.toString())
     system = parts.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(folder))
     for place in system.listStatus(parts):
@@ -40,13 +43,20 @@ def _name(file: Column) -> Column:
     return F.regexp_extract(file, r"([^/]+)$", 1)
 
 
-def _camt_xml(tx: DataFrame, prefix: str = "") -> DataFrame:
-    return camt_documents(tx).select(F.concat(F.lit(prefix), "_file", F.lit(".xml")).alias("name"), F.col("xml").alias("value"), F.col("_file").alias("account_id"))
+def _spoil(pieces: DataFrame) -> DataFrame:
+    """Pieces of which every tenth account's end in the middle of their text."""
+    bad = F.expr(_BAD.replace("account_id", "_file"))
+    size = F.length("text").cast("bigint")
+    total = pieces.where(bad).groupBy("_file").agg(F.sum(size).alias("total"))
+    before = F.sum(size).over(Window.partitionBy("_file").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    rows = pieces.where(bad).withColumn("before", before).join(F.broadcast(total), "_file")  # a row an account
+    left = F.expr("cast(total div 2 - before as int)")
+    return pieces.where(~bad).unionByName(rows.where(left > 0).select("_file", "place", "idx", F.substr("text", F.lit(1), left).alias("text")))
 
 
 def camt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of statements by its reader, one scan."""
-    folder = write_files(_camt_xml(transactions(spark, sf_dir)).drop("account_id"), shared_folder(spark))
+    folder = write_files(camt_pieces(transactions(spark, sf_dir)), shared_folder(spark), ".xml")
     out = registry.read_statement(spark, f"{folder}/*.xml", "camt")
     return out.select(F.col("Reference").cast("bigint").alias("idx"), F.col("AccountId").alias("account_id"), F.col("Amount").cast(MONEY).alias("amount"), F.to_date("BookgDt").alias("booking_date"), F.regexp_replace(_name(F.col("_file")), ".xml$", "").alias("file"))
 
@@ -67,7 +77,7 @@ def mt940_long_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrative = F.concat(F.expr("repeat(concat(priority, '+'), case when idx % 10 = 0 then 1200 else 1 end)"), F.col("idx").cast("string"))
     line = F.concat(F.lit(":61:"), F.date_format("booking_date", "yyMMdd"), F.when(F.col("amount") < 0, "D").otherwise("C"), F.replace(_abs(), F.lit("."), F.lit(",")), F.lit("NTRF"), F.col("idx").cast("string"), F.lit("\n:86:"), narrative)
     files = _texts(spark, sf_dir, line.alias("line"), F.concat(F.lit(":20:X\n:25:"), "account_id", F.lit("\n:60F:C200101"), "currency", F.lit("0,00")), F.lit(":62F:C200131EUR1,00"))
-    folder = write_files(files.select(F.concat("_file", F.lit(".sta")).alias("name"), "value"), shared_folder(spark))
+    folder = write_files(files, shared_folder(spark), ".sta")
     out = registry.read_statement(spark, f"{folder}/*.sta", "mt940")
     return out.select(F.substring("transaction_id", 5, 20).cast("bigint").alias("idx"), "account_id", F.length("description").alias("n"), F.md5(F.col("description").cast("binary")).alias("digest"))
 
@@ -75,12 +85,11 @@ def mt940_long_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spoilt(spark: SparkSession, sf_dir: str) -> str:
     """Good and malformed statements, a copy of some under later names, a CSV with a bad amount and one without amounts, and a text that is no statement."""
     tx = transactions(spark, sf_dir)
-    good = _camt_xml(tx)
-    half = F.expr("substr(value, 1, cast(length(value) / 2 as int))")
-    files = good.withColumn("value", F.when(F.expr(_BAD), half).otherwise(F.col("value"))).drop("account_id")
-    again = _camt_xml(tx.where("account_id in ('ACCT-1', 'ACCT-2')"), "Z").drop("account_id")
-    odd = spark.createDataFrame([("bad.csv", "Date,Description,Amount\n2024-01-01,x,1.00\n2024-01-02,y,1..5"), ("none.csv", "Date,Description\n2024-01-01,x"), ("notes.txt", "no statement at all")], "name string, value string")
-    return write_files(files.unionByName(again).unionByName(odd), shared_folder(spark))
+    files = _spoil(camt_pieces(tx))
+    again = camt_pieces(tx.where("account_id in ('ACCT-1', 'ACCT-2')"))
+    named = lambda df, name: df.withColumn("_file", name)
+    odd = spark.createDataFrame([("bad.csv", 0, None, "Date,Description,Amount\n2024-01-01,x,1.00\n2024-01-02,y,1..5"), ("none.csv", 0, None, "Date,Description\n2024-01-01,x"), ("notes.txt", 0, None, "no statement at all")], "_file string, place int, idx bigint, text string")
+    return write_files(named(files, F.concat("_file", F.lit(".xml"))).unionByName(named(again, F.concat(F.lit("Z"), "_file", F.lit(".xml")))).unionByName(odd), shared_folder(spark))
 
 
 def scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ def parse_files_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def camt_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = write_files(_camt_xml(transactions(spark, sf_dir)).withColumn("value", F.when(F.expr(_BAD), F.expr("substr(value, 1, cast(length(value) / 2 as int))")).otherwise(F.col("value"))).drop("account_id"), shared_folder(spark))
+    folder = write_files(_spoil(camt_pieces(transactions(spark, sf_dir))), shared_folder(spark), ".xml")
     files, _, _ = camt.read_folder(spark, folder)
     return files.select(_name(F.col("_file")).alias("file"), F.split("status", ":")[0].alias("status"), "statements")
 
@@ -121,22 +130,21 @@ def camt_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statements out of ZIP archives, and why a member gives none."""
 
-    @F.pandas_udf("binary")
-    def packed(name: pd.Series, xml: pd.Series) -> pd.Series:
-        def one(n: str, x: str) -> bytes:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, stream in large.streams(batches, True):
             data = io.BytesIO()
             with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(f"{n}.xml", x)
+                with archive.open(f"{name}.xml", "w", force_zip64=True) as member:
+                    while piece := stream.read():
+                        member.write(piece)
                 archive.writestr("readme.txt", "not read")
                 archive.writestr("empty.xml", "")
-            return data.getvalue()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data.getvalue()])], names=["path", "content"])
 
-        return pd.Series([one(*v) for v in zip(name, xml)])
-
-    docs = camt_documents(transactions(spark, sf_dir))
+    files = streamed(camt_pieces(transactions(spark, sf_dir))).mapInArrow(packed, "path string, content binary")
     # text of like entries packs by more than the guard's ratio
-    members = archives.xml_members(docs.select(F.col("_file").alias("path"), packed("_file", "xml").alias("content")), max_ratio=1e9)
-    rows = camt.transactions(camt.statements_from_text(members.where("error is null").select("_file", "xml")))
+    members = archives.camt_parts(files, max_ratio=1e9)
+    rows = camt.transactions(members.where("error is null"))
     good = rows.groupBy("_file").agg(F.count("*").alias("n"), F.sum("Amount").cast(MONEY).alias("total"))
     bad = members.where("error is not null").groupBy("_file").agg(F.min("member").alias("refused"), F.min("error").alias("error"))
     return good.join(bad, "_file").withColumnRenamed("_file", "account_id")
@@ -150,13 +158,13 @@ def _summaries(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def ofx_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("<STMTTRN>\n<TRNTYPE>X\n<DTPOSTED>"), F.date_format("booking_date", "yyyyMMdd"), F.lit("\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<FITID>"), F.col("idx").cast("string"), F.lit("\n</STMTTRN>"))
     files = _texts(spark, sf_dir, line, F.concat(F.lit("<OFX><CURDEF>"), "currency", F.lit("\n<ACCTID>"), "account_id", F.lit("\n<BANKTRANLIST>")), F.lit("</BANKTRANLIST></OFX>"))
-    return _summaries(spark, write_files(files.select(F.concat("_file", F.lit(".ofx")).alias("name"), "value"), shared_folder(spark)), "ofx")
+    return _summaries(spark, write_files(files, shared_folder(spark), ".ofx"), "ofx")
 
 
 def mt940_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit(":61:"), F.date_format("booking_date", "yyMMdd"), F.when(F.col("amount") < 0, "D").otherwise("C"), F.replace(_abs(), F.lit("."), F.lit(",")), F.lit("NTRF"), F.col("idx").cast("string"))
     files = _texts(spark, sf_dir, line, F.concat(F.lit(":20:X\n:25:"), "account_id", F.lit("\n:60F:C200101"), "currency", F.lit("0,00")), F.concat(F.lit(":62F:D200131"), "currency", F.lit("12,50")))
-    folder = write_files(files.select(F.concat("_file", F.lit(".mt940")).alias("name"), "value"), shared_folder(spark))
+    folder = write_files(files, shared_folder(spark), ".mt940")
     out = registry.FORMATS["mt940"].summary(spark, folder)
     return out.select("account_id", F.col("transaction_count").cast("bigint").alias("n"), F.col("total_amount").cast(MONEY).alias("total"), "currency", F.col("opening_balance").cast(MONEY).alias("opening_balance"), F.col("closing_balance").cast(MONEY).alias("closing_balance"))
 
@@ -164,8 +172,8 @@ def mt940_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file an account, with a running balance of its row numbers."""
     row = F.concat_ws(",", F.col("booking_date").cast("string"), "priority", F.col("amount").cast("string"), "currency", "account_id", F.col("idx").cast("string"))
-    files = _texts(spark, sf_dir, row, F.lit("Date,Details,Amount,Currency,Account,Balance"), F.lit(""))
-    folder = write_files(files.select(F.concat("_file", F.lit(".csv")).alias("name"), F.regexp_replace("value", r"\n+$", "").alias("value")), shared_folder(spark))
+    files = _texts(spark, sf_dir, row, F.lit("Date,Details,Amount,Currency,Account,Balance"))
+    folder = write_files(files, shared_folder(spark), ".csv")
     out = registry.FORMATS["csv"].summary(spark, folder)
     return out.select("account_id", F.col("transaction_count").cast("bigint").alias("n"), F.col("total_amount").cast(MONEY).alias("total"), "currency", F.col("opening_balance").cast(MONEY).alias("opening_balance"), F.col("closing_balance").cast(MONEY).alias("closing_balance"))
 

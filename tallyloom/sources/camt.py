@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import signed_by_indicator
 from ..functions.amounts import MONEY_SQL, plain_amount, required, unreadable
 from ..functions.text import mask
-from .xml import parse_documents, read_documents, text_of
+from .xml import parse_documents, parsed_once, read_documents, runs_parsed, text_of
 
 _PARTY = "struct<Nm:string,PstlAdr:struct<AdrLine:array<string>,StrtNm:string>>"
 _WHEN = "struct<Dt:string,DtTm:string>"
@@ -35,6 +35,13 @@ def statements(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
     return docs.select(*keep, F.posexplode_outer("Stmt").alias("stmt_index", "stmt")).where("stmt is not null" if strict else "stmt is not null or _corrupt is not null")
 
 
+def parts(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
+    """The statements of files of any size, an entry or balance a row; the functions below take it in place of ``statements``."""
+    from .large import camt_parts, listed
+
+    return camt_parts(listed(spark, paths), strict)
+
+
 def split_statements(spark: SparkSession, paths) -> DataFrame:
     """The same from files too large for one task: statements are split apart, so their order within a file isn't known."""
     names = "Id string, CreDtTm string, Acct struct<Id:struct<IBAN:string,Othr:struct<Id:string>>,Ccy:string>, " + f"Bal array<{_BALANCE}>, Ntry array<{_ENTRY}>"
@@ -64,6 +71,9 @@ def transactions(stmts: DataFrame, redact_pii: bool = False, statement_currency:
     none.  An amount that is there but unreadable raises, or without ``strict``
     is told of in ``_fault``.  ``incomplete`` may be "raise" instead.
     """
+    if "_kind" in stmts.columns:  # the parts of large files
+        rows = runs_parsed(stmts.where("_kind = 'Ntry'"), "xml", "Ntry", _ENTRY, "e", "_at").where("e is not null").withColumnRenamed("_at", "_entry").drop("xml", "_kind", "_created", "error")
+        return project(rows, redact_pii, statement_currency, strict, incomplete)
     # the statement's own fields first: exploded rows must not each carry the whole statement
     flat = stmts.select("_file", "stmt_index", account_id(F.col("stmt")).alias("AccountId"), F.col("stmt.Id").alias("_stmt_id"), F.col("stmt.Acct.Ccy").alias("__ccy"), F.col("stmt.Ntry").alias("__entries"))
     rows = flat.select("_file", "stmt_index", "AccountId", "_stmt_id", "__ccy", F.posexplode("__entries").alias("_entry", "e"))
@@ -106,25 +116,43 @@ def project(rows: DataFrame, redact_pii: bool = False, statement_currency: bool
 
 def balances(stmts: DataFrame, strict: bool = True) -> DataFrame:
     """One row a balance; incomplete ones are left out, and a statement that has neither account, balance nor entry raises.  Without ``strict`` such a statement has none, and unreadable amounts are null."""
+    if "_kind" in stmts.columns:
+        rows = stmts.where("_kind <> 'Ntry'" if strict else "_kind = 'Bal'")
+        if strict:
+            rows = rows.where(F.when(F.col("_kind") == "Hollow", F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast("boolean")).otherwise(F.col("_kind") == "Bal"))
+        rows = parsed_once(rows, "xml", _BALANCE, "b").select("_file", F.col("stmt_index").alias("_stmt_index"), "AccountId", F.col("_at").alias("_balance"), "b")
+        return _balances(rows, strict)
     s = F.col("stmt")
     hollow = s["Acct"].isNull() & s["Bal"].isNull() & s["Ntry"].isNull() & (s["Id"].isNotNull() | s["CreDtTm"].isNotNull())
     whole = stmts.withColumn("__b", s["Bal"] if not strict else F.when(hollow, F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast(f"array<{_BALANCE}>")).otherwise(s["Bal"]))
     flat = whole.select("_file", F.col("stmt_index").alias("_stmt_index"), account_id(s).alias("AccountId"), "__b")
-    rows = flat.select("_file", "_stmt_index", "AccountId", F.posexplode("__b").alias("_balance", "b"))
-    b = F.col("b")
+    return _balances(flat.select("_file", "_stmt_index", "AccountId", F.posexplode("__b").alias("_balance", "b")), strict)
+
+
+def _balance(b: Column, strict: bool) -> tuple[Column, Column, Column, Column]:
+    """(whether it is whole, its code, amount and day)."""
     day = F.coalesce(b["Dt"]["Dt"], b["Dt"]["DtTm"])
-    rows = rows.where(b["Amt"]["_VALUE"].isNotNull() & b["Amt"]["_Ccy"].isNotNull() & b["CdtDbtInd"].isNotNull() & day.isNotNull())
+    whole = b["Amt"]["_VALUE"].isNotNull() & b["Amt"]["_Ccy"].isNotNull() & b["CdtDbtInd"].isNotNull() & day.isNotNull()
     code = F.coalesce(b["Tp"]["CdOrPrtry"]["Cd"], F.concat(F.lit("Proprietary: "), b["Tp"]["CdOrPrtry"]["Prtry"]), F.lit("N/A"))
     read = plain_amount(b["Amt"]["_VALUE"])
-    amount = signed_by_indicator(required(read, b["Amt"]["_VALUE"], "Amt") if strict else read, b["CdtDbtInd"])
+    return whole, code, signed_by_indicator(required(read, b["Amt"]["_VALUE"], "Amt") if strict else read, b["CdtDbtInd"]), day
+
+
+def _balances(rows: DataFrame, strict: bool) -> DataFrame:
+    b = F.col("b")
+    whole, code, amount, day = _balance(b, strict)
+    rows = rows.where(whole)
     return rows.select(amount.cast(MONEY_SQL).alias("Amount"), b["Amt"]["_Ccy"].alias("Currency"), code.alias("Code"), balance_description(code).alias("Description"), b["CdtDbtInd"].alias("DrCr"), day.alias("Date"), "AccountId", "_file", "_stmt_index", "_balance")
 
 
 def stats(stmts: DataFrame) -> DataFrame:
     """One row a statement: all its entries counted, those with amount and indicator summed, and how many of them are transactions.
 
-    Sums run over the statement's own array, so nothing is shuffled.
+    Sums run over the statement's own array, so nothing is shuffled but the
+    partial sums of large files' parts.
     """
+    if "_kind" in stmts.columns:
+        return _sums(stmts).select("StatementId", "AccountId", "StatementCreated", "NumTransactions", "NetAmount", "num_parsed", "_file", "_stmt_index")
     e = F.coalesce("stmt.Ntry", F.array().cast(f"array<{_ENTRY}>"))
     signed = F.transform(F.filter(e, lambda x: x["Amt"]["_VALUE"].isNotNull() & x["CdtDbtInd"].isNotNull()), lambda x: signed_by_indicator(required(plain_amount(x["Amt"]["_VALUE"]), x["Amt"]["_VALUE"], "Amt"), x["CdtDbtInd"]))
     net = F.aggregate(signed, F.lit(0).cast(MONEY_SQL), lambda a, x: (a + x).cast(MONEY_SQL))
@@ -133,8 +161,31 @@ def stats(stmts: DataFrame) -> DataFrame:
     return stmts.select(text_of(s["Id"]).alias("StatementId"), account_id(s).alias("AccountId"), text_of(s["CreDtTm"]).alias("StatementCreated"), F.size(e).alias("NumTransactions"), net.alias("NetAmount"), F.size(good).alias("num_parsed"), "_file", F.col("stmt_index").alias("_stmt_index"))
 
 
+def _sums(parts: DataFrame) -> DataFrame:
+    """``stats`` of large files' parts, with the first currency and balances of each statement, in one pass."""
+    kind, e, b = F.col("_kind"), F.col("e"), F.col("b")
+    rows = runs_parsed(parsed_once(parts, F.when(kind == "Bal", F.col("xml")), _BALANCE, "b"), F.when(kind == "Ntry", F.col("xml")), "Ntry", _ENTRY, "e", "_at")
+    value, side = e["Amt"]["_VALUE"], e["CdtDbtInd"]
+    good = value.isNotNull() & e["Amt"]["_Ccy"].isNotNull() & side.isNotNull()
+    amount = F.when(value.isNotNull() & side.isNotNull(), signed_by_indicator(required(plain_amount(value), value, "Amt"), side))
+    whole, code, balance, _ = _balance(b, True)
+    last = lambda c: text_of(F.max(F.when(kind.isin("Stmt", "Hollow"), F.col(c))))
+    booked = lambda c: F.min_by(F.when(whole, balance.cast(MONEY_SQL)), F.when(whole & (code == c), F.col("_at")))
+    return rows.groupBy("_file", F.col("stmt_index").alias("_stmt_index")).agg(
+        last("_stmt_id").alias("StatementId"), last("AccountId").alias("AccountId"), last("_created").alias("StatementCreated"), F.count(F.when(kind == "Ntry", 1)).cast("int").alias("NumTransactions"),
+        F.coalesce(F.sum(amount), F.lit(0)).cast(MONEY_SQL).alias("NetAmount"), F.count(F.when(good, 1)).cast("int").alias("num_parsed"), F.min_by(e["Amt"]["_Ccy"], F.when(good, F.col("_at"))).alias("currency"),
+        booked("OPBD").alias("opening_balance"), booked("CLBD").alias("closing_balance"), F.max(kind == "Hollow").alias("hollow"),
+    )
+
+
 def summary(stmts: DataFrame) -> DataFrame:
     """One row a file: its first statement's figures, first currency, first opening and closing balance."""
+    if "_kind" in stmts.columns:
+        at = F.col("_stmt_index")
+        figures = (("AccountId", "account_id"), ("StatementCreated", "statement_date"), ("NumTransactions", "transaction_count"), ("NetAmount", "total_amount"))
+        account = F.when(F.col("hollow"), F.raise_error(F.lit("a statement has neither account, balance nor entry")).cast("string")).otherwise(F.col("AccountId"))
+        out = _sums(stmts).withColumn("AccountId", account).groupBy("_file").agg(*(F.min_by(c, at).alias(n) for c, n in figures), *(F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("currency", "opening_balance", "closing_balance")))
+        return out.withColumn("currency", F.coalesce("currency", F.lit("Unknown")))
     place = F.struct("_stmt_index")
     first = stats(stmts).groupBy("_file").agg(*(F.min_by(c, place).alias(n) for c, n in (("AccountId", "account_id"), ("StatementCreated", "statement_date"), ("NumTransactions", "transaction_count"), ("NetAmount", "total_amount"))))
     currency = transactions(stmts).groupBy("_file").agg(F.min_by("Currency", F.struct("_stmt_index", "_entry")).alias("currency"))
@@ -161,8 +212,9 @@ def statements_with_balances(stmts: DataFrame) -> DataFrame:
 
 def read_folder(spark: SparkSession, folder: str, redact_pii: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, statements, transactions) of a folder's CAMT files; a malformed file is told of in ``files`` and leaves the others alone."""
-    stmts = statements(spark, folder, strict=False)
-    bad = F.max(F.col("_corrupt").isNotNull())
-    files = stmts.groupBy("_file").agg(F.when(bad, "Failed: malformed XML").otherwise("Success").alias("status"), F.count("stmt").alias("statements")).orderBy("_file")
-    good = stmts.where("stmt is not null")
+    stmts = parts(spark, folder, strict=False)
+    bad = F.max(F.col("error").isNotNull())
+    ends = stmts.where("error is not null or _kind in ('Stmt', 'Hollow')")
+    files = ends.groupBy("_file").agg(F.when(bad, "Failed: malformed XML").otherwise("Success").alias("status"), F.when(bad, 0).otherwise(F.count("_kind")).alias("statements")).orderBy("_file")
+    good = stmts.where("error is null").join(ends.where("error is not null").select("_file").distinct(), "_file", "left_anti")
     return files, statements_with_balances(good), transactions(good, redact_pii)

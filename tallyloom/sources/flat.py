@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import csv
+import re
+import tempfile
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..exceptions import FormatError
 from ..functions import fold_header, locale_amount, signed_difference
 from ..functions.amounts import MONEY_SQL, required, unreadable
 from ..functions.dates import short_year_date
+from .large import parsed
 
 # ---- whole files
 
@@ -21,9 +26,18 @@ def whole_files(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
 
 
+def _streamed(files: DataFrame, units: Callable, names: list[str], schema: str) -> DataFrame:
+    """(_file, *names) of files (path), whole texts (_file, value) or ordered pieces (_file, text), read as streams in constant memory."""
+    source = files.where("value is not null").select("_file", F.col("value").alias("text")) if "value" in files.columns else files
+    return parsed(source, units, names, schema).drop("error")
+
+
 # ---- OFX
 
-_BLOCK = r"(?is)<STMTTRN>(.*?)(?:</STMTTRN>|(?=<STMTTRN>|</BANKTRANLIST>))"
+#: A transaction ends at the first of these after its tag; one that none of them ends is none.
+_OFX_TAGS = (b"DTPOSTED", b"MEMO", b"NAME", b"TRNAMT", b"FITID", b"TRNTYPE")
+_OFX_LEAF = re.compile(rb"(?i)<(" + b"|".join(_OFX_TAGS) + rb")>([^<\r\n]+)")
+_OFX_MARK = re.compile(rb"(?i)<STMTTRN>|</STMTTRN>|</BANKTRANLIST>")
 
 
 def ofx_tag(text: Column, tag: str) -> Column:
@@ -31,13 +45,66 @@ def ofx_tag(text: Column, tag: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)<{tag}>([^<\r\n]+)", 1)), F.lit(""))
 
 
+class _Blocks:
+    """(currency, account_id, entry, *tags) of an OFX file: the first values that it has of the former two, wherever they stand, and the first of each tag within a transaction."""
+
+    @staticmethod
+    def head(stream: BinaryIO, tags: tuple[bytes, ...] = (b"CURDEF", b"ACCTID")) -> list[str | None]:
+        """The first value of each tag; reads no further than to the last of them."""
+        seek = {t: re.compile(rb"(?i)<" + t + rb">([^<\r\n]+)") for t in tags}
+        found: dict[bytes, bytes] = {}
+        rest = b""
+        while len(found) < len(tags):
+            data = stream.read(1 << 16)
+            text = rest + data
+            for t, pattern in seek.items():
+                if t not in found and (hit := pattern.search(text)) and (hit.end() < len(text) or not data):
+                    found[t] = hit[1]
+            if not data:
+                break
+            at = text.rfind(b"<")
+            rest = text[at:] if at >= 0 and (len(text) - at < 32 or any(p.match(text, at) for p in seek.values())) else b""
+        return [found[t].decode("utf-8", "replace").strip(" ") or None if t in found else None for t in tags]
+
+    def rows(self, stream: BinaryIO) -> Iterator[tuple]:
+        if not (hasattr(stream, "seekable") and stream.seekable()):
+            spool = tempfile.SpooledTemporaryFile(1 << 24)
+            while data := stream.read(1 << 16):
+                spool.write(data)
+            stream = spool
+            stream.seek(0)
+        currency, account = self.head(stream)
+        stream.seek(0)
+        held, entry, rest = None, 0, b""  # the parts of the block that is open
+        while True:
+            data = stream.read(1 << 16)
+            text, at = rest + data, 0
+            for hit in _OFX_MARK.finditer(text):
+                if held is not None:
+                    held.append(text[at : hit.start()])
+                    found: dict[bytes, bytes] = {}
+                    for tag, value in _OFX_LEAF.findall(b"".join(held)):
+                        found.setdefault(tag.upper(), value)
+                    yield currency, account, entry, *(found[t].decode("utf-8", "replace").strip(" ") or None if t in found else None for t in _OFX_TAGS)
+                    entry += 1
+                held, at = [] if hit[0][1:2] != b"/" else None, hit.end()
+            if not data:
+                return
+            cut = text.rfind(b"<", at)
+            cut = cut if cut >= len(text) - 16 and cut >= 0 else len(text)  # what may be the start of a tag
+            if held is not None:
+                held.append(text[at:cut])
+            rest = text[cut:]
+
+
 def ofx_transactions(files: DataFrame, strict: bool = True) -> DataFrame:
     """(date, description, amount, currency, account_id, transaction_id, transaction_type), dates as yyyyMMdd."""
-    rows = files.select("_file", ofx_tag(F.col("value"), "CURDEF").alias("currency"), ofx_tag(F.col("value"), "ACCTID").alias("account_id"), F.posexplode(F.regexp_extract_all("value", F.lit(_BLOCK), F.lit(1))).alias("_entry", "b"))
-    b, raw = F.col("b"), ofx_tag(F.col("b"), "TRNAMT")
+    tags = [t.decode() for t in _OFX_TAGS]
+    rows = _streamed(files, _Blocks, ["currency", "account_id", "_entry", *tags], ", ".join(["currency string, account_id string, _entry int", *(f"{t} string" for t in tags)]))
+    raw = F.col("TRNAMT")
     amount = required(locale_amount(raw), raw, "TRNAMT") if strict else locale_amount(raw)
     faults = [] if strict else [F.when(raw.isNull(), "TRNAMT is missing").otherwise(unreadable(locale_amount(raw), raw, "TRNAMT")).alias("_fault")]
-    return rows.select(F.substring(ofx_tag(b, "DTPOSTED"), 1, 8).alias("date"), F.coalesce(ofx_tag(b, "MEMO"), ofx_tag(b, "NAME")).alias("description"), amount.alias("amount"), "currency", "account_id", ofx_tag(b, "FITID").alias("transaction_id"), ofx_tag(b, "TRNTYPE").alias("transaction_type"), "_file", "_entry", *faults)
+    return rows.select(F.substring("DTPOSTED", 1, 8).alias("date"), F.coalesce("MEMO", "NAME").alias("description"), amount.alias("amount"), "currency", "account_id", F.col("FITID").alias("transaction_id"), F.col("TRNTYPE").alias("transaction_type"), "_file", "_entry", *faults)
 
 
 # ---- MT940
@@ -46,22 +113,75 @@ _MT_BALANCE = r"^:(60F|62F):([CD])(\d{6})([A-Z]{3})([0-9,]+)$"
 _MT_ENTRY = r"^:61:(\d{6})(?:\d{4})?([CD])([0-9,]+)(.*)$"
 
 
-def mt940_lines(files: DataFrame) -> DataFrame:
-    """(_file, line, text, account_id, currency, entry): account and currency carried forward, ``entry`` the number of :61: lines so far, readable or not."""
-    lines = files.select("_file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw")).select("_file", "line", F.trim("raw").alias("text"))
-    w = Window.partitionBy("_file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    account = F.when(F.col("text").startswith(":25:"), F.trim(F.substr("text", F.lit(5))))
-    currency = F.when(F.col("text").rlike(_MT_BALANCE), F.regexp_extract("text", _MT_BALANCE, 4))
-    entry = F.when(F.col("text").startswith(":61:"), 1).otherwise(0)
-    return lines.select("_file", "line", "text", F.last(account, ignorenulls=True).over(w).alias("account_id"), F.last(currency, ignorenulls=True).over(w).alias("currency"), F.sum(entry).over(w).alias("entry"))
+#: The same for Python: Java's $ also stands before a last line break of any kind.
+_MT_CURRENCY = re.compile("^:6[02]F:[CD][0-9]{6}([A-Z]{3})[0-9,]+[\r\x85\u2028\u2029]?\\Z")
+
+
+class _Lines:
+    """(line, text, account_id, currency, entry) of an MT940 file's lines that begin with ``only``."""
+
+    only = ""
+
+    def lines(self, stream: BinaryIO) -> Iterator[tuple[int, str]]:
+        held: list[bytes] = []  # of the line that isn't whole yet
+        n = 0
+        while data := stream.read(1 << 16):
+            first, *more = data.split(b"\n")
+            held.append(first)
+            for part in more:
+                yield n, b"".join(held).removesuffix(b"\r").decode("utf-8", "replace").strip(" ")
+                n, held = n + 1, [part]
+        yield n, b"".join(held).decode("utf-8", "replace").strip(" ")
+
+    def rows(self, stream: BinaryIO) -> Iterator[tuple]:
+        account = currency = None
+        entry = 0
+        for n, text in self.lines(stream):
+            if text.startswith(":25:"):
+                account = text[4:].strip(" ")
+            elif text.startswith(":61:"):
+                entry += 1
+            elif hit := _MT_CURRENCY.match(text):
+                currency = hit[1]
+            if text.startswith(self.only):
+                yield n, text, account, currency, entry
+
+
+class _Tagged(_Lines):
+    only = ":6"
+
+
+class _Statement(_Lines):
+    """(entry, text, account_id, currency, description) of an MT940 file's :61: lines: the last :86: before the next one describes it."""
+
+    def rows(self, stream: BinaryIO) -> Iterator[tuple]:
+        account = currency = found = None
+        entry = 0
+        for _, text in self.lines(stream):
+            if text.startswith(":25:"):
+                account = text[4:].strip(" ")
+            elif text.startswith(":61:"):
+                if found:
+                    yield *found, description
+                entry, description = entry + 1, None
+                found = entry, text, account, currency
+            elif text.startswith(":86:"):
+                description = text[4:].strip(" ")
+            elif hit := _MT_CURRENCY.match(text):
+                currency = hit[1]
+        if found:
+            yield *found, description
+
+
+def mt940_lines(files: DataFrame, tagged: bool = False) -> DataFrame:
+    """(_file, line, text, account_id, currency, entry): account and currency carried forward, ``entry`` the number of :61: lines so far, readable or not.  ``tagged`` for those of entries and balances alone."""
+    return _streamed(files, _Tagged if tagged else _Lines, ["line", "text", "account_id", "currency", "entry"], "line int, text string, account_id string, currency string, entry int")
 
 
 def mt940_transactions(files: DataFrame, strict: bool = True) -> DataFrame:
     """(date, amount, transaction_id, account_id, currency, description) of the readable :61: lines; the last :86: before the next one is the description.  Dates are this century's."""
-    rows = mt940_lines(files).where("entry > 0")
-    is_entry = F.col("text").rlike(_MT_ENTRY)
-    head = lambda c: F.min_by(c, F.when(is_entry, F.col("line")))
-    grouped = rows.groupBy("_file", "entry").agg(head("text").alias("text"), head("account_id").alias("account_id"), head("currency").alias("currency"), F.max_by(F.trim(F.substr("text", F.lit(5))), F.when(F.col("text").startswith(":86:"), F.col("line"))).alias("description")).where("text is not null")
+    rows = _streamed(files, _Statement, ["entry", "text", "account_id", "currency", "description"], "entry int, text string, account_id string, currency string, description string")
+    grouped = rows.where(F.col("text").rlike(_MT_ENTRY))
     part = lambda k: F.regexp_extract("text", _MT_ENTRY, k)
     amount = required(locale_amount(part(3)), part(3), ":61:") if strict else locale_amount(part(3))
     faults = [] if strict else [unreadable(locale_amount(part(3)), part(3), ":61:").alias("_fault")]
@@ -70,12 +190,12 @@ def mt940_transactions(files: DataFrame, strict: bool = True) -> DataFrame:
 
 def mt940_unread(files: DataFrame) -> DataFrame:
     """(_file, line, text) of the :61: lines that the pattern doesn't take."""
-    return mt940_lines(files).where(F.col("text").startswith(":61:") & ~F.col("text").rlike(_MT_ENTRY)).select("_file", "line", "text")
+    return mt940_lines(files, True).where(F.col("text").startswith(":61:") & ~F.col("text").rlike(_MT_ENTRY)).select("_file", "line", "text")
 
 
 def mt940_balances(files: DataFrame) -> DataFrame:
     """(_file, account_id, currency, opening_balance, closing_balance), negative for D."""
-    rows = mt940_lines(files).where(F.col("text").rlike(_MT_BALANCE))
+    rows = mt940_lines(files, True).where(F.col("text").rlike(_MT_BALANCE))
     part = lambda k: F.regexp_extract("text", _MT_BALANCE, k)
     value = F.when(part(2) == "D", -locale_amount(part(5))).otherwise(locale_amount(part(5)))
     pick = lambda tag: F.max_by("v", F.when(F.col("tag") == tag, F.col("line")))

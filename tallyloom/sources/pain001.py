@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY_SQL, plain_amount, required
 from ..functions.text import mask
-from .xml import parse_documents, read_documents
+from .xml import parse_documents, parsed_once, read_documents
 
 _AGENT = "struct<FinInstnId:struct<BIC:string,BICFI:string>>"
 _PARTY = "struct<Nm:string,PstlAdr:struct<Ctry:string,AdrLine:array<string>>>"
@@ -17,6 +17,7 @@ _PAYMENT = f"struct<PmtInfId:string,PmtMtd:string,BtchBookg:string,NbOfTxs:strin
 _OWN = ("PmtInfId", "PmtMtd", "NbOfTxs", "CtrlSum", "ReqdExctnDt", "Dbtr", "DbtrAcct", "DbtrAgt", "ChrgBr")
 HEADER = "struct<MsgId:string,CreDtTm:string,NbOfTxs:string,InitgPty:struct<Nm:string>>"
 DOCUMENT = f"GrpHdr {HEADER}, PmtInf array<{_PAYMENT}>"
+_PART = f"GrpHdr {HEADER}, PmtInf {_PAYMENT}, CdtTrfTxInf array<{_TRANSFER}>"
 
 
 def initiations(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
@@ -30,7 +31,18 @@ def initiations_from_text(texts: DataFrame, xml: str = "xml", name: str = "_file
     return parse_documents(texts, F.when(body == "", missing).otherwise(body), DOCUMENT, [name], strict).withColumnRenamed(name, "_file")
 
 
+def parts(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
+    """Files of any size, a transfer a row; the functions below take it in place of ``initiations``."""
+    from .large import listed, pain_parts
+
+    return pain_parts(listed(spark, paths), strict)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
+    if "_transfers" in docs.columns:  # the parts of large files
+        runs = parsed_once(docs.where("_transfer is not null"), "xml", _PART, "x").select("_file", F.col("x.GrpHdr").alias("h"), "_payment", F.col("x.PmtInf").alias("p"), F.col("_transfer").alias("__first"), F.col("x.CdtTrfTxInf").alias("__run"))
+        rows = runs.select("_file", "h", "_payment", "p", "__first", F.posexplode("__run").alias("__pos", "t"))
+        return rows.select("_file", "h", "_payment", "p", (F.col("__first") + F.col("__pos")).alias("_transfer"), "t")
     payments = docs.select("_file", F.col("GrpHdr").alias("h"), F.posexplode("PmtInf").alias("_payment", "p"))
     # the payment without its transfers, so that exploded rows don't each carry them all
     flat = payments.select("_file", "h", "_payment", F.struct(*(F.col(f"p.{c}").alias(c) for c in _OWN)).alias("p"), F.col("p.CdtTrfTxInf").alias("__transfers"))
@@ -74,6 +86,8 @@ def transfers(docs: DataFrame, redact_pii: bool = False) -> DataFrame:
 
 def counts(docs: DataFrame) -> DataFrame:
     """(_file, batches_count, total_payments_count) from the arrays' sizes."""
+    if "_transfers" in docs.columns:
+        return docs.where("_transfers is not null").select("_file", F.col("_payments").alias("batches_count"), F.col("_transfers").alias("total_payments_count"))
     batches = F.coalesce(F.col("PmtInf"), F.array().cast(f"array<{_PAYMENT}>"))
     n = F.aggregate(F.transform(batches, lambda p: F.coalesce(F.size(p["CdtTrfTxInf"]), F.lit(0))), F.lit(0), lambda a, x: a + F.greatest(x, F.lit(0)))
     return docs.select("_file", F.size(batches).alias("batches_count"), n.alias("total_payments_count"))
@@ -85,6 +99,10 @@ def summary(docs: DataFrame) -> DataFrame:
     at = F.struct("_payment", "_transfer")
     filled = F.nullif(F.col("InstdAmt"), F.lit(""))
     amount = F.when(filled.isNotNull(), required(plain_amount(filled), filled, "InstdAmt"))
+    if "_transfers" in docs.columns:
+        heads = parsed_once(docs.where("_transfers is not null"), "xml", _PART, "x").select("_file", "x.GrpHdr")
+    else:
+        heads = docs
     sums = payments(docs).groupBy("_file").agg(F.sum(amount).cast(MONEY_SQL).alias("total_amount"), F.min_by("Currency", F.when(filled.isNotNull(), at)).alias("currency"))
-    head = docs.select("_file", unknown("GrpHdr.InitgPty.Nm").alias("account_id"), unknown("GrpHdr.CreDtTm").alias("statement_date"), F.when(F.col("GrpHdr.NbOfTxs").rlike(r"^\d+$"), F.col("GrpHdr.NbOfTxs").try_cast("int")).alias("n"), unknown("GrpHdr.MsgId").alias("message_id"))
+    head = heads.select("_file", unknown("GrpHdr.InitgPty.Nm").alias("account_id"), unknown("GrpHdr.CreDtTm").alias("statement_date"), F.when(F.col("GrpHdr.NbOfTxs").rlike(r"^\d+$"), F.col("GrpHdr.NbOfTxs").try_cast("int")).alias("n"), unknown("GrpHdr.MsgId").alias("message_id"))
     return head.join(sums, "_file", "left").select("_file", "account_id", "statement_date", F.coalesce("n", F.lit(0)).alias("transaction_count"), F.coalesce("total_amount", F.lit(0).cast(MONEY_SQL)).alias("total_amount"), F.coalesce("currency", F.lit("Unknown")).alias("currency"), "message_id", F.col("account_id").alias("initiating_party"))

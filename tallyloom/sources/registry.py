@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..exceptions import FormatError
 from ..operators.normalize import normalize
-from . import camt, flat, pain001
+from . import camt, flat, large, pain001
 
 EXTENSIONS = (".xml", ".csv", ".ofx", ".qfx", ".mt940", ".sta", ".pdf")
 
@@ -37,18 +38,18 @@ def register(fmt: Format) -> None:
     FORMATS[fmt.name] = fmt
 
 
-def _malformed(docs: DataFrame) -> DataFrame:
-    return docs.where("_corrupt is not null").select("_file", F.lit("malformed XML").alias("error"))
+def _malformed(parts: DataFrame) -> DataFrame:
+    return parts.where("error is not null").select("_file", F.lit("malformed XML").alias("error"))
 
 
 def _camt_checked(spark: SparkSession, paths: list[str]) -> Checked:
-    stmts = camt.statements(spark, paths, strict=False)
-    return camt.transactions(stmts.where("stmt is not null"), strict=False), _malformed(stmts)
+    parts = camt.parts(spark, paths, strict=False)
+    return camt.transactions(parts, strict=False), _malformed(parts)
 
 
 def _pain_checked(spark: SparkSession, paths: list[str]) -> Checked:
-    docs = pain001.initiations(spark, paths, strict=False)
-    return pain001.payments(docs.where("_corrupt is null")), _malformed(docs)
+    parts = pain001.parts(spark, paths, strict=False)
+    return pain001.payments(parts), _malformed(parts)
 
 
 def _csv_checked(spark: SparkSession, paths: list[str]) -> Checked:
@@ -56,20 +57,20 @@ def _csv_checked(spark: SparkSession, paths: list[str]) -> Checked:
     return rows, spark.createDataFrame(faults, "_file string, error string") if faults else None
 
 
-register(Format("camt", lambda s, p, redact_pii=False: camt.transactions(camt.statements(s, p), redact_pii), lambda s, p: camt.summary(camt.statements(s, p)), lambda s, p, strict=True: camt.statement_balances(camt.statements(s, p, strict).where("stmt is not null"), strict), _camt_checked))
-register(Format("pain001", lambda s, p, redact_pii=False: pain001.payments(pain001.initiations(s, p), redact_pii), lambda s, p: pain001.summary(pain001.initiations(s, p)), checked=_pain_checked))
+register(Format("camt", lambda s, p, redact_pii=False: camt.transactions(camt.parts(s, p), redact_pii), lambda s, p: camt.summary(camt.parts(s, p)), lambda s, p, strict=True: camt.statement_balances(camt.parts(s, p, strict), strict), _camt_checked))
+register(Format("pain001", lambda s, p, redact_pii=False: pain001.payments(pain001.parts(s, p), redact_pii), lambda s, p: pain001.summary(pain001.parts(s, p)), checked=_pain_checked))
 register(Format("csv", lambda s, p, redact_pii=False: flat.csv_transactions(s, p), lambda s, p: flat.flat_summary(flat.csv_transactions(s, p), "_row"), checked=_csv_checked))
 for _name in ("ofx", "qfx"):
-    register(Format(_name, lambda s, p, redact_pii=False: flat.ofx_transactions(flat.whole_files(s, p)), lambda s, p: flat.flat_summary(flat.ofx_transactions(flat.whole_files(s, p)), "_entry"), checked=lambda s, p: (flat.ofx_transactions(flat.whole_files(s, p), strict=False), None)))
+    register(Format(_name, lambda s, p, redact_pii=False: flat.ofx_transactions(large.listed(s, p)), lambda s, p: flat.flat_summary(flat.ofx_transactions(large.listed(s, p)), "_entry"), checked=lambda s, p: (flat.ofx_transactions(large.listed(s, p), strict=False), None)))
 
 
 def _mt940_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    files = flat.whole_files(spark, paths)
+    files = large.listed(spark, paths)
     rows = flat.flat_summary(flat.mt940_transactions(files), "_entry").drop("opening_balance", "closing_balance", "account_id", "currency")
     return flat.mt940_balances(files).join(rows, "_file", "full")
 
 
-register(Format("mt940", lambda s, p, redact_pii=False: flat.mt940_transactions(flat.whole_files(s, p)), _mt940_summary, lambda s, p, strict=True: flat.mt940_balances(flat.whole_files(s, p)), lambda s, p: (flat.mt940_transactions(flat.whole_files(s, p), strict=False), None)))
+register(Format("mt940", lambda s, p, redact_pii=False: flat.mt940_transactions(large.listed(s, p)), _mt940_summary, lambda s, p, strict=True: flat.mt940_balances(large.listed(s, p)), lambda s, p: (flat.mt940_transactions(large.listed(s, p), strict=False), None)))
 
 
 def detect(path: Column, content: Column) -> Column:
@@ -83,6 +84,27 @@ def detect(path: Column, content: Column) -> Column:
     )
 
 
+#: What ``detect`` looks for in a text.
+_WORDS = (b"cstmrcdttrfinitn", b"pain.001", b"bktocstmrstmt", b"camt.", b"<ofx>", b"<banktranlist>", b":20:", b":61:")
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with the words that they have, and %PDF at their beginning; read in constant memory."""
+    for batch in batches:
+        words = []
+        for path in batch.column(0).to_pylist():
+            found: set[bytes] = set()
+            with large.open_stream(path) as stream:
+                data = stream.read(1 << 20)
+                head, rest = data[:4].decode("latin-1") if data[:4] == b"%PDF" else "", b""
+                while data:
+                    text = rest + data.lower()
+                    found |= {w for w in _WORDS if w not in found and w in text}
+                    rest, data = text[-max(map(len, _WORDS)) :], stream.read(1 << 20)
+            words.append(" ".join([head, *(w.decode() for w in _WORDS if w in found)]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, type=pa.string())], names=["_file", "path", "size", "words"])
+
+
 #: Suffixes that settle a file's format by themselves.
 _SETTLED = {"csv": "csv", "ofx": "ofx", "qfx": "qfx", "mt940": "mt940", "sta": "mt940"}
 
@@ -98,8 +120,8 @@ def file_index(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     others = sorted(r["path"] for r in listed.where(~F.col("suffix").isin(*_SETTLED)).select("path").collect())  # the reader takes its paths from the driver
     if not others:
         return settled
-    text = F.decode("content", "ISO-8859-1")
-    looked = reader().load(others).select(name, "path", F.when(F.substring(text, 1, 4) == "%PDF", F.lit("pdf")).otherwise(detect(F.col("path"), text)).alias("format"), F.col("length").alias("size"))
+    looked = reader().load(others).select(name, "path", F.col("length").alias("size")).mapInArrow(_look, "_file string, path string, size bigint, words string")
+    looked = looked.select("_file", "path", F.when(F.col("words").startswith("%PDF"), F.lit("pdf")).otherwise(detect(F.col("path"), F.col("words"))).alias("format"), "size")
     return settled.unionByName(looked)
 
 

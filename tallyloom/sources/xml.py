@@ -29,6 +29,17 @@ def parse_documents(texts: DataFrame, xml: Column, schema: str, keep: list[str],
     return texts.select(*keep, parsed.alias("_doc")).select(*keep, "_doc.*")
 
 
+def parsed_once(rows: DataFrame, xml: Column | str, schema: str, name: str) -> DataFrame:
+    """``rows`` with their XML parsed as ``name``, behind a generator, so that filters on it don't parse it again."""
+    return rows.select("*", F.explode(F.array(F.from_xml(xml, schema, {"mode": "FAILFAST", "ignoreNamespace": "true"}))).alias(name))
+
+
+def runs_parsed(rows: DataFrame, xml: Column | str, unit: str, schema: str, name: str, at: str) -> DataFrame:
+    """``rows`` with each of the ``unit`` elements of a run as ``name``, and ``at`` moved on to its number; no run is long, as the reader copies an array for each element.  An outer generator, as others parse twice."""
+    run = F.from_xml(xml, f"{unit} array<{schema}>", {"mode": "FAILFAST", "ignoreNamespace": "true"})[unit]
+    return rows.select("*", F.posexplode_outer(run).alias("__pos", name)).withColumn(at, F.col(at) + F.coalesce("__pos", F.lit(0))).drop("__pos")
+
+
 def text_of(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
