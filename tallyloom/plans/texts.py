@@ -170,12 +170,15 @@ def ingest_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ingest result a file, as JSON and read again: its version, count and warnings."""
+    """An ingest result a file, as JSON in pages and read again: its version, count and warnings."""
     tx = transactions(spark, sf_dir)
-    per = tx.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("amount").cast("string").alias("amount")))).alias("transactions"))
+    rows = export.paged(tx.select("file", "idx", F.col("amount").cast("string").alias("amount")), ["file", "idx", "amount"])
+    per = rows.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "amount"))).alias("transactions"))
     text = per.select("file", export.result_json(F.lit("deterministic"), F.concat(F.lit("f"), F.col("file").cast("string")), F.col("transactions"), F.struct(F.lit("verified").alias("status")), F.array(F.lit("w")), F.array().cast("array<string>")).alias("json"))
     back = export.load_result(text, "transactions array<struct<idx:bigint,amount:string>>, verification struct<status:string>, warnings array<string>, audit_trail array<string>")
-    return back.select("schema_version", "source_format", F.size("transactions").alias("n"), F.aggregate("transactions", F.lit(0).cast(MONEY), lambda a, t: (a + t["amount"].cast("decimal(18,2)")).cast(MONEY)).alias("total"), F.size("warnings").alias("n_warnings"), F.col("verification.status").alias("status"))
+    pages = back.select("schema_version", "source_format", F.size("transactions").alias("n"), F.aggregate("transactions", F.lit(0).cast(MONEY), lambda a, t: (a + t["amount"].cast("decimal(18,2)")).cast(MONEY)).alias("total"), F.size("warnings").alias("n_warnings"), F.col("verification.status").alias("status"))
+    keys = ["schema_version", "source_format", "n_warnings", "status"]  # of the file, the same on all of its pages
+    return pages.groupBy(*keys).agg(F.sum("n").cast("int").alias("n"), F.sum("total").cast(MONEY).alias("total")).select("schema_version", "source_format", "n", "total", "n_warnings", "status")
 
 
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def result_json(method: Column, fmt: Column, transactions: Column, verification:
     return F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), method.alias("source_method"), fmt.alias("source_format"), transactions.alias("transactions"), verification.alias("verification"), warnings.alias("warnings"), audit_trail.alias("audit_trail")), {"ignoreNullFields": "false"})
 
 
+def paged(tx: DataFrame, order: list[str], size: int = 50_000) -> DataFrame:
+    """``tx`` with ``page``: rows that follow each other in ``order``, ``size`` at most, so that a result of any length is written as several that each fit a row and a payload."""
+    ranged = tx.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.withColumn("page", F.floor(F.monotonically_increasing_id() / size))
+
+
 def load_result(texts: DataFrame, schema: str, text: str = "json") -> DataFrame:
     """Stored results again: version absent or 1, 50 MiB at most, and JSON, or an error."""
     parsed = F.from_json(F.col(text), f"schema_version int, source_method string, source_format string, {schema}", {"mode": "FAILFAST"})
