@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,22 @@ def match_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
     def one(key: tuple, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         free = have.sort_values("pos")[["pos", "booking_date"]].values.tolist()
-        rows = []
+        of_date: dict[object, deque[int]] = defaultdict(deque)
+        for k, (_, date) in enumerate(free):
+            if not pd.isna(date):
+                of_date[date].append(k)
+        taken, first, rows = bytearray(len(free)), 0, []
         for pos, date in want.sort_values("pos")[["pos", "booking_date"]].values.tolist():
-            best = next((x for x in free if not pd.isna(date) and x[1] == date), free[0] if free else None)
-            if best is not None:
-                free.remove(best)
-                rows.append((key[0], pos, best[0]))
+            same = of_date.get(date) if not pd.isna(date) else None
+            # each row is passed over once in either queue, so the work grows with the rows and not with their pairs
+            while same and taken[same[0]]:
+                same.popleft()
+            while first < len(free) and taken[first]:
+                first += 1
+            best = same[0] if same else first
+            if best < len(free):
+                taken[best] = 1
+                rows.append((key[0], pos, free[best][0]))
         return pd.DataFrame(rows, columns=["case_name", "expected_pos", "actual_pos"])
 
     columns = ["case_name", "amount", "pos", "booking_date"]

@@ -186,3 +186,23 @@ def test_privacy(spark):
     assert tuple(privacy.mask_by_name(df).first()) == ("***REDACTED***", "***REDACTED***", "keep", "N")
     assert privacy.mask_by_name(df, parties=True).first()["DbtrNm"] == "***REDACTED***"
     assert privacy.mask_filled(df, ("BIC", "DbtrNm")).first()["BIC"] is None
+
+
+def test_matching_passes_over_each_row_once(spark):
+    """A group of one amount and date that differs from all: pairs would be 400 million."""
+    import time
+
+    n = 20_000
+    row = lambda day: spark.range(n).select(F.lit("c").alias("case_name"), F.lit(1).cast("decimal(38,10)").alias("amount"), F.col("id").cast("int").alias("pos"), F.when(F.col("id") % 3 != 0, F.date_add(F.lit(day).cast("date"), (F.col("id") % 700).cast("int"))).alias("booking_date"))
+    want, have = row("2020-01-01"), row("2020-06-01")
+    evaluation.match_rows(want.limit(1), have.limit(1)).collect()
+    began = time.monotonic()
+    got = [(r[1], r[2]) for r in evaluation.match_rows(want, have).collect()]
+    assert time.monotonic() - began < 20 and len(got) == len({a for a, _ in got}) == len({b for _, b in got}) == n
+    small = [(x.limit(300).select("pos", "booking_date").orderBy("pos").collect()) for x in (want, have)]
+    free, expected = [tuple(r) for r in small[1]], []
+    for pos, date in small[0]:
+        best = next((x for x in free if date is not None and x[1] == date), free[0])
+        free.remove(best)
+        expected.append((pos, best[0]))
+    assert sorted((r[1], r[2]) for r in evaluation.match_rows(want.where("pos < 300"), have.where("pos < 300")).collect()) == expected
