@@ -123,6 +123,8 @@ class EliasFano:
 
 _ENDS = ("ends_low", "ends_high", "ends_select", "ends_sparse")
 _ENCODERS: dict = {}
+#: Documents whose ids are given at once.
+_DECODED = 500
 
 
 def encoder(vocab: str):
@@ -187,11 +189,14 @@ def read_documents(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype=np.uint16 if row["id_bytes"] == 2 else np.uint32).astype(np.int32)
-                ends = boundaries(row).all()
-                bounds = np.concatenate([[0], ends]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], type=batch.column(0).type.value_type), pa.ListArray.from_arrays(bounds, ids)], names=["id", "token_ids"])
+            for k in range(batch.num_rows):  # a block at a time: a batch may have all of a task's blocks
+                own = batch.slice(k, 1)
+                row = {"doc_ids": own.column("doc_ids")[0].values, "low_bits": own.column("low_bits")[0].as_py()} | {c: own.column(c)[0].as_py() for c in _ENDS}
+                ids = np.frombuffer(own.column("ids")[0].as_buffer(), dtype=np.uint16 if own.column("id_bytes")[0].as_py() == 2 else np.uint32)
+                bounds = np.concatenate([[0], boundaries(row).all()])
+                for at in range(0, len(bounds) - 1, _DECODED):
+                    some = bounds[at : at + _DECODED + 1]
+                    yield pa.RecordBatch.from_arrays([row["doc_ids"].slice(at, len(some) - 1), pa.ListArray.from_arrays((some - some[0]).astype(np.int32), ids[some[0] : some[-1]].astype(np.int32))], names=["id", "token_ids"])
 
     given = blocks.select("doc_ids", "id_bytes", "ids", "low_bits", *_ENDS)
     return given.mapInArrow(run, f"id {id_type}, token_ids array<int>").withColumnRenamed("id", id_col)
